@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -17,6 +18,8 @@ from tablescope.plans.columns import col, local_rows, nan_to_null, numeric_colum
 MIN_ROWS = 30
 MAX_K = 8
 MAX_ITERATIONS = 100
+# Iteration ends when the squared moves of all centres sum to this share of the mean variance (1 once standardised).
+TOLERANCE = 1e-4
 SEED = 42
 # A table below this size may come as one file split; its rows are spread over the cores before the many passes.
 SPREAD_BELOW_ROWS = 5_000_000
@@ -80,7 +83,9 @@ def kmeans_search(df: DataFrame, max_k: int = MAX_K, seed: int = SEED) -> Cluste
         scores, best = [], None
         evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
         for k in range(2, min(max_k, rows - 1) + 1):
-            model = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS).fit(vectors)
+            # Spark compares the move of each centre, so the bound is shared out among the k centres.
+            move = math.sqrt(TOLERANCE / k)
+            model = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=move).fit(vectors)
             try:
                 score = evaluator.evaluate(model.transform(vectors))
             except IllegalArgumentException:  # all rows fell into one cluster

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +32,32 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return col(name).cast("double")
 
 
-def _bin(value: Column, cuts: list[float]) -> Column:
-    """How many of the cut points lie below the value."""
-    steps = [(value > F.lit(c)).cast("int") for c in cuts]
-    return sum(steps[1:], steps[0]) if steps else F.lit(0)
+def _binned(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Numeric columns replaced by a bin number; two values share a bin when the same cut points lie below them.
+
+    The bucketizer closes its intervals at the lower end, so values and cut points enter with opposite sign.
+    """
+    names = list(cuts)
+    inputs, outputs = [f"_v{i}" for i in range(len(names))], [f"_b{i}" for i in range(len(names))]
+    infinity = float("inf")
+    splits = [[-infinity, *sorted({-c for c in cuts[n]}), infinity] for n in names]
+    signed = df.withColumns({i: -_as_number(df, n) for i, n in zip(inputs, names)})
+    bucketed = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs).transform(signed)
+    return bucketed.withColumns({n: F.col(o).cast("int").cast("string") for n, o in zip(names, outputs)}).drop(
+        *inputs, *outputs
+    )
 
 
 def mutual_information(df: DataFrame, target: str, bins: int = BINS, digits: int = 4) -> DataFrame | None:
-    """Plug-in mutual information of every other column with the target, in nats, best first.
+    """``feature, score, score_corrected, position`` of ``target_information``."""
+    found = target_information(df, target, bins, digits)
+    return None if found is None else found[1]
+
+
+def target_information(
+    df: DataFrame, target: str, bins: int = BINS, digits: int = 4
+) -> tuple[str, DataFrame] | None:
+    """Plug-in mutual information of every other column with the target, in nats, best first, and the method name.
 
     Text is taken as it is; numbers and times are cut at their exact quantiles into ``bins`` groups, and so is a
     numeric target with more than twenty values (regression). Rows with any gap are left out. NULL is returned when
@@ -71,12 +90,13 @@ def mutual_information(df: DataFrame, target: str, bins: int = BINS, digits: int
     }
 
     def key(name: str) -> Column:
-        if name in cut:
-            return _bin(_as_number(df, name), cuts[name]).cast("string")
         text = col(name).cast("string")
+        if name in cuts:
+            return text
         return F.when(F.length(text) > DIGEST_ABOVE, F.sha2(text, 256)).otherwise(text)
 
-    keyed = df.select(key(target).alias("_y"), *[key(c).alias(c) for c in features])
+    binned = _binned(df, cuts) if cuts else df
+    keyed = binned.select(key(target).alias("_y"), *[key(c).alias(c) for c in features])
     cells = (
         keyed.unpivot([F.col("_y")], [col(c) for c in features], "feature", "x")
         .groupBy("feature", "x", "_y")
@@ -95,7 +115,7 @@ def mutual_information(df: DataFrame, target: str, bins: int = BINS, digits: int
     n = F.lit(float(rows))
     information = F.ln(n) + (total(joint) - total(of_x) - total(of_y)) / n
     bias = (F.count_if(joint) - F.count_if(of_x) - F.count_if(of_y) + 1) / (2 * n)
-    return (
+    ranked = (
         levels.groupBy("feature")
         .agg(
             F.round(F.greatest(information, F.lit(0.0)), digits).alias("score"),
@@ -104,6 +124,7 @@ def mutual_information(df: DataFrame, target: str, bins: int = BINS, digits: int
         .join(positions, "feature")
         .orderBy(F.desc("score"), "position")
     )
+    return f"mutual_info_{'classif' if classification else 'regression'}", ranked
 
 
 def is_classification(df: DataFrame, target: str, n_unique: int) -> bool:
@@ -133,12 +154,11 @@ def feature_importance(df: DataFrame, target: str | None = None, bins: int = BIN
     """``method, target_used, feature, score, position``: information about the target if there is a usable one,
     else variance and entropy."""
     if target and target in flat_columns(df):
-        ranked = mutual_information(df, target, bins)
-        if ranked is not None:
-            unique = frequency_summary(value_counts(nan_to_null(df), [target])).first()["n_unique"]
-            kind = "classif" if is_classification(df, target, unique) else "regression"
+        found = target_information(df, target, bins)
+        if found is not None:
+            method, ranked = found
             return ranked.select(
-                F.lit(f"mutual_info_{kind}").alias("method"), F.lit(target).alias("target_used"), "feature", "score", "position"
+                F.lit(method).alias("method"), F.lit(target).alias("target_used"), "feature", "score", "position"
             )
     return variance_entropy_rank(df).select(
         F.lit("variance_entropy").alias("method"),

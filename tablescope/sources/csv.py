@@ -29,13 +29,12 @@ class LoadedCsv:
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """``file_path, file_size, is_utf8`` per file.
 
-    Every byte is a character in ISO-8859-1, so the lines are read that way, turned back into their bytes and
-    tested. The read splits large files; the test combines on the map side to one row per file.
+    The text source hands over the bytes of each line as they are, so their validity can be tested directly. The
+    read splits large files; the test combines on the map side to one row per file.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    valid = F.is_valid_utf8(F.encode("value", "ISO-8859-1"))
+    lines = spark.read.text(path)
     return lines.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
-        F.max("_metadata.file_size").alias("file_size"), F.bool_and(valid).alias("is_utf8")
+        F.max("_metadata.file_size").alias("file_size"), F.bool_and(F.is_valid_utf8("value")).alias("is_utf8")
     )
 
 
