@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,10 +96,15 @@ def clean_table(df: DataFrame) -> DataFrame:
     """The whole cleaning: empty rows out, text trimmed, numbers filled by median and the rest by mode.
 
     One aggregate finds the columns with gaps; medians and modes are computed for those only. The result is a
-    projection of the input with the fill values as constants.
+    projection of the input with the fill values as constants. Where no row is empty, no row filter is left in the
+    plan either, since it would make every later scan read all columns.
     """
-    df = trim_strings(drop_empty_rows(df))
+    df = nan_to_null(df)
+    columns = flat_columns(df)
+    empty = reduce(and_, [col(c).isNull() for c in df.columns])
+    counts = df.agg(F.count_if(empty).alias("n"), *[F.count_if(col(c).isNull()).alias(f"g_{c}") for c in columns]).first()
+    gaps = [c for c, missing in zip(columns, counts[1:]) if missing > counts[0]]
     numeric = set(numeric_columns(df))
-    gaps = _with_gaps(df, flat_columns(df))
+    df = trim_strings(df.dropna(how="all") if counts[0] else df)
     df = fill_medians(df, [c for c in gaps if c in numeric])
     return fill_modes(df, [c for c in gaps if c not in numeric])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.errors import IllegalArgumentException
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.plans.columns import col, local_rows, nan_to_null, numeric_columns
+from tablescope.plans.together import together
 
 MIN_ROWS = 30
 MAX_K = 8
@@ -21,7 +23,8 @@ MAX_ITERATIONS = 100
 # Iteration ends when the squared moves of all centres sum to this share of the mean variance (1 once standardised).
 TOLERANCE = 1e-4
 SEED = 42
-# A table below this size may come as one file split; its rows are spread over the cores before the many passes.
+# A table below this size may come as one file split: its rows are spread over the cores, kept, and fitted for
+# several k side by side.
 SPREAD_BELOW_ROWS = 5_000_000
 
 
@@ -57,10 +60,20 @@ class Clustering:
         return local_rows(spark, rows, "cluster int, column string, center double")
 
 
+def _fit(points: DataFrame, k: int, seed: int) -> tuple[int, float, KMeansModel] | None:
+    # Spark compares the move of each centre, so the bound is shared out among the k centres.
+    move = math.sqrt(TOLERANCE / k)
+    model = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=move).fit(points)
+    try:
+        return k, ClusteringEvaluator().evaluate(model.transform(points)), model
+    except IllegalArgumentException:  # all rows fell into one cluster
+        return None
+
+
 def kmeans_search(df: DataFrame, max_k: int = MAX_K, seed: int = SEED) -> Clustering | None:
     """Cluster all complete rows, standardised, for k = 2..``max_k`` and keep the k with the best silhouette.
 
-    No row is sampled away. The vectors are kept (memory, then disk) while the search reads them again and again.
+    No row is sampled away. A fit reads the table once and keeps the points (memory, then disk) while it iterates.
     Seeding draws several candidate centres per pass over the whole table, which takes the place of restarts on a
     sample; the silhouette uses squared distances, whose cost is linear in the rows. NULL is returned for fewer than
     two numeric columns or thirty complete rows. The label stays on its row in ``labelled``.
@@ -73,37 +86,33 @@ def kmeans_search(df: DataFrame, max_k: int = MAX_K, seed: int = SEED) -> Cluste
     if rows < MIN_ROWS:
         return None
     numbers = complete.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    if rows < SPREAD_BELOW_ROWS:
+    small = rows < SPREAD_BELOW_ROWS
+    if small:
         numbers = numbers.repartition(df.sparkSession.sparkContext.defaultParallelism)
     assembler = VectorAssembler(inputCols=numbers.columns, outputCol="raw")
     raw = assembler.transform(numbers).select("raw")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(raw)
-    vectors = scaler.transform(raw).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = scaler.transform(raw).select("features")
+    kept = vectors.persist(StorageLevel.MEMORY_AND_DISK) if small else vectors
     try:
-        scores, best = [], None
-        evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-        for k in range(2, min(max_k, rows - 1) + 1):
-            # Spark compares the move of each centre, so the bound is shared out among the k centres.
-            move = math.sqrt(TOLERANCE / k)
-            model = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=move).fit(vectors)
-            try:
-                score = evaluator.evaluate(model.transform(vectors))
-            except IllegalArgumentException:  # all rows fell into one cluster
-                continue
-            scores.append((k, score))
-            if best is None or score > best[1]:
-                best = (k, score, model)
+        # Each fit keeps its own decoded copy of the points while it iterates, which it only does for an input that
+        # is not itself persisted; hence the projection. Large tables are fitted one k after the other.
+        points = kept.select("features").filter(F.col("features").isNotNull())
+        ks = range(2, min(max_k, rows - 1) + 1)
+        tried = together(df.sparkSession, [partial(_fit, points, k, seed) for k in ks], len(ks) if small else 1)
     finally:
-        vectors.unpersist()
-    if best is None:
+        kept.unpersist()
+    tried = [t for t in tried if t is not None]
+    if not tried:
         return None
+    best = max(tried, key=lambda t: (t[1], -t[0]))
     keep = complete.select("*", *[col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     inputs = [f"_x{i}" for i in range(len(columns))]
     labelled = VectorAssembler(inputCols=inputs, outputCol="raw").transform(keep)
     labelled = best[2].transform(scaler.transform(labelled)).withColumnRenamed("prediction", "cluster")
     return Clustering(
         columns=columns,
-        scores=scores,
+        scores=[(k, score) for k, score, _ in tried],
         best_k=best[0],
         silhouette=round(best[1], 4),
         model=best[2],

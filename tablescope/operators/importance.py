@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.plans.columns import (
     col,
+    families,
     flat_columns,
     kind_of,
     nan_to_null,
@@ -43,9 +46,7 @@ def _binned(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     splits = [[-infinity, *sorted({-c for c in cuts[n]}), infinity] for n in names]
     signed = df.withColumns({i: -_as_number(df, n) for i, n in zip(inputs, names)})
     bucketed = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs).transform(signed)
-    return bucketed.withColumns({n: F.col(o).cast("int").cast("string") for n, o in zip(names, outputs)}).drop(
-        *inputs, *outputs
-    )
+    return bucketed.withColumns({n: F.col(o).cast("int") for n, o in zip(names, outputs)}).drop(*inputs, *outputs)
 
 
 def mutual_information(df: DataFrame, target: str, bins: int = BINS, digits: int = 4) -> DataFrame | None:
@@ -97,11 +98,7 @@ def target_information(
 
     binned = _binned(df, cuts) if cuts else df
     keyed = binned.select(key(target).alias("_y"), *[key(c).alias(c) for c in features])
-    cells = (
-        keyed.unpivot([F.col("_y")], [col(c) for c in features], "feature", "x")
-        .groupBy("feature", "x", "_y")
-        .agg(F.count("*").alias("c"))
-    )
+    cells = reduce(DataFrame.unionByName, [_cells(keyed, family) for family in families(keyed, features)])
     feature, x, y = F.col("feature"), F.col("x"), F.col("_y")
     levels = cells.groupingSets([[feature, x, y], [feature, x], [feature, y]], feature, x, y).agg(
         F.sum("c").alias("n"), F.grouping_id().alias("level")
@@ -127,6 +124,16 @@ def target_information(
     return f"mutual_info_{'classif' if classification else 'regression'}", ranked
 
 
+def _cells(keyed: DataFrame, features: list[str]) -> DataFrame:
+    """``feature, x, _y, c``: how often each value of a feature meets each value of the target."""
+    return (
+        keyed.unpivot([F.col("_y")], [col(c) for c in features], "feature", "x")
+        .groupBy("feature", "x", "_y")
+        .agg(F.count("*").alias("c"))
+        .withColumn("x", F.col("x").cast("string"))
+    )
+
+
 def is_classification(df: DataFrame, target: str, n_unique: int) -> bool:
     return kind_of(df.schema[target].dataType) != "numeric" or n_unique <= MAX_TARGET_CLASSES
 

@@ -26,6 +26,7 @@ from tablescope.plans.columns import (
 from tablescope.plans.duplicates import duplicated_rows
 from tablescope.plans.passes import column_facts, value_counts
 from tablescope.plans.quantiles import exact_quantiles
+from tablescope.plans.together import together
 
 IQR_MULTIPLIER = 1.5
 MIN_VALUES_FOR_OUTLIERS = 10
@@ -43,18 +44,21 @@ def _positions(df: DataFrame) -> DataFrame:
     return schema_rows(df).select("column", "position")
 
 
-def missing_values(df: DataFrame) -> DataFrame:
+def missing_values(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """``column, position, missing_count, missing_pct, severity``, most missing first."""
-    df = nan_to_null(df)
-    counts = per_column(
-        df,
-        df.columns,
-        lambda c: {"n_rows": F.count(F.lit(1)), "missing_count": F.count_if(col(c).isNull())},
-        "n_rows bigint, missing_count bigint",
-    )
+    if facts is None:
+        df = nan_to_null(df)
+        counts = per_column(
+            df,
+            df.columns,
+            lambda c: {"n_rows": F.count(F.lit(1)), "missing_count": F.count_if(col(c).isNull())},
+            "n_rows bigint, missing_count bigint",
+        ).join(_positions(df), "column")
+    else:
+        counts = facts.select("column", "position", "n_rows", F.col("n_null").alias("missing_count"))
     pct = _pct(F.col("missing_count"), F.col("n_rows"), 2)
     return (
-        counts.join(_positions(df), "column")
+        counts
         .select("column", "position", "missing_count", pct.alias("missing_pct"))
         .withColumn("severity", grades.missing_severity(F.col("missing_pct")))
         .orderBy(F.desc("missing_count"), "position")
@@ -73,6 +77,12 @@ def _row_totals(df: DataFrame) -> DataFrame:
     )
 
 
+def _complete_totals(df: DataFrame) -> DataFrame:
+    return local_rows(
+        df.sparkSession, [(df.count(), 0, 0)], "n_rows bigint, total_missing bigint, rows_with_any_missing bigint"
+    )
+
+
 def missing_summary(df: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """One row of totals with a sentence on where the gaps are."""
     df = nan_to_null(df)
@@ -87,7 +97,8 @@ def missing_summary(df: DataFrame, missing: DataFrame | None = None) -> DataFram
             f"Missing values spread across {len(names)} columns — may indicate systemic data collection issues."
         )
     cells = F.col("n_rows") * len(df.columns)
-    return _row_totals(df).select(
+    totals = _row_totals(df) if names else _complete_totals(df)
+    return totals.select(
         "total_missing",
         cells.alias("total_cells"),
         _pct(F.col("total_missing"), cells, 2).alias("overall_pct"),
@@ -97,11 +108,15 @@ def missing_summary(df: DataFrame, missing: DataFrame | None = None) -> DataFram
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: ``n_rows, exact_duplicates, exact_pct, recommendation``."""
-    found = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "exact_duplicates", F.lit(duplicated_rows(df)).cast("bigint")
-    )
+def duplicate_rows(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One row: ``n_rows, exact_duplicates, exact_pct, recommendation``.
+
+    A column that the facts show to be a key rules duplicates out without another pass.
+    """
+    is_key = (F.col("n_unique") == F.col("n_rows")) & (F.col("n_null") == 0)
+    keyed = facts is not None and facts.filter(is_key).first() is not None
+    count = 0 if keyed else duplicated_rows(df)
+    found = local_rows(df.sparkSession, [(df.count(), count)], "n_rows bigint, exact_duplicates bigint")
     found = found.withColumn("exact_pct", _pct(F.col("exact_duplicates"), F.col("n_rows"), 2))
     share = F.concat(
         F.col("exact_duplicates").cast("string"), F.lit(" rows ("), F.col("exact_pct").cast("string"), F.lit("%). ")
@@ -188,18 +203,22 @@ def format_case_variants(df: DataFrame, top: int = TOP) -> DataFrame:
     )
 
 
-def format_issues(df: DataFrame) -> DataFrame:
+def format_issues(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """One row per text column with at least one kind of issue: ``column, issue_count, issues``."""
-    columns = string_columns(df)
-    flags = per_column(
-        df,
-        columns,
-        lambda c: {
-            "edge_space": F.count_if(has_edge_space(col(c))),
-            "empty": F.count_if(trimmed(col(c)) == ""),
-        },
-        "edge_space bigint, empty bigint",
-    )
+    if facts is None:
+        flags = per_column(
+            df,
+            string_columns(df),
+            lambda c: {
+                "edge_space": F.count_if(has_edge_space(col(c))),
+                "empty": F.count_if(trimmed(col(c)) == ""),
+            },
+            "edge_space bigint, empty bigint",
+        )
+    else:
+        flags = facts.filter("kind = 'string'").select(
+            "column", F.col("n_edge_space").alias("edge_space"), F.col("n_empty").alias("empty")
+        )
     mixed = _case_groups(df)[1].groupBy("column").agg(F.count("*").alias("case_groups"))
     found = flags.join(mixed, "column", "left")
     issues = F.array_compact(
@@ -222,13 +241,18 @@ def format_issues(df: DataFrame) -> DataFrame:
     )
 
 
-def outlier_bounds(df: DataFrame, multiplier: float = IQR_MULTIPLIER) -> dict[str, tuple[float, float]]:
+def outlier_bounds(
+    df: DataFrame, multiplier: float = IQR_MULTIPLIER, facts: DataFrame | None = None
+) -> dict[str, tuple[float, float]]:
     """Lower and upper bound per numeric column with at least ten values and a spread between its quartiles."""
     df = nan_to_null(df)
     columns = numeric_columns(df)
-    counts = per_column(df, columns, lambda c: {"n": F.count(col(c))}, "n bigint").collect()
+    if facts is None:
+        counts = per_column(df, columns, lambda c: {"n": F.count(col(c))}, "n bigint").collect()
+    else:
+        counts = facts.filter("kind = 'numeric'").select("column", F.col("n_nonnull").alias("n")).collect()
     enough = [r["column"] for r in counts if r["n"] >= MIN_VALUES_FOR_OUTLIERS]
-    quartiles = exact_quantiles(df, enough, [0.25, 0.75], ["q1", "q3"])
+    quartiles = exact_quantiles(df, enough, [0.25, 0.75], ["q1", "q3"], max([r["n"] for r in counts], default=0))
     bounds = {}
     for r in quartiles.collect():
         spread = r["q3"] - r["q1"]
@@ -241,11 +265,11 @@ def iqr_outliers(
     df: DataFrame,
     multiplier: float = IQR_MULTIPLIER,
     digits: int = 4,
-    bounds: dict[str, tuple[float, float]] | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Outliers beyond the quartile fences per numeric column, most first."""
     df = nan_to_null(df)
-    bounds = outlier_bounds(df, multiplier) if bounds is None else bounds
+    bounds = outlier_bounds(df, multiplier, facts)
 
     def measures(name: str) -> dict[str, Column]:
         value, (low, high) = col(name).cast("double"), bounds[name]
@@ -458,11 +482,17 @@ def quality_report(
 ) -> dict[str, DataFrame]:
     """All quality reports of a raw table over one set of facts; the short ones are kept as local rows."""
     facts = collected(column_facts(df)) if facts is None else facts
-    missing = collected(missing_values(df))
-    totals = collected(missing_summary(df, missing))
-    duplicates = collected(duplicate_rows(df))
-    issues = collected(format_issues(df))
-    outliers = collected(iqr_outliers(df))
+    missing = collected(missing_values(df, facts))
+    totals, duplicates, issues, outliers, imbalance = together(
+        df.sparkSession,
+        [
+            lambda: collected(missing_summary(df, missing)),
+            lambda: collected(duplicate_rows(df, facts)),
+            lambda: collected(format_issues(df, facts)),
+            lambda: collected(iqr_outliers(df, facts=facts)),
+            lambda: collected(class_imbalance(df, targets, facts)),
+        ],
+    )
     return {
         "missing_values": missing,
         "missing_summary": totals,
@@ -471,6 +501,6 @@ def quality_report(
         "format_issues": issues,
         "iqr_outliers": outliers,
         "outlier_summary": outlier_summary(df, outliers),
-        "class_imbalance": collected(class_imbalance(df, targets, facts)),
+        "class_imbalance": imbalance,
         "quality_score": collected(quality_score(df, totals, duplicates, issues, outliers)),
     }

@@ -24,6 +24,7 @@ from tablescope.plans.columns import (
 from tablescope.plans.gaps import median_gap, parsed_times
 from tablescope.functions.grades import frequency_label
 from tablescope.plans.passes import column_facts, value_counts
+from tablescope.plans.together import together
 
 SEMANTIC_TYPES = ("numeric", "categorical", "datetime", "boolean", "text", "identifier", "unknown")
 
@@ -371,23 +372,30 @@ def schema_display(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _nothing() -> None:
+    return None
+
+
 def schema_report(df: DataFrame, match: str = "substring") -> dict[str, DataFrame]:
     """All schema reports of a table over one set of facts."""
     facts = collected(column_facts(df))
+    best = best_time_column(df, facts)
+    span, frequency = together(
+        df.sparkSession,
+        [lambda: collected(temporal_span(df, best)), lambda: time_frequency(df, best)] if best else [_nothing] * 2,
+    )
     report = {
         "shape": dataset_shape(df),
         "facts": facts,
         "column_profile": column_profile(df, facts),
         "mixed_columns": mixed_columns(df, facts),
-        "target_candidates": target_candidates(df, facts, match),
+        "target_candidates": collected(target_candidates(df, facts, match)),
         "primary_keys": primary_keys(df, facts),
-        "time_columns": time_column_rows(df, facts),
+        "time_columns": collected(time_column_rows(df, facts)),
         "column_categories": column_categories(df, facts),
     }
-    best = best_time_column(df, facts)
     if best:
-        report["temporal_span"] = temporal_span(df, best)
-        report["time_frequency"] = time_frequency(df, best)
+        report["temporal_span"], report["time_frequency"] = span, frequency
     return report
 
 

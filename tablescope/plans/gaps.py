@@ -13,7 +13,7 @@ from tablescope.plans.quantiles import BRACKET_ROWS, order_statistics
 
 # Distinct times per window partition that one task sorts.
 TIMES_PER_BUCKET = 500_000
-MAX_BUCKETS = 2_000
+MAX_BUCKETS = 5_000
 
 
 def parsed_times(df: DataFrame, column: str) -> DataFrame:
@@ -22,16 +22,20 @@ def parsed_times(df: DataFrame, column: str) -> DataFrame:
     return df.select(value.alias("ts")).filter("ts IS NOT NULL")
 
 
-def time_gaps(df: DataFrame, column: str, times_per_bucket: int = TIMES_PER_BUCKET) -> DataFrame:
-    """``(gap_us, weight)``: gaps between consecutive distinct times, and one row for the gaps of zero.
+def distinct_times(df: DataFrame, column: str) -> DataFrame:
+    """``(us, cnt)``: each time in microseconds since 1970, and how many records have it."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
+    return parsed_times(df, column).groupBy(micros.alias("us")).agg(F.count("*").alias("cnt"))
 
-    Equal times give gaps of zero, so those are counted rather than sorted. The distinct times are cut into buckets
-    of equal depth (they hold no repeats, so no bucket can run hot); gaps inside a bucket come from a window over
-    that bucket, gaps between buckets from a window over one row per bucket.
+
+def time_gaps(times: DataFrame, distinct: int, times_per_bucket: int = TIMES_PER_BUCKET) -> DataFrame:
+    """``gap_us``: the gaps between consecutive distinct times.
+
+    The times are cut into buckets of equal depth (they hold no repeats, so no bucket can run hot); gaps inside a
+    bucket come from a window over that bucket, gaps between buckets from a window over one row per bucket.
     """
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    times = parsed_times(df, column).groupBy(micros.alias("us")).agg(F.count("*").alias("cnt"))
-    buckets = min(MAX_BUCKETS, -(-times.count() // times_per_bucket))
+    buckets = min(MAX_BUCKETS, -(-distinct // times_per_bucket))
     if buckets > 1:
         points = [i / buckets for i in range(1, buckets)]
         inner = times.agg(F.percentile_approx(F.col("us").cast("double"), points, 10_000)).first()[0]
@@ -40,19 +44,12 @@ def time_gaps(df: DataFrame, column: str, times_per_bucket: int = TIMES_PER_BUCK
         times = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(times)
     else:
         times = times.withColumn("bucket", F.lit(0.0))
-    inside = times.select(
-        (F.col("us") - F.lag("us").over(Window.partitionBy("bucket").orderBy("us"))).alias("gap_us"),
-        F.lit(1).cast("bigint").alias("weight"),
-    )
+    before = F.lag("us").over(Window.partitionBy("bucket").orderBy("us"))
+    inside = times.select((F.col("us") - before).alias("gap_us"))
     ends = times.groupBy("bucket").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    between = ends.select(
-        (F.col("first") - F.lag("last").over(Window.orderBy("bucket"))).alias("gap_us"),  # at most MAX_BUCKETS rows
-        F.lit(1).cast("bigint").alias("weight"),
-    )
-    zeros = times.agg(F.sum(F.col("cnt") - 1).alias("weight")).select(
-        F.lit(0).cast("bigint").alias("gap_us"), F.coalesce("weight", F.lit(0)).alias("weight")
-    )
-    return inside.unionByName(between).unionByName(zeros).filter("gap_us IS NOT NULL AND weight > 0")
+    last = F.lag("last").over(Window.orderBy("bucket"))  # over at most MAX_BUCKETS rows
+    between = ends.select((F.col("first") - last).alias("gap_us"))
+    return inside.unionByName(between).filter("gap_us IS NOT NULL")
 
 
 def median_gap(
@@ -63,18 +60,19 @@ def median_gap(
 ) -> DataFrame:
     """``(n_records, median_gap_us)``; the median is NULL below three records."""
     spark = df.sparkSession
-    gaps = time_gaps(df, column, times_per_bucket)
-    counts = gaps.agg(
-        F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("gap_us") == 0, F.col("weight"))), F.lit(0))
-    ).first()
-    total, zeros = counts[0], counts[1]
+    times = distinct_times(df, column)
+    n_records, distinct = times.agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.count("*")).first()
+    gaps, zeros = n_records - 1, n_records - distinct
     median = None
-    if total >= 2:
-        # The gaps sorted ascending start with the zeros; other places are looked up among the non-zero gaps.
-        places = {(total - 1) // 2, total // 2}
-        wanted = [("gap_us", p - zeros) for p in sorted(places) if p >= zeros]
-        found = order_statistics(gaps.filter("gap_us > 0"), wanted, {"gap_us": total - zeros}, bracket_rows)
-        values = [found.get(("gap_us", p - zeros), 0.0) for p in sorted(places)]
+    if n_records >= 3:
+        # The gaps sorted ascending start with the zeros; other places are looked up among the gaps between
+        # distinct times. If the median lies among the zeros, nothing has to be sorted.
+        places = sorted({(gaps - 1) // 2, gaps // 2})
+        wanted = [("gap_us", p - zeros) for p in places if p >= zeros]
+        found = {}
+        if wanted:
+            steps = time_gaps(times, distinct, times_per_bucket)
+            found = order_statistics(steps, wanted, {"gap_us": distinct - 1}, bracket_rows)
+        values = [found.get(("gap_us", p - zeros), 0.0) for p in places]
         median = sum(values) / len(values)
-    n_records = total + 1 if total else parsed_times(df, column).count()
     return local_rows(spark, [(n_records, median)], "n_records bigint, median_gap_us double")

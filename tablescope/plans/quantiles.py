@@ -56,7 +56,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per column with linearly interpolated quantiles of its non-null values.
 
-    ``rows`` is the table's row count when the caller already knows it. Columns without values give no row.
+    ``rows`` is the largest count of values in a column, when the caller already knows it. Columns without values
+    give no row.
     """
     names = list(names or [f"q{i}" for i in range(len(probabilities))])
     spark = df.sparkSession

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.operators import charts, cluster, context, importance, quality, schema, stats
 from tablescope.operators.clean import clean_table
+from tablescope.operators.cluster import SPREAD_BELOW_ROWS
 from tablescope.operators.names import name_map, normalize_names
 from tablescope.plans.columns import collected
+from tablescope.plans.together import together
 from tablescope.sources.csv import load_csv
 
 
@@ -27,6 +30,10 @@ class Profile:
     clustering: cluster.Clustering | None
     charts: dict[str, DataFrame] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Drop the kept copy of a small table."""
+        self.raw.unpersist()
+
     def info(self) -> DataFrame:
         return context.dataset_info(
             self.clean,
@@ -46,8 +53,14 @@ def profiling_report(
     clean: DataFrame, target: str | None = None, clustering: cluster.Clustering | None = None
 ) -> dict[str, DataFrame]:
     """All statistical reports of a clean table; moments, pairs and importance are computed once."""
-    shapes = collected(stats.column_shapes(clean))
-    pairs = stats.local_pairs(clean)
+    shapes, pairs, ranked = together(
+        clean.sparkSession,
+        [
+            lambda: collected(stats.column_shapes(clean)),
+            lambda: stats.local_pairs(clean),
+            lambda: collected(importance.feature_importance(clean, target)),
+        ],
+    )
     report = {
         "descriptive_stats": stats.descriptive_stats(clean, shapes),
         "skewed_columns": stats.skewed_columns(clean, shapes),
@@ -56,7 +69,7 @@ def profiling_report(
         "correlation_pairs": stats.correlation_report(clean, pairs),
         "correlation_top": stats.correlation_top(clean, pairs=pairs),
         "correlation_summary": stats.correlation_summary(clean, pairs),
-        "feature_importance": collected(importance.feature_importance(clean, target)),
+        "feature_importance": ranked,
     }
     if clustering:
         report["kmeans_k_scores"] = clustering.k_scores()
@@ -106,15 +119,21 @@ def dashboard_charts(profile: Profile) -> dict[str, DataFrame]:
 def profile_table(
     df: DataFrame, size_mb: float = 0.0, run_clustering: bool = True, with_charts: bool = True
 ) -> Profile:
-    """Analyse a table: names normalised, raw reports, cleaning, statistics of the clean table, chart data."""
+    """Analyse a table: names normalised, raw reports, cleaning, statistics of the clean table, chart data.
+
+    A small table, which may lie in a single file split, is spread over the cores and kept while it is analysed; a
+    large one is read anew by each pass, which then reads only the columns it needs.
+    """
     names = name_map(df)
     raw = normalize_names(df)
+    if df.count() < SPREAD_BELOW_ROWS:
+        raw = raw.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     schema_report = schema.schema_report(raw)
-    schema_report["target_candidates"] = collected(schema_report["target_candidates"])
-    schema_report["time_columns"] = collected(schema_report["time_columns"])
     targets = [r["column"] for r in schema_report["target_candidates"].collect()]
-    quality_report = quality.quality_report(raw, targets, schema_report["facts"])
-    clean = clean_table(raw)
+    quality_report, clean = together(
+        df.sparkSession,
+        [lambda: quality.quality_report(raw, targets, schema_report["facts"]), lambda: clean_table(raw)],
+    )
     found = cluster.kmeans_search(clean) if run_clustering else None
     profiling = profiling_report(clean, targets[0] if targets else None, found)
     result = Profile(raw, clean, names, size_mb, schema_report, quality_report, profiling, found)
