@@ -628,9 +628,10 @@ def quality_oracles() -> dict[str, str]:
         "chart_box": with_(DIRTY, chart_box_body(), clean_ctes(), outliers(DIRTY)),
         "dataset_info": with_(
             DIRTY,
-            f"""SELECT (SELECT count(*) FROM {DIRTY}) AS rows, CAST({len(COLUMNS[DIRTY])} AS BIGINT) AS columns, CAST(1 AS DOUBLE) AS file_size_mb,
+            f"""SELECT (SELECT count(*) FROM kept) AS rows, CAST({len(COLUMNS[DIRTY])} AS BIGINT) AS columns, CAST(1 AS DOUBLE) AS file_size_mb,
  grade AS quality_grade, total AS quality_score, (SELECT count(*) > 0 FROM times) AS has_time_series,
  (SELECT col FROM targets ORDER BY score DESC, position LIMIT 1) AS target_column FROM score""",
+            clean_ctes(),
             score(DIRTY),
             facts(DIRTY),
             targets(),

@@ -127,7 +127,7 @@ def context_lines(spark: SparkSession, folder: str) -> DataFrame:
 def dataset_info(df: DataFrame) -> DataFrame:
     report = schema.schema_report(df)
     score = quality.quality_score(df)
-    return context.dataset_info(df, 1.0, score, report["target_candidates"], report["time_columns"])
+    return context.dataset_info(clean.clean_table(df), 1.0, score, report["target_candidates"], report["time_columns"])
 
 
 def kmeans(show: Callable[[cluster.Clustering], DataFrame]) -> Query:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from tablescope.functions.text import trimmed
 from tablescope.plans.columns import (
     col,
-    families,
     flat_columns,
     nan_to_null,
     numeric_columns,
     per_column,
     string_columns,
 )
+from tablescope.plans.passes import class_summary, key_counts, text_key
 from tablescope.plans.quantiles import exact_quantiles
 
 
@@ -37,23 +37,31 @@ def medians(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return exact_quantiles(nan_to_null(df), columns, [0.5], ["median"])
 
 
-def modes(df: DataFrame, columns: list[str] | None = None) -> list[DataFrame]:
-    """``(column, mode)`` in the columns' own types, one DataFrame per type; ties go to the smallest value.
+def modes(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
+    """The most frequent value of each column that has values, as text; ties go to the smallest value.
 
     Values are counted over the cluster and the winner is picked by an aggregate that combines on the map side, so
     no task ever holds all distinct values of a column.
     """
     numeric = set(numeric_columns(df))
     columns = [c for c in flat_columns(df) if c not in numeric] if columns is None else columns
-    result = []
-    for family in families(df, columns):
-        cells = df.select(*[col(c) for c in family]).unpivot([], [col(c) for c in family], "column", "value")
-        counted = cells.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("cnt"))
-        winner = F.min_by("value", F.struct(-F.col("cnt"), F.col("value")))
-        result.append(counted.groupBy("column").agg(winner.alias("mode")))
+    result = {}
+    for r in class_summary(df, columns).collect():
+        name = r["column"]
+        result[name] = _smallest_tied_text(df, name, r["majority_cnt"]) if r["n_long"] else r["majority"]
     return result
 
 
+def _smallest_tied_text(df: DataFrame, name: str, count: int) -> str:
+    """The smallest of the texts that occur ``count`` times, for a column with long texts, which are counted by
+    digest. If the most frequent text occurs once, that is the smallest text of all."""
+    value = df.select(col(name).alias("value")).filter("value IS NOT NULL")
+    if count > 1:
+        tied = key_counts(df, [name]).filter(F.col("cnt") == count).select(F.col("value").alias("key"))
+        value = value.withColumn("key", text_key(F.col("value"))).join(tied, "key", "left_semi")
+    return value.agg(F.min("value")).first()[0]
+
+
 def _with_gaps(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns that miss at least one value. Only these need a median or a mode."""
     counts = per_column(df, columns, lambda c: {"gaps": F.count_if(col(c).isNull())}, "gaps bigint")
@@ -82,7 +90,7 @@ def fill_modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     df = nan_to_null(df)
     numeric = set(numeric_columns(df))
     gaps = _with_gaps(df, [c for c in flat_columns(df) if c not in numeric]) if columns is None else columns
-    found = {r["column"]: r["mode"] for part in modes(df, gaps) for r in part.collect()}
+    found = modes(df, gaps)
     texts = set(string_columns(df))
 
     def filled(name: str):

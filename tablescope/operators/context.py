@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablescope.operators.schema import SEMANTIC_TYPES
 from tablescope.operators.stats import column_shapes
 from tablescope.plans.columns import col, flat_columns, local_rows, nan_to_null, numeric_columns, schema_rows
-from tablescope.plans.passes import frequency_summary, value_counts
+from tablescope.plans.passes import class_summary
 
 LARGE_MB = 50
 LARGE_SAMPLE = 500
@@ -25,7 +25,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     """
     df = nan_to_null(df)
     others = [c for c in flat_columns(df) if c not in set(numeric_columns(df))]
-    classes = frequency_summary(value_counts(df, others)).select(
+    classes = class_summary(df, others).select(
         "column",
         F.col("n_nonnull").alias("class_n"),
         F.col("n_unique").alias("unique"),

@@ -18,14 +18,12 @@ from tablescope.plans.columns import (
     schema_rows,
     string_columns,
 )
-from tablescope.plans.passes import frequency_summary, moments, value_counts
+from tablescope.plans.passes import class_summary, moments, text_key
 from tablescope.plans.quantiles import exact_quantiles
 
 BINS = 20
 MAX_TARGET_CLASSES = 20
 MIN_ROWS = 20
-# Longer texts are compared by their digest: the value itself is not part of the result.
-DIGEST_ABOVE = 64
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
@@ -76,7 +74,7 @@ def target_information(
     positions = schema_rows(df).select(F.col("column").alias("feature"), "position")
     df = nan_to_null(df).select(*[col(c) for c in [*features, target]]).dropna(how="any")
     kinds = {f.name: kind_of(f.dataType) for f in df.schema}
-    facts = frequency_summary(value_counts(df, [target])).first()
+    facts = class_summary(df, [target]).first()
     rows = facts["n_nonnull"] if facts else 0
     if rows < MIN_ROWS:
         return None
@@ -91,10 +89,7 @@ def target_information(
     }
 
     def key(name: str) -> Column:
-        text = col(name).cast("string")
-        if name in cuts:
-            return text
-        return F.when(F.length(text) > DIGEST_ABOVE, F.sha2(text, 256)).otherwise(text)
+        return col(name) if name in cuts else text_key(col(name).cast("string"))
 
     binned = _binned(df, cuts) if cuts else df
     keyed = binned.select(key(target).alias("_y"), *[key(c).alias(c) for c in features])
@@ -148,7 +143,7 @@ def variance_entropy_rank(df: DataFrame, variance_digits: int = 6, entropy_digit
     )
     n = F.col("n_nonnull").cast("double")
     entropy = F.log2(n) - F.col("sum_c_log2_c") / n
-    texts = frequency_summary(value_counts(df, string_columns(df))).select(
+    texts = class_summary(df, string_columns(df)).select(
         F.col("column").alias("feature"),
         F.round(F.greatest(entropy, F.lit(0.0)), entropy_digits).alias("score"),
         F.lit("entropy").alias("basis"),

@@ -14,7 +14,6 @@ from tablescope.operators.schema import target_candidates
 from tablescope.plans.columns import (
     col,
     collected,
-    families,
     flat_columns,
     local_rows,
     nan_to_null,
@@ -24,7 +23,7 @@ from tablescope.plans.columns import (
     string_columns,
 )
 from tablescope.plans.duplicates import duplicated_rows
-from tablescope.plans.passes import column_facts, value_counts
+from tablescope.plans.passes import column_facts, text_key, value_counts
 from tablescope.plans.quantiles import exact_quantiles
 from tablescope.plans.together import together
 
@@ -177,29 +176,41 @@ def format_empty_strings(df: DataFrame) -> DataFrame:
     return counts.filter("affected_count > 0")
 
 
-def _case_groups(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keyed = value_counts(df, string_columns(df)).withColumn("canonical", case_key(F.col("value")))
-    groups = (
-        keyed.groupBy("column", "canonical")
+def _cells_with_case_key(df: DataFrame) -> DataFrame:
+    columns = string_columns(df)
+    if not columns:
+        return local_rows(df.sparkSession, [], "column string, value string, canonical string")
+    cells = df.select(*[col(c) for c in columns]).unpivot([], [col(c) for c in columns], "column", "value")
+    return cells.filter("value IS NOT NULL").withColumn("canonical", case_key(F.col("value")))
+
+
+def _case_groups(df: DataFrame) -> DataFrame:
+    """``column, group, total``: groups of at least two spellings; ``group`` stands for the canonical text."""
+    keyed = _cells_with_case_key(df).select(
+        "column", text_key(F.col("canonical")).alias("group"), text_key(F.col("value")).alias("spelling")
+    )
+    spellings = keyed.groupBy("column", "group", "spelling").agg(F.count("*").alias("cnt"))
+    return (
+        spellings.groupBy("column", "group")
         .agg(F.count("*").alias("n_variants"), F.sum("cnt").alias("total"))
         .filter("n_variants > 1")
     )
-    return keyed, groups
 
 
 def format_case_variants(df: DataFrame, top: int = TOP) -> DataFrame:
     """Values of a column that differ only by case or outer white space: the five largest groups per column, one
     row per variant: ``column, canonical, variant, cnt, total``.
 
-    The limit per column is applied in every task before the exchange; at most five groups per column are left to
-    be joined back to their variants.
+    The limit per column is applied in every task before the exchange. The at most five groups per column are then
+    broadcast to pick the rows whose spellings are listed.
     """
-    keyed, groups = _case_groups(df)
-    largest = Window.partitionBy("column").orderBy(F.desc("total"), "canonical")
-    kept = groups.withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= top)
-    kept = kept.select("column", "canonical", "total")
-    return keyed.join(F.broadcast(kept), ["column", "canonical"]).select(
-        "column", "canonical", F.col("value").alias("variant"), "cnt", "total"
+    largest = Window.partitionBy("column").orderBy(F.desc("total"), "group")
+    kept = _case_groups(df).withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= top)
+    cells = _cells_with_case_key(df).withColumn("group", text_key(F.col("canonical")))
+    return (
+        cells.join(F.broadcast(kept.select("column", "group", "total")), ["column", "group"])
+        .groupBy("column", "canonical", F.col("value").alias("variant"), "total")
+        .agg(F.count("*").alias("cnt"))
     )
 
 
@@ -219,7 +230,7 @@ def format_issues(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         flags = facts.filter("kind = 'string'").select(
             "column", F.col("n_edge_space").alias("edge_space"), F.col("n_empty").alias("empty")
         )
-    mixed = _case_groups(df)[1].groupBy("column").agg(F.count("*").alias("case_groups"))
+    mixed = _case_groups(df).groupBy("column").agg(F.count("*").alias("case_groups"))
     found = flags.join(mixed, "column", "left")
     issues = F.array_compact(
         F.array(
@@ -359,7 +370,7 @@ def class_imbalance(
 
     ``targets`` are the target columns; by default the candidates that ``target_candidates`` finds.
     """
-    facts = collected(column_facts(df)) if facts is None else facts
+    facts = column_facts(df) if facts is None else facts
     if targets is None:
         targets = [r["column"] for r in target_candidates(df, facts).collect()]
     is_target = F.col("column").isin(list(targets)) if targets else F.lit(False)
@@ -481,7 +492,7 @@ def quality_report(
     df: DataFrame, targets: Sequence[str] | None = None, facts: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """All quality reports of a raw table over one set of facts; the short ones are kept as local rows."""
-    facts = collected(column_facts(df)) if facts is None else facts
+    facts = column_facts(df) if facts is None else facts
     missing = collected(missing_values(df, facts))
     totals, duplicates, issues, outliers, imbalance = together(
         df.sparkSession,

@@ -14,7 +14,6 @@ from tablescope.functions import text
 from tablescope.plans.columns import (
     col,
     collected,
-    families,
     flat_columns,
     local_rows,
     nan_to_null,
@@ -23,7 +22,7 @@ from tablescope.plans.columns import (
 )
 from tablescope.plans.gaps import median_gap, parsed_times
 from tablescope.functions.grades import frequency_label
-from tablescope.plans.passes import column_facts, value_counts
+from tablescope.plans.passes import column_facts
 from tablescope.plans.together import together
 
 SEMANTIC_TYPES = ("numeric", "categorical", "datetime", "boolean", "text", "identifier", "unknown")
@@ -93,21 +92,28 @@ def semantic_types(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 def sample_values(df: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """The smallest distinct values per column: ``column, rank, value``. Repeatable on any partitioning.
 
-    The limit per column is applied in every task before the exchange, so a column never gathers in one task.
+    Each rank is one aggregate over the table that looks for the smallest value above the one before, so no values
+    are exchanged but one candidate per task and column.
     """
     df = nan_to_null(df)
-    smallest = Window.partitionBy("column").orderBy("value")
-    result = None
-    for family in families(df, flat_columns(df)):
-        cells = df.select(*[col(c) for c in family]).unpivot([], [col(c) for c in family], "column", "value")
-        distinct = cells.filter("value IS NOT NULL").distinct()
-        part = (
-            distinct.withColumn("rank", F.row_number().over(smallest))
-            .filter(F.col("rank") <= samples)
-            .select("column", "rank", F.col("value").cast("string").alias("value"))
-        )
-        result = part if result is None else result.unionByName(part)
-    return result
+    columns = flat_columns(df)
+    last: dict[str, str | None] = {}
+    rows = []
+    for rank in range(1, samples + 1):
+        left = [c for c in columns if rank == 1 or last[c] is not None]
+        if not left:
+            break
+
+        def smallest(name: str) -> Column:
+            value = col(name)
+            if rank > 1:
+                value = F.when(value > F.lit(last[name]).cast(df.schema[name].dataType), value)
+            return F.min(value).cast("string")
+
+        found = df.agg(*[smallest(c) for c in left]).first()
+        last = dict(zip(left, found))
+        rows += [(c, rank, v) for c, v in last.items() if v is not None]
+    return local_rows(df.sparkSession, rows, "column string, rank int, value string")
 
 
 def column_profile(df: DataFrame, facts: DataFrame | None = None, samples: int = SAMPLES) -> DataFrame:
@@ -154,13 +160,17 @@ def datetime_parse_rates(df: DataFrame, facts: DataFrame | None = None) -> DataF
 def lexical_type_counts(df: DataFrame) -> DataFrame:
     """How many values of each text column look like ``int, float, bool, date`` or ``text``.
 
-    A Spark column has one storage type, so a mix of types can only show in the content of text columns.
+    A Spark column has one storage type, so a mix of types can only show in the content of text columns. Only five
+    counters per column and task are exchanged.
     """
-    counted = value_counts(df, string_columns(df))
+    texts = string_columns(df)
+    if not texts:
+        return local_rows(df.sparkSession, [], "column string, lexical_type string, cnt bigint")
+    cells = df.select(*[col(c) for c in texts]).unpivot([], [col(c) for c in texts], "column", "value")
     return (
-        counted.withColumn("lexical_type", text.lexical_class(F.col("value")))
-        .groupBy("column", "lexical_type")
-        .agg(F.sum("cnt").alias("cnt"))
+        cells.filter("value IS NOT NULL")
+        .groupBy("column", text.lexical_class(F.col("value")).alias("lexical_type"))
+        .agg(F.count("*").alias("cnt"))
     )
 
 
@@ -378,7 +388,7 @@ def _nothing() -> None:
 
 def schema_report(df: DataFrame, match: str = "substring") -> dict[str, DataFrame]:
     """All schema reports of a table over one set of facts."""
-    facts = collected(column_facts(df))
+    facts = column_facts(df)
     best = best_time_column(df, facts)
     span, frequency = together(
         df.sparkSession,
