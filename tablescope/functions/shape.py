@@ -51,6 +51,13 @@ def kurtosis_z(n: Column, g2: Column) -> Column:
     return (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both values are present; NULL when one of them does not vary there."""
+    a, b = a.cast("double"), b.cast("double")
+    spread = F.stddev_samp(F.when(b.isNotNull(), a)) * F.stddev_samp(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_samp(a, b), spread)
+
+
 def normality_p(n: Column, g1: Column, g2: Column) -> Column:
     """p-value of the K-squared test: chi-square with two degrees of freedom has the tail exp(-K2/2)."""
     zs, zk = skewness_z(n, g1), kurtosis_z(n, g2)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions import grades
+from tablescope.functions import grades, shape
 from tablescope.functions.text import parse_timestamp
 from tablescope.operators.cluster import Clustering
 from tablescope.operators.quality import IQR_MULTIPLIER, class_distribution
@@ -136,7 +136,7 @@ def scatter_r(df: DataFrame, x: str, y: str) -> DataFrame:
         F.lit(x).alias("col1"),
         F.lit(y).alias("col2"),
         F.count(F.lit(1)).alias("n_points"),
-        F.corr(col(x).cast("double"), col(y).cast("double")).alias("r"),
+        shape.pearson(col(x), col(y)).alias("r"),
     )
 
 
@@ -240,12 +240,18 @@ def time_series(
     chosen = list(series)[:max_series]
     is_text = dict(df.dtypes)[time_column] == "string"
     ts = parse_timestamp(col(time_column)) if is_text else col(time_column).cast("timestamp_ntz")
-    values = df.select(ts.alias("_ts"), *[col(c).cast("double").alias(c) for c in chosen]).filter("_ts IS NOT NULL")
-    buckets = values.groupBy(F.window("_ts", width).alias("_w")).agg(
-        F.count(F.lit(1)).alias("n_records"), *[F.avg(col(c)).alias(c) for c in chosen]
+    places = [f"s{i}" for i in range(len(chosen))]
+    values = df.select(ts.alias("ts"), *[col(c).cast("double").alias(s) for s, c in zip(places, chosen)])
+    buckets = (
+        values.filter("ts IS NOT NULL")
+        .groupBy(F.window("ts", width).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n_records"), *[F.avg(s).alias(s) for s in places])
     )
-    return buckets.select(F.col("_w.start").alias("bucket_start"), "n_records", *[col(c) for c in chosen]).unpivot(
-        ["bucket_start", "n_records"], [col(c) for c in chosen], "series", "mean_value"
+    names = F.create_map(*[part for s, c in zip(places, chosen) for part in (F.lit(s), F.lit(c))])
+    return (
+        buckets.select(F.col("w.start").alias("bucket_start"), "n_records", *places)
+        .unpivot(["bucket_start", "n_records"], places, "place", "mean_value")
+        .select("bucket_start", names[F.col("place")].alias("series"), "n_records", "mean_value")
     )
 
 
@@ -261,8 +267,9 @@ def time_points(df: DataFrame, time_column: str) -> DataFrame:
 def chart_clusters(found: Clustering, points: int = SCATTER_POINTS) -> DataFrame:
     """Points of the first two numeric columns with the cluster of their own row."""
     x, y = found.columns[:2]
-    named = found.labelled.withColumn("cluster", F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
-    return scatter_points(named, x, y, "cluster", points).withColumnRenamed("class", "cluster")
+    name = F.concat(F.lit("Cluster "), col(found.label).cast("string"))
+    named = found.labelled.withColumn(found.label, name)
+    return scatter_points(named, x, y, found.label, points).withColumnRenamed("class", "cluster")
 
 
 def chart_silhouette(found: Clustering) -> DataFrame:

@@ -23,6 +23,8 @@ MAX_ITERATIONS = 100
 # Iteration ends when the squared moves of all centres sum to this share of the mean variance (1 once standardised).
 TOLERANCE = 1e-4
 SEED = 42
+# Working columns beside those of the table.
+RAW, POINTS, LABEL = "__raw", "__points", "__label"
 # A table below this size may come as one file split: its rows are spread over the cores, kept, and fitted for
 # several k side by side.
 SPREAD_BELOW_ROWS = 5_000_000
@@ -39,6 +41,7 @@ class Clustering:
     model: KMeansModel
     mean: list[float]
     std: list[float]
+    label: str
     labelled: DataFrame
 
     def k_scores(self) -> DataFrame:
@@ -47,7 +50,7 @@ class Clustering:
         return local_rows(spark, rows, "k int, silhouette double, is_best boolean")
 
     def sizes(self) -> DataFrame:
-        return self.labelled.groupBy("cluster").agg(F.count("*").alias("size")).orderBy("cluster")
+        return self.labelled.groupBy(F.col(self.label).alias("cluster")).agg(F.count("*").alias("size")).orderBy("cluster")
 
     def centers(self) -> DataFrame:
         """Cluster centres in the columns' own units: ``cluster, column, center``."""
@@ -63,9 +66,13 @@ class Clustering:
 def _fit(points: DataFrame, k: int, seed: int) -> tuple[int, float, KMeansModel] | None:
     # Spark compares the move of each centre, so the bound is shared out among the k centres.
     move = math.sqrt(TOLERANCE / k)
-    model = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=move).fit(points)
+    kmeans = KMeans(
+        k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=move, featuresCol=POINTS, predictionCol=LABEL
+    )
+    evaluator = ClusteringEvaluator(featuresCol=POINTS, predictionCol=LABEL)
+    model = kmeans.fit(points)
     try:
-        return k, ClusteringEvaluator().evaluate(model.transform(points)), model
+        return k, evaluator.evaluate(model.transform(points)), model
     except IllegalArgumentException:  # all rows fell into one cluster
         return None
 
@@ -89,15 +96,14 @@ def kmeans_search(df: DataFrame, max_k: int = MAX_K, seed: int = SEED) -> Cluste
     small = rows < SPREAD_BELOW_ROWS
     if small:
         numbers = numbers.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    assembler = VectorAssembler(inputCols=numbers.columns, outputCol="raw")
-    raw = assembler.transform(numbers).select("raw")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(raw)
-    vectors = scaler.transform(raw).select("features")
+    raw = VectorAssembler(inputCols=numbers.columns, outputCol=RAW).transform(numbers).select(RAW)
+    scaler = StandardScaler(inputCol=RAW, outputCol=POINTS, withMean=True, withStd=True).fit(raw)
+    vectors = scaler.transform(raw).select(POINTS)
     kept = vectors.persist(StorageLevel.MEMORY_AND_DISK) if small else vectors
     try:
         # Each fit keeps its own decoded copy of the points while it iterates, which it only does for an input that
         # is not itself persisted; hence the projection. Large tables are fitted one k after the other.
-        points = kept.select("features").filter(F.col("features").isNotNull())
+        points = kept.select(POINTS).filter(F.col(POINTS).isNotNull())
         ks = range(2, min(max_k, rows - 1) + 1)
         tried = together(df.sparkSession, [partial(_fit, points, k, seed) for k in ks], len(ks) if small else 1)
     finally:
@@ -106,10 +112,11 @@ def kmeans_search(df: DataFrame, max_k: int = MAX_K, seed: int = SEED) -> Cluste
     if not tried:
         return None
     best = max(tried, key=lambda t: (t[1], -t[0]))
-    keep = complete.select("*", *[col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    inputs = [f"_x{i}" for i in range(len(columns))]
-    labelled = VectorAssembler(inputCols=inputs, outputCol="raw").transform(keep)
-    labelled = best[2].transform(scaler.transform(labelled)).withColumnRenamed("prediction", "cluster")
+    inputs = [f"__x{i}" for i in range(len(columns))]
+    labelled = complete.select("*", *[col(c).cast("double").alias(x) for x, c in zip(inputs, columns)])
+    labelled = VectorAssembler(inputCols=inputs, outputCol=RAW).transform(labelled)
+    label = "cluster" if "cluster" not in df.columns else "cluster_label"
+    labelled = best[2].transform(scaler.transform(labelled)).withColumnRenamed(LABEL, label)
     return Clustering(
         columns=columns,
         scores=[(k, score) for k, score, _ in tried],
@@ -118,5 +125,6 @@ def kmeans_search(df: DataFrame, max_k: int = MAX_K, seed: int = SEED) -> Cluste
         model=best[2],
         mean=list(scaler.mean),
         std=list(scaler.std),
-        labelled=labelled.drop("raw", "features", *inputs),
+        label=label,
+        labelled=labelled.drop(RAW, POINTS, *inputs),
     )

@@ -39,7 +39,7 @@ def _binned(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     The bucketizer closes its intervals at the lower end, so values and cut points enter with opposite sign.
     """
     names = list(cuts)
-    inputs, outputs = [f"_v{i}" for i in range(len(names))], [f"_b{i}" for i in range(len(names))]
+    inputs, outputs = [f"__v{i}" for i in range(len(names))], [f"__b{i}" for i in range(len(names))]
     infinity = float("inf")
     splits = [[-infinity, *sorted({-c for c in cuts[n]}), infinity] for n in names]
     signed = df.withColumns({i: -_as_number(df, n) for i, n in zip(inputs, names)})
@@ -92,9 +92,9 @@ def target_information(
         return col(name) if name in cuts else text_key(col(name).cast("string"))
 
     binned = _binned(df, cuts) if cuts else df
-    keyed = binned.select(key(target).alias("_y"), *[key(c).alias(c) for c in features])
+    keyed = binned.select(key(target).alias("__y"), *[key(c).alias(c) for c in features])
     cells = reduce(DataFrame.unionByName, [_cells(keyed, family) for family in families(keyed, features)])
-    feature, x, y = F.col("feature"), F.col("x"), F.col("_y")
+    feature, x, y = F.col("feature"), F.col("x"), F.col("__y")
     levels = cells.groupingSets([[feature, x, y], [feature, x], [feature, y]], feature, x, y).agg(
         F.sum("c").alias("n"), F.grouping_id().alias("level")
     )
@@ -120,10 +120,10 @@ def target_information(
 
 
 def _cells(keyed: DataFrame, features: list[str]) -> DataFrame:
-    """``feature, x, _y, c``: how often each value of a feature meets each value of the target."""
+    """``feature, x, __y, c``: how often each value of a feature meets each value of the target."""
     return (
-        keyed.unpivot([F.col("_y")], [col(c) for c in features], "feature", "x")
-        .groupBy("feature", "x", "_y")
+        keyed.unpivot([F.col("__y")], [col(c) for c in features], "feature", "x")
+        .groupBy("feature", "x", "__y")
         .agg(F.count("*").alias("c"))
         .withColumn("x", F.col("x").cast("string"))
     )

@@ -152,7 +152,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     rest = [p for p in order if not (p[0] in whole and p[1] in whole) and not empty & set(p)]
     for start in range(0, len(rest), PAIRS_PER_AGGREGATE):
         chunk = rest[start : start + PAIRS_PER_AGGREGATE]
-        row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")) for a, b in chunk]).first()
+        row = df.agg(*[shape.pearson(col(a), col(b)) for a, b in chunk]).first()
         found.update(zip(chunk, row))
     rows = [(a, b, r, order[(a, b)]) for (a, b), r in found.items() if r is not None and r == r]
     return local_rows(spark, rows, schema).orderBy("position")

@@ -21,13 +21,13 @@ def duplicated_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) ->
     """
     df = nan_to_null(df)
     columns = [col(c) for c in df.columns]
-    hashed = df.withColumn("_row_hash", F.xxhash64(*columns))
-    repeated = hashed.groupBy("_row_hash").agg(F.count("*").alias("c")).filter("c > 1").select("_row_hash")
+    hashed = df.withColumn("__row_hash", F.xxhash64(*columns))
+    repeated = hashed.groupBy("__row_hash").agg(F.count("*").alias("__copies")).filter("__copies > 1").select("__row_hash")
     suspects = repeated.count()
     if suspects == 0:
         return 0
     rows = df
     if suspects <= broadcast_hashes:
-        rows = hashed.join(F.broadcast(repeated), "_row_hash", "left_semi").drop("_row_hash")
-    extra = rows.groupBy(*columns).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1)).first()[0]
+        rows = hashed.join(F.broadcast(repeated), "__row_hash", "left_semi").drop("__row_hash")
+    extra = rows.groupBy(*columns).agg(F.count("*").alias("__copies")).agg(F.sum(F.col("__copies") - 1)).first()[0]
     return extra or 0

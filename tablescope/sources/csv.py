@@ -77,7 +77,8 @@ def load_csv(
 ) -> LoadedCsv:
     """Read CSV files with a header line; the encoding is found per file: UTF-8 if its bytes allow, else Latin-1.
 
-    Any other encoding (``cp1252``, say) can be named. ``multi_line`` allows line breaks inside quotes, at the price
+    Any other encoding that the CSV reader knows can be named; one that has to be tried after Latin-1 would never be
+    reached, since Latin-1 accepts every byte. ``multi_line`` allows line breaks inside quotes, at the price
     of files that are no longer split. The size is that of all files, in MB.
     """
     found = file_encodings(spark, path)
