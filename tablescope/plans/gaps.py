@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,10 @@ def median_gap(
         found = {}
         if wanted:
             steps = time_gaps(times, distinct, times_per_bucket)
+            if distinct > bracket_rows:  # read several times by the search
+                steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
             found = order_statistics(steps, wanted, {"gap_us": distinct - 1}, bracket_rows)
+            steps.unpersist()
         values = [found.get(("gap_us", p - zeros), 0.0) for p in places]
         median = sum(values) / len(values)
     return local_rows(spark, [(n_records, median)], "n_records bigint, median_gap_us double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablescope.operators import charts, cluster, context, importance, quality, schema, stats
 from tablescope.operators.clean import clean_table
@@ -13,9 +16,14 @@ from tablescope.operators.cluster import SPREAD_BELOW_ROWS
 from tablescope.operators.names import name_map, normalize_names
 from tablescope.plans.columns import collected
 from tablescope.plans.together import together
+from tablescope.session import shared_folder
 from tablescope.sources.csv import load_csv
 
 
+# CSV input above this size is written as Parquet before it is analysed.
+STAGE_ABOVE_MB = 512
+
+
 @dataclass
 class Profile:
     """Schema and quality describe the raw table; the profile, charts and context describe the clean one."""
@@ -49,10 +57,8 @@ class Profile:
         )
 
 
-def profiling_report(
-    clean: DataFrame, target: str | None = None, clustering: cluster.Clustering | None = None
-) -> dict[str, DataFrame]:
-    """All statistical reports of a clean table; moments, pairs and importance are computed once."""
+def profiling_report(clean: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
+    """All statistical reports of a clean table but clustering; moments, pairs and importance are computed once."""
     shapes, pairs, ranked = together(
         clean.sparkSession,
         [
@@ -61,21 +67,17 @@ def profiling_report(
             lambda: collected(importance.feature_importance(clean, target)),
         ],
     )
-    report = {
+    return {
         "descriptive_stats": stats.descriptive_stats(clean, shapes),
         "skewed_columns": stats.skewed_columns(clean, shapes),
         "high_kurtosis": stats.high_kurtosis(clean, shapes),
         "normality_test": stats.normality_test(clean, shapes),
+        "correlation_r": pairs,
         "correlation_pairs": stats.correlation_report(clean, pairs),
         "correlation_top": stats.correlation_top(clean, pairs=pairs),
         "correlation_summary": stats.correlation_summary(clean, pairs),
         "feature_importance": ranked,
     }
-    if clustering:
-        report["kmeans_k_scores"] = clustering.k_scores()
-        report["kmeans_sizes"] = clustering.sizes()
-        report["kmeans_centers"] = clustering.centers()
-    return report
 
 
 def dashboard_charts(profile: Profile) -> dict[str, DataFrame]:
@@ -86,33 +88,36 @@ def dashboard_charts(profile: Profile) -> dict[str, DataFrame]:
     nums = [c for c in raw.columns if kinds[c] == "numeric"]
     cats = [c for c in raw.columns if kinds[c] == "categorical"]
     score = profile.quality["quality_score"]
-    found: dict[str, DataFrame | None] = {
-        "quality_gauge": charts.chart_gauge(score),
-        "quality_dimensions": charts.chart_dimensions(score),
-        "missing_values": charts.chart_missing(profile.quality["missing_values"]),
-        "outliers": charts.chart_box(clean, profile.quality["iqr_outliers"]),
-        "class_balance": charts.chart_class_balance(raw, profile.quality["class_imbalance"]),
-        "feature_importance": charts.chart_importance(profile.profiling["feature_importance"]),
-        "correlation_pairs": charts.chart_corr_pairs(profile.profiling["correlation_top"]),
+    quality_report, profiling = profile.quality, profile.profiling
+    build: dict[str, Callable[[], DataFrame | None]] = {
+        "quality_gauge": lambda: charts.chart_gauge(score),
+        "quality_dimensions": lambda: charts.chart_dimensions(score),
+        "missing_values": lambda: charts.chart_missing(quality_report["missing_values"]),
+        "outliers": lambda: charts.chart_box(clean, quality_report["iqr_outliers"]),
+        "class_balance": lambda: charts.chart_class_balance(raw, quality_report["class_imbalance"]),
+        "feature_importance": lambda: charts.chart_importance(profiling["feature_importance"]),
+        "correlation_pairs": lambda: charts.chart_corr_pairs(profiling["correlation_top"]),
     }
     if nums:
-        found["distributions"] = charts.hist_grid(clean, nums)
-        found["dist"] = charts.hist_top_variance(clean, nums)
+        build["distributions"] = lambda: charts.hist_grid(clean, nums)
+        build["dist"] = lambda: charts.hist_top_variance(clean, nums)
     if cats:
-        found["comp"] = charts.composition(clean, cats[0])
+        build["comp"] = lambda: charts.composition(clean, cats[0])
     if len(nums) >= 2:
-        found["rel"] = charts.scatter_points(clean, nums[0], nums[1], cats[0] if cats else None)
-        found["heat"] = charts.correlation_heatmap(clean.select(*nums))
+        among = F.col("col1").isin(nums) & F.col("col2").isin(nums)
+        build["rel"] = lambda: charts.scatter_points(clean, nums[0], nums[1], cats[0] if cats else None)
+        build["heat"] = lambda: charts.correlation_heatmap(clean.select(*nums), profiling["correlation_r"].filter(among))
     if cats and nums:
-        found["bar"] = charts.category_mean(clean, cats[0], nums[0])
+        build["bar"] = lambda: charts.category_mean(clean, cats[0], nums[0])
     best = profile.schema["time_columns"].filter("is_best").first()
     if best and nums:
         frequency = profile.schema["time_frequency"].first()
         width = charts.BUCKET_WIDTHS.get(frequency["frequency"] if frequency else None, "1 day")
-        found["time_series"] = charts.time_series(clean, best["column"], nums, width)
+        build["time_series"] = lambda: charts.time_series(clean, best["column"], nums, width)
     if profile.clustering:
-        found["clustering"] = charts.chart_clusters(profile.clustering)
-        found["silhouette"] = charts.chart_silhouette(profile.clustering)
+        build["clustering"] = lambda: charts.chart_clusters(profile.clustering)
+        build["silhouette"] = lambda: charts.chart_silhouette(profile.clustering)
+    found = dict(zip(build, together(clean.sparkSession, list(build.values()))))
     return {name: df for name, df in found.items() if df is not None}
 
 
@@ -134,15 +139,38 @@ def profile_table(
         df.sparkSession,
         [lambda: quality.quality_report(raw, targets, schema_report["facts"]), lambda: clean_table(raw)],
     )
-    found = cluster.kmeans_search(clean) if run_clustering else None
-    profiling = profiling_report(clean, targets[0] if targets else None, found)
+    profiling, found = together(
+        df.sparkSession,
+        [
+            lambda: profiling_report(clean, targets[0] if targets else None),
+            lambda: cluster.kmeans_search(clean) if run_clustering else None,
+        ],
+    )
+    if found:
+        profiling["kmeans_k_scores"] = found.k_scores()
+        profiling["kmeans_sizes"] = found.sizes()
+        profiling["kmeans_centers"] = found.centers()
     result = Profile(raw, clean, names, size_mb, schema_report, quality_report, profiling, found)
     if with_charts:
         result.charts = dashboard_charts(result)
     return result
 
 
-def load_analyse_clean(spark: SparkSession, path: str, encoding: str | None = None, **options) -> Profile:
-    """The same for CSV files."""
+def load_analyse_clean(
+    spark: SparkSession, path: str, encoding: str | None = None, stage_above_mb: float = STAGE_ABOVE_MB, **options
+) -> Profile:
+    """The same for CSV files.
+
+    Many passes follow, and each would parse the whole text again. Large input is therefore written once as Parquet
+    to the shared folder, from which a pass reads only its columns.
+    """
     loaded = load_csv(spark, path, encoding)
-    return profile_table(loaded.df, loaded.size_mb, **options)
+    table = loaded.df
+    if loaded.size_mb > stage_above_mb:
+        staged = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+        table = normalize_names(table)
+        table.write.parquet(staged)
+        table = spark.read.parquet(staged)
+    result = profile_table(table, loaded.size_mb, **options)
+    result.names = name_map(loaded.df)
+    return result

@@ -69,6 +69,13 @@ def test_run_charts_and_context(run):
     assert "Rows: 60  |  Columns: 3" in text
 
 
+def test_large_input_is_staged_as_columns(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("My Key,v\n" + "\n".join(f"{i},{i % 7}" for i in range(200)))
+    found = load_analyse_clean(spark, str(tmp_path), stage_above_mb=-1.0, run_clustering=False, with_charts=False)
+    assert found.raw.columns == ["my_key", "v"] and found.raw.count() == 200
+    assert [r["original"] for r in found.names.collect()] == ["My Key", "v"]
+
+
 def test_samples(spark):
     df = spark.range(5000).select((F.col("id") % 1000).alias("a"), F.col("id").alias("b"))
     assert context.context_sample(df, 1.0, ["b"]).count() == 100
