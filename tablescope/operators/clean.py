@@ -19,6 +19,7 @@ from tablescope.plans.columns import (
 )
 from tablescope.plans.passes import class_summary, key_counts, text_key
 from tablescope.plans.quantiles import exact_quantiles
+from tablescope.plans.together import together
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -73,7 +74,14 @@ def fill_medians(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     fractional; a column without any value stays empty."""
     df = nan_to_null(df)
     gaps = _with_gaps(df, numeric_columns(df)) if columns is None else columns
-    found = {r["column"]: r["median"] for r in medians(df, gaps).collect()}
+    return _with_medians(df, gaps, _median_values(df, gaps))
+
+
+def _median_values(df: DataFrame, gaps: list[str]) -> dict[str, float]:
+    return {r["column"]: r["median"] for r in medians(df, gaps).collect()} if gaps else {}
+
+
+def _with_medians(df: DataFrame, gaps: list[str], found: dict[str, float]) -> DataFrame:
     return df.select(
         *[
             F.coalesce(col(c).cast("double"), F.lit(found.get(c)).cast("double")).alias(c) if c in gaps else col(c)
@@ -90,7 +98,10 @@ def fill_modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     df = nan_to_null(df)
     numeric = set(numeric_columns(df))
     gaps = _with_gaps(df, [c for c in flat_columns(df) if c not in numeric]) if columns is None else columns
-    found = modes(df, gaps)
+    return _with_modes(df, gaps, modes(df, gaps) if gaps else {})
+
+
+def _with_modes(df: DataFrame, gaps: list[str], found: dict[str, str]) -> DataFrame:
     texts = set(string_columns(df))
 
     def filled(name: str):
@@ -114,5 +125,8 @@ def clean_table(df: DataFrame) -> DataFrame:
     gaps = [c for c, missing in zip(columns, counts[1:]) if missing > counts[0]]
     numeric = set(numeric_columns(df))
     df = trim_strings(df.dropna(how="all") if counts[0] else df)
-    df = fill_medians(df, [c for c in gaps if c in numeric])
-    return fill_modes(df, [c for c in gaps if c not in numeric])
+    numbers, others = [c for c in gaps if c in numeric], [c for c in gaps if c not in numeric]
+    found_medians, found_modes = together(
+        df.sparkSession, [lambda: _median_values(df, numbers), lambda: modes(df, others) if others else {}]
+    )
+    return _with_modes(_with_medians(df, numbers, found_medians), others, found_modes)

@@ -425,18 +425,23 @@ def quality_score(
 
     The four inputs are short reports; each is reduced to named numbers and one aggregate puts them side by side.
     """
-    missing = missing_summary(df) if missing is None else missing
-    duplicates = duplicate_rows(df) if duplicates is None else duplicates
-    issues = format_issues(df) if issues is None else issues
-    outliers = iqr_outliers(df) if outliers is None else outliers
+    totals, copies, formats, fences = together(
+        df.sparkSession,
+        [
+            lambda: collected(missing_summary(df)) if missing is None else missing,
+            lambda: collected(duplicate_rows(df)) if duplicates is None else duplicates,
+            lambda: collected(format_issues(df)) if issues is None else issues,
+            lambda: collected(iqr_outliers(df)) if outliers is None else outliers,
+        ],
+    )
     mean_outliers = F.avg(F.when(F.col("outlier_count") > 0, F.col("outlier_pct")))
     parts = (
-        missing.select(F.lit("missing").alias("part"), F.col("overall_pct").alias("number"))
-        .unionByName(duplicates.select(F.lit("duplicates").alias("part"), F.col("exact_pct").alias("number")))
+        totals.select(F.lit("missing").alias("part"), F.col("overall_pct").alias("number"))
+        .unionByName(copies.select(F.lit("duplicates").alias("part"), F.col("exact_pct").alias("number")))
         .unionByName(
-            issues.agg(F.sum("issue_count").cast("double").alias("number")).withColumn("part", F.lit("issues"))
+            formats.agg(F.sum("issue_count").cast("double").alias("number")).withColumn("part", F.lit("issues"))
         )
-        .unionByName(outliers.agg(mean_outliers.alias("number")).withColumn("part", F.lit("outliers")))
+        .unionByName(fences.agg(mean_outliers.alias("number")).withColumn("part", F.lit("outliers")))
     )
 
     def points(part: str, weight: float) -> Column:

@@ -119,7 +119,8 @@ def sample_values(df: DataFrame, samples: int = SAMPLES) -> DataFrame:
 def column_profile(df: DataFrame, facts: DataFrame | None = None, samples: int = SAMPLES) -> DataFrame:
     """Type, semantic type, distinct count, nulls and sample values, one row per column."""
     rows = F.nullif(F.col("n_rows"), F.lit(0)).cast("double")
-    profile = _facts(df, facts).select(
+    known, smallest = together(df.sparkSession, [lambda: _facts(df, facts), lambda: sample_values(df, samples)])
+    profile = known.select(
         "column",
         "position",
         "data_type",
@@ -130,8 +131,7 @@ def column_profile(df: DataFrame, facts: DataFrame | None = None, samples: int =
         F.coalesce(F.round(F.col("n_null") / rows * 100, 2), F.lit(0.0)).alias("null_pct"),
     )
     shown = (
-        sample_values(df, samples)
-        .groupBy("column")
+        smallest.groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
         .select("column", F.array_join("s.value", ", ").alias("sample_values"))
     )

@@ -181,3 +181,14 @@ def test_reports_do_not_depend_on_partitioning(spark):
     one, seven = df.coalesce(1), df.repartition(7)
     for report in (schema.column_profile, schema.target_candidates, schema.primary_keys):
         assert report(one).collect() == report(seven).collect()
+
+
+def test_every_kind_of_white_space_is_trimmed(make):
+    from tablescope.functions.text import has_edge_space, trimmed
+
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    rows = [(f"{s}a b{s}",) for s in spaces] + [(chr(0x200B) + "a",), ("a" + chr(0x200B),)]
+    found = make(rows, "x string").select("x", trimmed(F.col("x")).alias("t"), has_edge_space(F.col("x")).alias("e"))
+    for r in found.collect():
+        assert r["t"] == r["x"].strip()
+        assert r["e"] == (r["x"] != r["x"].strip())
