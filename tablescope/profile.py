@@ -133,15 +133,12 @@ def profile_table(
     raw = normalize_names(df)
     if df.count() < SPREAD_BELOW_ROWS:
         raw = raw.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
-    schema_report = schema.schema_report(raw)
+    schema_report, clean = together(df.sparkSession, [lambda: schema.schema_report(raw), lambda: clean_table(raw)])
     targets = [r["column"] for r in schema_report["target_candidates"].collect()]
-    quality_report, clean = together(
-        df.sparkSession,
-        [lambda: quality.quality_report(raw, targets, schema_report["facts"]), lambda: clean_table(raw)],
-    )
-    profiling, found = together(
+    quality_report, profiling, found = together(
         df.sparkSession,
         [
+            lambda: quality.quality_report(raw, targets, schema_report["facts"]),
             lambda: profiling_report(clean, targets[0] if targets else None),
             lambda: cluster.kmeans_search(clean) if run_clustering else None,
         ],
