@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tablescope.operators.schema import SEMANTIC_TYPES
 from tablescope.operators.stats import column_shapes
 from tablescope.plans.columns import col, flat_columns, local_rows, nan_to_null, numeric_columns, schema_rows
 from tablescope.plans.passes import class_summary
+from tablescope.plans.together import together
 
 LARGE_MB = 50
 LARGE_SAMPLE = 500
 SMALL_SAMPLE = 100
+SHORT_LIST = 3
+BEST_FEATURES = 5
 RULE = "=" * 50
 
 
@@ -82,122 +85,72 @@ def dataset_info(
     )
 
 
-def schema_lines(report: dict[str, DataFrame], size_mb: float) -> list[str]:
-    shape = report["shape"].first()
-    counts = {r["semantic_type"]: r["n_columns"] for r in report["column_categories"].collect()}
-    titles = {"datetime": "DateTime"}
-    lines = [
-        f"**Dataset Shape:** {shape['rows']:,} rows × {shape['cols']} columns",
-        f"**Size:** {size_mb} MB",
-        "",
-        "**Column Breakdown:**",
+def _rows_as_lines(title: str, df: DataFrame) -> list[str]:
+    """A short report as a title and one ``name=value`` line per row; nothing if it has no rows."""
+    rows = df.collect()
+    shown = [", ".join(f"{k}={v}" for k, v in r.asDict().items() if v is not None) for r in rows]
+    return [f"{title}:", *[f"  - {line}" for line in shown], ""] if shown else []
+
+
+def _block(parts: list[tuple[str, DataFrame]]) -> list[str]:
+    return [line for title, df in parts for line in _rows_as_lines(title, df)]
+
+
+def schema_lines(report: dict[str, DataFrame]) -> list[str]:
+    """Shape, columns by type, mixed columns, keys, the likely target, and the time structure."""
+    parts = [
+        ("Shape", report["shape"].select("rows", "cols")),
+        ("Columns by type", report["column_categories"].filter("n_columns > 0")),
+        ("Mixed columns", report["mixed_columns"].select("column", "types_found")),
+        ("Primary key candidates", report["primary_keys"].select("column", "confidence")),
+        ("Likely target", report["target_candidates"].limit(1).select("column", "score", "reasons")),
     ]
-    shown = ("numeric", "categorical", "boolean", "datetime", "text", "identifier")
-    lines += [f"  - {titles.get(t, t.title())}: {counts[t]} columns" for t in shown if t in SEMANTIC_TYPES]
-    mixed = report["mixed_columns"].collect()
-    if mixed:
-        lines += ["", f"**Mixed Columns Detected:** {len(mixed)}"]
-        lines += [f"  - `{r['column']}`: types = {r['types_found']}" for r in mixed]
-    keys = [r["column"] for r in report["primary_keys"].collect()]
-    if keys:
-        lines += ["", f"**Primary Key Candidates:** {', '.join(keys)}"]
-    top = report["target_candidates"].first()
-    if top:
-        lines += ["", f"**Likely Target Column:** `{top['column']}` (score={top['score']})"]
-        lines += [f"  - {reason}" for reason in top["reasons"].split("; ")]
-    best = report["time_columns"].filter("is_best").first()
-    if best:
-        lines += ["", "**Time Series Detected:**", f"  - Best column: `{best['column']}`"]
-        frequency = report["time_frequency"].first()
-        if frequency and frequency["frequency"]:
-            lines.append(f"  - Frequency: {frequency['frequency']}")
-        span = report["temporal_span"].first()
-        if span:
-            lines.append(f"  - Span: {span['start_ts']} → {span['end_ts']} ({span['duration_days']} days)")
-    return lines
+    if "time_frequency" in report:
+        parts += [
+            ("Time column", report["time_frequency"].select("column", "frequency")),
+            ("Time span", report["temporal_span"].select("start_ts", "end_ts", "duration_days", "n_records")),
+        ]
+    return _block(parts)
 
 
 def quality_lines(report: dict[str, DataFrame]) -> list[str]:
-    score, missing = report["quality_score"].first(), report["missing_summary"].first()
-    duplicates, outliers = report["duplicate_rows"].first(), report["outlier_summary"].first()
-    rows = missing["rows_complete"] + missing["rows_with_any_missing"]
-    lines = [f"## Data Quality Score: {score['total']}/100 (Grade: {score['grade']})", "", "**Dimension Scores:**"]
-    lines += [f"  - {d.title()}: {score[d]}/25" for d in ("completeness", "uniqueness", "consistency", "validity")]
-    lines += [
-        "",
-        f"**Missing Values:** {missing['total_missing']:,} total ({missing['overall_pct']}%)",
-        f"  - {missing['pattern_summary']}",
-        f"  - Complete rows: {missing['rows_complete']:,} / {rows:,}",
-        "",
-        f"**Duplicates:** {duplicates['exact_duplicates']:,} exact ({duplicates['exact_pct']}%)",
-        f"  - {duplicates['recommendation']}",
-        "",
-        f"**Outliers:** {outliers['total_outliers']:,} data points",
-        f"  - {outliers['summary']}",
-    ]
-    imbalance = report["class_imbalance"].limit(3).collect()
-    if imbalance:
-        lines += ["", "**Class Imbalance:**"]
-        lines += [
-            f"  - `{r['column']}`: ratio={r['imbalance_ratio']}x ({r['severity']}) — {r['recommendation']}"
-            for r in imbalance
+    """Score, missing values, duplicates, outliers, and the first three imbalanced and badly formatted columns."""
+    balance = report["class_imbalance"].limit(SHORT_LIST)
+    return _block(
+        [
+            ("Quality score", report["quality_score"]),
+            ("Missing values", report["missing_summary"]),
+            ("Duplicates", report["duplicate_rows"]),
+            ("Outliers", report["outlier_summary"]),
+            ("Class imbalance", balance.select("column", "imbalance_ratio", "severity", "recommendation")),
+            ("Format issues", report["format_issues"].limit(SHORT_LIST).select("column", "issues")),
         ]
-    issues = report["format_issues"].collect()
-    if issues:
-        lines += ["", f"**Format Issues:** {len(issues)} column(s) with inconsistencies"]
-        lines += [f"  - `{r['column']}`: {r['issues']}" for r in issues[:3]]
-    return lines
+    )
 
 
 def profiling_lines(report: dict[str, DataFrame]) -> list[str]:
-    lines = []
-    skewed = report["skewed_columns"].collect()
-    if skewed:
-        lines.append("**Skewed Columns:**")
-        for r in skewed:
-            lines.append(f"  - `{r['column']}`: skewness={r['skewness']} ({r['direction']}-skewed)")
-            lines.append(f"    {r['suggestion']}")
-    else:
-        lines.append("**Skewness:** All numeric columns are approximately symmetric.")
-    heavy = report["high_kurtosis"].collect()
-    if heavy:
-        lines += ["", "**Heavy-Tailed Columns:**"]
-        lines += [f"  - `{r['column']}`: kurtosis={r['kurtosis']} ({r['type']})" for r in heavy]
-    shapes = report["normality_test"].collect()
-    lines.append("")
-    normal = [r["column"] for r in shapes if r["is_normal"]]
-    other = [r for r in shapes if not r["is_normal"]]
-    if normal:
-        lines.append(f"**Normally Distributed:** {', '.join(normal)}")
-    if other:
-        lines.append("**Non-Normal Distributions:**")
-        lines += [f"  - `{r['column']}`: {r['distribution_type']}" for r in other[:5]]
-    lines += ["", f"**Correlations:** {report['correlation_summary'].first()['summary']}"]
-    top = report["correlation_top"]
-    for sign, order in (("positive", F.desc("correlation")), ("negative", F.asc("correlation"))):
-        r = top.filter(F.col("direction") == sign).orderBy(order).first()
-        if r:
-            lines.append(f"  Strongest {sign}: {r['col1']} & {r['col2']} (r={r['correlation']})")
-    ranked: list[Row] = report["feature_importance"].limit(5).collect()
-    lines.append("")
-    if ranked:
-        lines.append(f"**Feature Importance** (method: {ranked[0]['method']}):")
-        if ranked[0]["target_used"]:
-            lines.append(f"  Target: `{ranked[0]['target_used']}`")
-        lines += [f"  - `{r['feature']}`: score={r['score']}" for r in ranked]
-    lines.append("")
+    """Skew, tails, distributions, correlation, the five best features, and the clusters."""
+    shapes = report["normality_test"].select("column", "is_normal", "distribution_type")
+    extremes = Window.partitionBy("direction").orderBy(F.desc(F.abs("correlation")), "position")  # at most ten rows each
+    pairs = report["correlation_top"].withColumn("place", F.row_number().over(extremes)).filter("place = 1")
+    parts = [
+        ("Skewed columns", report["skewed_columns"]),
+        ("Heavy or light tails", report["high_kurtosis"]),
+        ("Distributions", shapes),
+        ("Correlation", report["correlation_summary"]),
+        ("Strongest pairs", pairs.select("direction", "col1", "col2", "correlation")),
+        ("Feature importance", report["feature_importance"].limit(BEST_FEATURES).drop("position")),
+    ]
     if "kmeans_k_scores" in report:
-        best = report["kmeans_k_scores"].filter("is_best").first()
-        sizes = ", ".join(f"Cluster {r['cluster']}: {r['size']}" for r in report["kmeans_sizes"].collect())
-        lines.append(f"**Clustering:** Optimal k={best['k']} (silhouette={best['silhouette']})")
-        lines.append(f"  Cluster sizes: {sizes}")
-    else:
-        lines.append("**Clustering:** Not performed or insufficient data.")
-    return lines
+        parts += [
+            ("Clusters", report["kmeans_k_scores"].filter("is_best").drop("is_best")),
+            ("Cluster sizes", report["kmeans_sizes"]),
+        ]
+    return _block(parts)
 
 
 def _table_lines(df: DataFrame) -> list[str]:
-    """A short DataFrame as text, one line per row."""
+    """A short DataFrame as a text table, one line per row."""
     lines = [" | ".join(df.columns)]
     return lines + [" | ".join("" if v is None else str(v) for v in row) for row in df.collect()]
 
@@ -214,34 +167,26 @@ def report_context(
     Sections whose report is not given are left out; the statistical profile is optional and off by default. Only
     rows of short reports and the bounded sample pass through the driver.
     """
-    rows = clean.count()
-    sections = [
-        (
-            "DATASET OVERVIEW",
-            [
-                f"Rows: {rows:,}  |  Columns: {len(clean.columns)}",
-                f"File Size: {size_mb:.2f} MB",
-                f"Columns: {', '.join(clean.columns)}",
-            ],
-        )
-    ]
+    sample = context_sample(clean, size_mb)
+    how = "random rows" if size_mb > LARGE_MB else "first rows"
+    overview = [f"rows: {clean.count()}", f"size: {size_mb:.2f} MB", f"columns: {', '.join(clean.columns)}"]
+    sections: list[tuple[str, Callable[[], list[str]]]] = [("DATASET OVERVIEW", lambda: overview)]
     if schema:
-        sections.append(("SCHEMA INTELLIGENCE", schema_lines(schema, size_mb)))
+        sections.append(("SCHEMA INTELLIGENCE", lambda: schema_lines(schema)))
     if quality:
-        sections.append(("DATA QUALITY ASSESSMENT", quality_lines(quality)))
+        sections.append(("DATA QUALITY ASSESSMENT", lambda: quality_lines(quality)))
     if profiling:
-        sections.append(("STATISTICAL PROFILE", profiling_lines(profiling)))
-    sections.append(("DESCRIPTIVE STATISTICS", _table_lines(describe_all(clean).drop("position"))))
-    sample = _table_lines(context_sample(clean, size_mb))
-    note = f"Showing first {len(sample) - 1} rows."
-    if size_mb > LARGE_MB:
-        note = f"NOTE: Large dataset ({size_mb:.1f} MB). Showing random sample of {len(sample) - 1} rows."
-    sections.append(("DATA SAMPLE", [note, *sample]))
-    lines = []
-    for title, body in sections:
-        for text in (RULE, title, RULE, *body, ""):
-            lines.append((len(lines) + 1, title, text))
-    return local_rows(clean.sparkSession, lines, "line_no int, section string, text string")
+        sections.append(("STATISTICAL PROFILE", lambda: profiling_lines(profiling)))
+    sections.append(("DESCRIPTIVE STATISTICS", lambda: _table_lines(describe_all(clean).drop("position"))))
+    sections.append((f"DATA SAMPLE ({how})", lambda: _table_lines(sample)))
+    bodies = together(clean.sparkSession, [body for _, body in sections])
+    lines = [
+        (title, text)
+        for (title, _), body in zip(sections, bodies)
+        for text in (RULE, title, RULE, *body, "")
+    ]
+    numbered = [(i + 1, title, text) for i, (title, text) in enumerate(lines)]
+    return local_rows(clean.sparkSession, numbered, "line_no int, section string, text string")
 
 
 def context_text(context: DataFrame) -> str:

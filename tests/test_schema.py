@@ -3,6 +3,8 @@
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablescope.functions.grades import frequency_label
@@ -157,6 +159,13 @@ def test_names():
     ]
 
 
+@given(st.lists(st.text(alphabet="aB _-.1[]", max_size=5), max_size=12))
+def test_names_are_unique_and_settled(names):
+    once = normalized_names(names)
+    assert len(set(once)) == len(once) == len(names)
+    assert normalized_names(once) == once or "" in once
+
+
 def test_names_stay_unique(make):
     names = normalized_names(["x", "x_1", "X", "x", "x_1"])
     assert len(set(names)) == len(names)

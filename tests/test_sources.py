@@ -66,7 +66,7 @@ def test_run_charts_and_context(run):
     text = context.context_text(run.context(with_profile=True))
     for title in ("DATASET OVERVIEW", "SCHEMA INTELLIGENCE", "DATA QUALITY", "STATISTICAL PROFILE", "DATA SAMPLE"):
         assert title in text
-    assert "Rows: 60  |  Columns: 3" in text
+    assert "rows: 60\n" in text and "columns: order_date, amount_usd, status" in text
 
 
 def test_large_input_is_staged_as_columns(spark, tmp_path):
