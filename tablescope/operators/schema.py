@@ -17,7 +17,6 @@ from tablescope.plans.columns import (
     flat_columns,
     local_rows,
     nan_to_null,
-    numeric_columns,
     string_columns,
 )
 from tablescope.plans.gaps import median_gap, parsed_times

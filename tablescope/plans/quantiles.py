@@ -1,9 +1,11 @@
 """Exact quantiles of any number of rows.
 
 Sorting all values of a column in one buffer is right for small tables only, so that is done below a checked row
-count. Above it, the wanted order statistics are found by narrowing a bracket: an approximate sketch proposes pivots, an exact count says between which pivots the wanted rank lies, and
-the bracket shrinks about four thousand times per round. Nothing but counters and sketches is exchanged; the last
-bracket is collected only after its count is known to be small. The answer does not depend on the sketch error.
+count. Above it, the wanted order statistics are found by narrowing brackets: an approximate sketch proposes pivots, an
+exact count says between which pivots each wanted rank lies, and the brackets shrink thousands of times per round.
+Ranks in one bracket share its sketch and its counts, so a round is two scans of the columns. Nothing but counters and
+sketches is exchanged; the last bracket is collected only after its count is known to be small. The answer does not
+depend on the sketch error.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ IN_MEMORY_ROWS = 1_000_000
 # Values of one bracket that may be sorted in one task.
 BRACKET_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
-TARGETS_PER_JOB = 16
+RANKS_PER_JOB = 64
 
 
 @dataclass
@@ -105,53 +107,68 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """The values at the given ``(column, zero-based rank)`` places, exactly, without sorting the table."""
     searches = [_Search(column, rank, counts[column]) for column, rank in wanted]
-    while True:
-        pending = [s for s in searches if s.answer is None]
-        if not pending:
-            return {(s.column, s.rank): s.answer for s in searches}
-        small = [s for s in pending if s.inside <= bracket_rows]
-        for group in _chunks(small):
-            _finish(df, group)
-        for group in _chunks([s for s in pending if s.inside > bracket_rows]):
-            _narrow(df, group)
-
-
-def _chunks(searches: list[_Search]) -> list[list[_Search]]:
-    return [searches[i : i + TARGETS_PER_JOB] for i in range(0, len(searches), TARGETS_PER_JOB)]
-
-
-def _finish(df: DataFrame, group: list[_Search]) -> None:
-    picks = [
-        F.sort_array(F.collect_list(s.values()))[s.rank - s.below].alias(f"v{i}") for i, s in enumerate(group)
-    ]
-    row = df.agg(*picks).first()
-    for i, s in enumerate(group):
-        s.answer = row[i]
-
-
-def _narrow(df: DataFrame, group: list[_Search]) -> None:
+    while pending := [s for s in searches if s.answer is None]:
+        for shared in _brackets([s for s in pending if s.inside <= bracket_rows]):
+            _finish(df, shared)
+        for shared in _brackets([s for s in pending if s.inside > bracket_rows]):
+            _narrow(df, shared)
+    return {(s.column, s.rank): s.answer for s in searches}
+
+
+def _brackets(searches: list[_Search]) -> list[list[list[_Search]]]:
+    """Searches with the same bracket together, and as many brackets at a time as one job looks at, so that the
+    generated code of a job stays small."""
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
+    jobs: list[list[list[_Search]]] = []
+    for group in shared.values():
+        if not jobs or sum(map(len, jobs[-1])) + len(group) > RANKS_PER_JOB:
+            jobs.append([])
+        jobs[-1].append(group)
+    return jobs
+
+
+def _finish(df: DataFrame, groups: list[list[_Search]]) -> None:
+    lists = [F.sort_array(F.collect_list(g[0].values())).alias(f"v{i}") for i, g in enumerate(groups)]
+    picks = [F.col(f"v{i}")[s.rank - s.below] for i, g in enumerate(groups) for s in g]
+    row = df.agg(*lists).select(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
+    for s, value in zip([s for g in groups for s in g], row):
+        s.answer = value
+
+
+def _narrow(df: DataFrame, groups: list[list[_Search]]) -> None:
     margin = 1.5 / SKETCH_ACCURACY
     sketches = []
-    for s in group:
-        p = (s.rank - s.below + 0.5) / s.inside
-        points = [min(max(q, 0.0), 1.0) for q in (p - margin, p, p + margin)]
-        sketches.append(F.percentile_approx(s.values(), points, SKETCH_ACCURACY))
+    for g in groups:
+        # Neighbouring ranks share their points: the rounding is far below the margin.
+        centers = {round((s.rank - s.below + 0.5) / s.inside, 5) for s in g}
+        points = {min(max(c + step, 0.0), 1.0) for c in centers for step in (-margin, 0.0, margin)}
+        sketches.append(F.percentile_approx(g[0].values(), sorted(points), SKETCH_ACCURACY))
     pivots = [sorted(set(found)) for found in df.agg(*sketches).first()]
     tallies = []
-    for s, marks in zip(group, pivots):
-        value = s.values()
+    for g, marks in zip(groups, pivots):
+        value = g[0].values()
         for mark in marks:
             tallies += [F.count_if(value < F.lit(mark)), F.count_if(value == F.lit(mark))]
     tally = iter(df.agg(*tallies).first())
-    for s, marks in zip(group, pivots):
-        steps = [(mark, s.below + next(tally), next(tally)) for mark in marks]
-        start, end = s.below, s.below + s.inside
-        for mark, under, equal in steps:
-            if s.rank < under:
-                s.high, end = mark, under
-                break
-            if s.rank < under + equal:
-                s.answer = mark
-                break
-            s.low, start = mark, under + equal
-        s.below, s.inside = start, end - start
+    for g, marks in zip(groups, pivots):
+        below = g[0].below
+        steps = [(mark, below + next(tally), next(tally)) for mark in marks]
+        for s in g:
+            _move(s, steps)
+
+
+def _move(s: _Search, steps: list[tuple[float, int, int]]) -> None:
+    """Shrink a search to the pivots around its rank, or end it on a pivot. ``steps`` holds for each pivot how many
+    values lie under it and how many equal it."""
+    start, end = s.below, s.below + s.inside
+    for mark, under, equal in steps:
+        if s.rank < under:
+            s.high, end = mark, under
+            break
+        if s.rank < under + equal:
+            s.answer = mark
+            break
+        s.low, start = mark, under + equal
+    s.below, s.inside = start, end - start
