@@ -154,14 +154,19 @@ def profile_table(
 
 
 def load_analyse_clean(
-    spark: SparkSession, path: str, encoding: str | None = None, stage_above_mb: float = STAGE_ABOVE_MB, **options
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    multi_line: bool = False,
+    stage_above_mb: float = STAGE_ABOVE_MB,
+    **options,
 ) -> Profile:
     """The same for CSV files.
 
     Many passes follow, and each would parse the whole text again. Large input is therefore written once as Parquet
     to the shared folder, from which a pass reads only its columns.
     """
-    loaded = load_csv(spark, path, encoding)
+    loaded = load_csv(spark, path, encoding, multi_line=multi_line)
     table = loaded.df
     if loaded.size_mb > stage_above_mb:
         staged = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
