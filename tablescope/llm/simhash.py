@@ -30,8 +30,8 @@ from tablescope.llm.common import encoded, map_batches, staged
 
 SEED = 42
 SAMPLE = 4096  # fingerprints that choose the vantage points and thresholds
-LEAF = 2000  # expected fingerprints of a leaf
-BLOCK = 20_000  # leaves above this are compared block by block
+LEAF = 16_000  # expected fingerprints of a leaf: comparing so many costs about as much as moving them
+BLOCK = 40_000  # leaves above this are compared block by block
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -175,49 +175,44 @@ def class_links(classes: DataFrame, radius: int = 3, leaf: int = LEAF, block: in
             [pa.array(code), pa.array(role.astype(np.int32)), pa.array(fps.view(np.int64))], ["leaf", "role", "fp"]
         )
 
-    tree = map_batches(classes.select("fp"), "leaf long, role int, fp long", routed)
+    tree = staged(map_batches(classes.select("fp"), "leaf long, role int, fp long", routed), "tree")
     large = (
         tree.groupBy("leaf")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > block)
         .select("leaf", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
-    own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")).cast("int")
     # A cell compares two blocks of a large leaf. Self-comparing rows meet their own block, and each other block once.
-    cells = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), "role")))
-    numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = cells.when(
-        F.col("role") == 0,
-        F.transform(
-            numbers,
-            lambda k: F.struct(
-                F.least(F.col("own"), k).alias("i"),
-                F.greatest(F.col("own"), k).alias("j"),
-                F.when(k == F.col("own"), 0).when(F.col("own") < k, 1).otherwise(2).alias("role"),
-            ),
+    own, numbers = F.col("own"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    with_all = F.transform(
+        numbers,
+        lambda k: F.struct(
+            F.least(own, k).alias("i"),
+            F.greatest(own, k).alias("j"),
+            F.when(k == own, 0).when(own < k, 1).otherwise(2).alias("role"),
+        ),
+    )
+    across = F.transform(
+        numbers,
+        lambda k: F.struct(
+            F.when(F.col("role") == 1, own).otherwise(k).alias("i"),
+            F.when(F.col("role") == 1, k).otherwise(own).alias("j"),
+            F.col("role").alias("role"),
         ),
-    ).otherwise(
-        F.transform(
-            numbers,
-            lambda k: F.struct(
-                F.when(F.col("role") == 1, F.col("own")).otherwise(k).alias("i"),
-                F.when(F.col("role") == 1, k).otherwise(F.col("own")).alias("j"),
-                F.col("role").alias("role"),
-            ),
-        )
     )
-    tree = (
-        tree.join(large, "leaf", "left")
-        .withColumn("own", own)
-        .select("leaf", "fp", F.explode(cells).alias("c"))
-        .select("leaf", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.col("c.role").alias("role"), "fp")
+    cut = (
+        tree.join(large, "leaf")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")).cast("int"))
+        .select("leaf", "fp", F.explode(F.when(F.col("role") == 0, with_all).otherwise(across)).alias("c"))
+        .select("leaf", "c.i", "c.j", "c.role", "fp")
     )
+    whole = tree.join(large, "leaf", "left_anti").select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "role", "fp")
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, other = linked(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["role"].to_numpy(), radius)
         return pd.DataFrame({"fp": fps.view(np.int64), "other": other.view(np.int64)})
 
-    return tree.groupBy("leaf", "i", "j").applyInPandas(compared, "fp long, other long")
+    return whole.union(cut).groupBy("leaf", "i", "j").applyInPandas(compared, "fp long, other long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,7 +276,7 @@ def near_duplicates(
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
-    Rows that repeat an id count once; rows without an id stay if nothing in their group has one.
+    Rows that repeat an id count once; rows without an id always stay.
     """
     found = near_duplicates(docs, radius)
     dropped = staged(
