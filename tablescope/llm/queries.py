@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import decontaminate, simhash
+from tablescope.llm import decontaminate, packing, pii, secret_owners, simhash, toxicity
 from tablescope.llm.common import table
 
 
+def op2_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_owners.secrets(table(spark, folder, "documents"))
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("hit_spans")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_decontaminate, op10_simhash]
+    found = [
+        op2_secret_owners,
+        op3_packing,
+        op5_decontaminate,
+        op6_toxicity,
+        op8_pii,
+        op10_simhash,
+    ]
     return {f.__name__: f for f in found}
 
 
