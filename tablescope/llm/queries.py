@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import decontaminate, packing, pii, secret_owners, simhash, toxicity
+from tablescope.llm import (
+    decontaminate,
+    fertility,
+    html_text,
+    language,
+    packing,
+    pii,
+    secret_owners,
+    simhash,
+    token_spans,
+    toxicity,
+)
 from tablescope.llm.common import table
 
 
+def op1_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.fertility(table(spark, folder, "documents"))
+
+
 def op2_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
     return secret_owners.secrets(table(spark, folder, "documents"))
 
@@ -18,6 +33,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op4_token_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return token_spans.attribute(table(spark, folder, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("hit_spans")
@@ -28,21 +47,35 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op1_fertility,
         op2_secret_owners,
         op3_packing,
+        op4_token_spans,
         op5_decontaminate,
         op6_toxicity,
+        op7_language,
         op8_pii,
+        op9_html_text,
         op10_simhash,
     ]
     return {f.__name__: f for f in found}
