@@ -41,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir is not set: name a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="corpus-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -81,5 +81,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+# Words as the operator reads them; A-Z become small first.
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+s AS (SELECT item, w, least({decontaminate.WIDTH}, len(w)) AS n FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[p : p + n - 1], ' ') AS k
+        FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM s)),
+places AS (SELECT r, n, p, array_to_string(w[p : p + n - 1], ' ') AS k
+           FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p
+                 FROM d JOIN (SELECT DISTINCT n FROM s) ON len(w) >= n)),
+occ AS (SELECT r, p, places.n, item FROM places JOIN win ON places.k = win.k AND places.n = win.n),
+hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM occ) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries need a tokenizer, a learned model, XXH64 or a page parser; tests compare them with plain code."""
+    return {"op5_decontaminate": OP5}

@@ -137,7 +137,7 @@ class Model:
 def places(text: str | None) -> set[tuple[str, int]]:
     """Words of a text, each with a hash of its two neighbours."""
     words = WORD(text.lower()) if text else []
-    around = zip([""] + words[:-1], words, words[1:] + [""], strict=True)
+    around = zip(["", *words], words, [*words[1:], ""], strict=False)
     return {(w, hash_pair(a, b)) for a, w, b in around}
 
 
