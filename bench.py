@@ -64,7 +64,9 @@ def main() -> None:
         clock(name, lambda: every[name](spark, folder).write.format("noop").mode("overwrite").save())
     # The whole report of lineitem, without and with clustering of all rows.
     for name, clustering in (("report", False), ("report_with_clusters", True)):
-        clock(name, lambda: profile_table(table(spark, folder, "lineitem"), run_clustering=clustering).release())
+        clock(name, lambda: profile_table(
+            table(spark, folder, "lineitem"), run_clustering=clustering, keep=True, partitions=int(cpus)
+        ).release())
     print(
         json.dumps(
             {

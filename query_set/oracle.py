@@ -53,12 +53,13 @@ def facts(view: str) -> str:
     for i, (c, t) in enumerate(COLUMNS[view]):
         text = t == "string"
         whole = t in INTEGERS
+        order = "cnt DESC, CAST(value AS DOUBLE), value" if t in NUMBERS else "cnt DESC, value"
         rows.append(f"""
 SELECT '{c}' AS col, {i} AS position, '{t}' AS data_type, '{kind(t)}' AS kind, {str(whole).lower()} AS is_integer,
  (SELECT count(*) FROM {view}) AS n_rows, CAST(count(*) AS BIGINT) AS n_unique,
  CAST(coalesce(sum(cnt), 0) AS BIGINT) AS n_nonnull, min(value) AS value_min, max(value) AS value_max,
- first(value ORDER BY cnt DESC, value) AS majority, max(cnt) AS majority_cnt,
- last(value ORDER BY cnt DESC, value) AS minority, min(cnt) AS minority_cnt,
+ first(value ORDER BY {order}) AS majority, max(cnt) AS majority_cnt,
+ last(value ORDER BY {order}) AS minority, min(cnt) AS minority_cnt,
  {"min(CAST(value AS BIGINT))" if whole else "NULL"} AS low, {"max(CAST(value AS BIGINT))" if whole else "NULL"} AS high,
  {"CAST(sum(cnt * length(value)) AS DOUBLE) / sum(cnt)" if text else "NULL"} AS avg_len,
  {"min(length(value))" if text else "NULL"} AS min_len, {"max(length(value))" if text else "NULL"} AS max_len,
@@ -524,7 +525,7 @@ def quality_oracles() -> dict[str, str]:
         "duplicate_subsets": with_(
             DIRTY,
             f"""SELECT col AS "column", CAST(duplicates AS BIGINT) AS duplicates, round(CAST(duplicates AS DOUBLE) / n_rows * 100, 1) AS pct
- FROM ({repeats}) WHERE duplicates > 0 ORDER BY duplicates DESC, position LIMIT 5""",
+ FROM ({repeats}) WHERE duplicates > 0""",
         ),
         "format_whitespace": with_(DIRTY, f'SELECT col AS "column", affected_count FROM {affected(DIRTY, SPACE_TEST)}'),
         "format_empty_strings": with_(DIRTY, f'SELECT col AS "column", affected_count FROM {affected(DIRTY, EMPTY_TEST)}'),
@@ -802,7 +803,7 @@ def chart_oracles() -> dict[str, str]:
     )
     return {
         "hist_grid": with_(
-            "lineitem", f'SELECT col AS "column", bin, {edges}, cnt FROM hist', histogram("lineitem", li[:6])
+            "lineitem", f'SELECT col AS "column", bin, {edges}, cnt FROM hist', histogram("lineitem", li)
         ),
         "hist_top_variance": with_(
             "lineitem",
@@ -813,6 +814,12 @@ def chart_oracles() -> dict[str, str]:
         "composition": """WITH c AS (SELECT p_brand AS k, count(*) AS cnt FROM part GROUP BY 1)
  SELECT k AS "class", cnt, round(CAST(cnt AS DOUBLE) / (SELECT count(*) FROM part) * 100, 6) AS share_pct, count(*) OVER () AS n_classes,
  k = (SELECT k FROM c ORDER BY cnt DESC, k LIMIT 1) AS is_top FROM c""",
+        "scatter_points": """WITH e AS (SELECT CAST(min(l_orderkey) AS DOUBLE) AS x0, CAST(max(l_orderkey) AS DOUBLE) AS x1,
+  CAST(min(l_partkey) AS DOUBLE) AS y0, CAST(max(l_partkey) AS DOUBLE) AS y1 FROM lineitem),
+ cells AS (SELECT least(CAST(floor((CAST(l_orderkey AS DOUBLE) - x0) / (x1 - x0) * 50) AS INTEGER), 49) AS x_bin,
+  least(CAST(floor((CAST(l_partkey AS DOUBLE) - y0) / (y1 - y0) * 50) AS INTEGER), 49) AS y_bin, l_returnflag AS "class" FROM lineitem, e)
+ SELECT x_bin, y_bin, round(any_value(x0 + (x1 - x0) * x_bin / 50), 6) AS x_start,
+  round(any_value(y0 + (y1 - y0) * y_bin / 50), 6) AS y_start, "class", count(*) AS cnt FROM cells, e GROUP BY x_bin, y_bin, cells."class" """,
         "scatter_r": """SELECT 'l_orderkey' AS col1, 'l_partkey' AS col2, count(*) AS n_points,
  round(corr(CAST(l_orderkey AS DOUBLE), CAST(l_partkey AS DOUBLE)), 6) AS r FROM lineitem""",
         "category_mean": """SELECT c_mktsegment AS "class", round(avg(c_acctbal), 6) AS mean_value,
@@ -821,6 +828,33 @@ def chart_oracles() -> dict[str, str]:
     }
 
 
+def portable(column: tuple[str, str]) -> str:
+    name, kind_ = column
+    if kind_ in NUMBERS:
+        name = f"CAST({name} AS DECIMAL(38,6))"
+    elif kind_ != "string":
+        name = f"epoch_us({name})"
+    return f"coalesce(CAST({name} AS VARCHAR), '')"
+
+
+CONVERSATION_VIEWS = {"conversation_context": "conversations", "conversation_context_gaps": "conversations_gaps"}
+
+
+def conversation_oracle(view: str) -> str:
+    rule = "=" * 50
+    return with_(
+        view,
+        f"""SELECT conv_id, count(*) AS n_results, concat(chr(10), '{rule}', chr(10), 'PREVIOUS ANALYSIS RESULTS', chr(10), '{rule}', chr(10),
+  string_agg(concat(chr(10), 'Question: ', question, chr(10), 'Result: ', result), chr(10) ORDER BY turn)) AS context
+ FROM paired WHERE back <= 5 GROUP BY 1""",
+        f"""spoken AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM {view}
+  WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
+        """paired AS (SELECT conv_id, turn, text AS question, substring(next_text, 1, 500) AS result,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back
+  FROM spoken WHERE role = 'user' AND next_role = 'assistant')""",
+    )
+
+
 def context_oracles() -> dict[str, str]:
     described = []
     for i, (c, t) in enumerate(COLUMNS[DIRTY]):
@@ -845,13 +879,11 @@ def context_oracles() -> dict[str, str]:
     clean_text = trim("response")
     return {
         "describe_all": with_(DIRTY, union(described), facts(DIRTY), shapes(DIRTY)),
+        "context_sample_large": with_(
+            DIRTY, f"SELECT * FROM {DIRTY} ORDER BY md5(concat_ws('|', {', '.join(map(portable, COLUMNS[DIRTY]))})), {order} LIMIT 500"
+        ),
         "context_sample": with_(DIRTY, f"SELECT * FROM {DIRTY} ORDER BY {order} LIMIT 100"),
-        "conversation_context": f"""WITH paired AS (SELECT u.conv_id, u.turn, u.text AS question, substring(a.text, 1, 500) AS result,
-  row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn DESC) AS back
-  FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')
- SELECT conv_id, count(*) AS n_results, concat(chr(10), '{rule}', chr(10), 'PREVIOUS ANALYSIS RESULTS', chr(10), '{rule}', chr(10),
-  string_agg(concat(chr(10), 'Question: ', question, chr(10), 'Result: ', result), chr(10) ORDER BY turn)) AS context
- FROM paired WHERE back <= 5 GROUP BY 1""",
+        **{name: conversation_oracle(view) for name, view in CONVERSATION_VIEWS.items()},
         "conversation_messages": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'system', turn) AS position,
  role, text AS content FROM conversations""",
         "conversation_queries": """SELECT conv_id, number, query, concat(number, '. ', query, '...') AS caption FROM

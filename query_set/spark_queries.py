@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -9,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from query_set.views import table
+from tablescope import session
 from tablescope.operators import charts, clean, cluster, context, conversations, importance, names, quality, schema, stats
 from tablescope.plans.columns import collected
 from tablescope.profile import load_analyse_clean, profiling_report
-from tablescope.session import shared_folder
 from tablescope.sources.csv import load_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,16 @@ NUMERIC_LINEITEM = [
 ]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local session that names none gets one of its own."""
+    try:
+        return session.shared_folder(spark)
+    except RuntimeError:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise
+        return tempfile.mkdtemp(prefix="queries-")
+
+
 def on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     """A query that applies an operator to one table or view."""
     return lambda spark, folder: operator(table(spark, folder, name))
@@ -210,7 +221,10 @@ def queries() -> dict[str, Query]:
         ),
         "hist_grid": on("lineitem", lambda df: rounded(charts.hist_grid(df, NUMERIC_LINEITEM), 6, "bin_start", "bin_end")),
         "composition": on("part", lambda df: rounded(charts.composition(df, "p_brand"), 6, "share_pct")),
-        "scatter_points": on("lineitem", lambda df: charts.scatter_points(df, "l_orderkey", "l_partkey", "l_returnflag")),
+        "scatter_points": on(
+            "lineitem",
+            lambda df: rounded(charts.scatter_points(df, "l_orderkey", "l_partkey", "l_returnflag"), 6, "x_start", "y_start"),
+        ),
         "scatter_r": on("lineitem", lambda df: rounded(charts.scatter_r(df, "l_orderkey", "l_partkey"), 6, "r")),
         "category_mean": on(
             "customer",
@@ -241,11 +255,12 @@ def queries() -> dict[str, Query]:
         "describe_all": on(
             "orders_dirty", lambda df: rounded(context.describe_all(df), 6, "mean", "std", "min", "q25", "q50", "q75", "max")
         ),
-        "context_sample": on("orders_dirty", lambda df: context.context_sample(df, 1.0)),
-        "context_sample_large": on("orders_dirty", lambda df: context.context_sample(df, 60.0)),
+        "context_sample": on("orders_dirty", context.context_sample),
+        "context_sample_large": on("orders_dirty", lambda df: context.context_sample(df, context.HASHED_ROWS, "hash")),
         "report_context": context_lines,
         "dataset_info": on("orders_dirty", dataset_info),
         "conversation_context": on("conversations", conversations.conversation_context),
+        "conversation_context_gaps": on("conversations_gaps", conversations.conversation_context),
         "conversation_messages": on("conversations", conversations.conversation_messages),
         "conversation_queries": on("conversations", conversations.conversation_queries),
         "llm_json_extract": on("llm_responses", lambda df: conversations.llm_json_extract(df, "item_id", "response")),

@@ -56,7 +56,14 @@ FROM (SELECT item_id, text,
   FROM benchmark) t
 """
 
+# Turns with holes between them, and turns of a tool between questions and answers.
+CONVERSATIONS_GAPS = """
+SELECT conv_id, turn * 10 AS turn, role, text FROM conversations
+UNION ALL SELECT conv_id, turn * 10 + 5, 'tool', 'looked up' FROM conversations WHERE role = 'user' AND turn % 4 = 1
+"""
+
 VIEWS = {
+    "conversations_gaps": (CONVERSATIONS_GAPS, ["conversations"]),
     "orders_dirty": (ORDERS_DIRTY, ["orders", "region"]),
     "events_text": (EVENTS_TEXT, ["events"]),
     "docs_labeled": (DOCS_LABELED, ["documents", "labels"]),

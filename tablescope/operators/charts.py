@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,17 +14,14 @@ from tablescope.operators.cluster import Clustering
 from tablescope.operators.quality import IQR_MULTIPLIER, class_distribution
 from tablescope.operators.stats import correlation_matrix
 from tablescope.plans.columns import col, local_rows, nan_to_null, per_column
-from tablescope.plans.gaps import parsed_times
 from tablescope.plans.passes import value_counts
 from tablescope.plans.quantiles import exact_quantiles
 
 BINS = 30
-GRID_COLUMNS = 6
-BOX_COLUMNS = 6
-SERIES = 4
 IMPORTANCE_ROWS = 10
 PAIRS_PER_SIGN = 5
-SCATTER_POINTS = 2_000
+SCATTER_BINS = 50
+INFINITE = math.inf
 
 # Bucket width of a time chart by sampling frequency; any other frequency gets a day.
 BUCKET_WIDTHS = {
@@ -39,31 +37,49 @@ BUCKET_WIDTHS = {
 }
 
 
-def hist_grid(df: DataFrame, columns: Sequence[str], bins: int = BINS, max_columns: int = GRID_COLUMNS) -> DataFrame:
+def finite_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, int, int]]:
+    """Smallest and largest finite value of each column, and how many values are minus or plus infinity."""
+
+    def measures(name: str) -> dict[str, Column]:
+        value = col(name).cast("double")
+        finite = F.when(F.abs(value) < INFINITE, value)
+        return {
+            "low": F.min(finite),
+            "high": F.max(finite),
+            "under": F.count_if(value == -INFINITE),
+            "over": F.count_if(value == INFINITE),
+        }
+
+    found = per_column(df, list(columns), measures, "low double, high double, under bigint, over bigint").collect()
+    return {r["column"]: (r["low"], r["high"], r["under"], r["over"]) for r in found if r["low"] is not None}
+
+
+def bin_number(value: Column, low: float, high: float, bins: int) -> Column:
+    """The equal-width bin of a finite value; the last bin is closed."""
+    if low == high:
+        return F.when(value.isNotNull(), F.lit(0))
+    step = F.floor((value - F.lit(low)) / F.lit(high - low) * bins).cast("int")
+    return F.least(step, F.lit(bins - 1))
+
+
+def hist_grid(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFrame:
     """Equal-width histograms: ``column, bin, bin_start, bin_end, cnt``; empty bins are present, the last is closed.
 
-    The bin number is computed per value and only bin counts are exchanged.
+    Bins span the finite values; infinite ones, if any, are counted in bins -1 and ``bins`` of their own. The bin
+    number is computed per value and only bin counts are exchanged.
     """
     df = nan_to_null(df)
-    columns = list(columns)[:max_columns]
-    ends = per_column(
-        df,
-        columns,
-        lambda c: {"low": F.min(col(c).cast("double")), "high": F.max(col(c).cast("double"))},
-        "low double, high double",
-    ).collect()
+    columns = list(columns)
+    ends = finite_ranges(df, columns)
     spark = df.sparkSession
-    ranges = {r["column"]: (r["low"], r["high"]) for r in ends if r["low"] is not None}
+    ranges = {c: e[:2] for c, e in ends.items()}
     if not ranges:
         return local_rows(spark, [], "column string, bin int, bin_start double, bin_end double, cnt bigint")
 
     def place(name: str) -> Column:
-        low, high = ranges[name]
-        value = col(name).cast("double")
-        if low == high:
-            return F.when(value.isNotNull(), F.lit(0))
-        step = F.floor((value - F.lit(low)) / F.lit(high - low) * bins).cast("int")
-        return F.least(step, F.lit(bins - 1))
+        return F.when(col(name).cast("double") == INFINITE, bins).when(
+            col(name).cast("double") == -INFINITE, -1
+        ).otherwise(bin_number(col(name).cast("double"), *ranges[name], bins))
 
     cells = df.select(*[F.when(col(c).isNotNull(), place(c)).alias(c) for c in ranges])
     counted = (
@@ -77,6 +93,8 @@ def hist_grid(df: DataFrame, columns: Sequence[str], bins: int = BINS, max_colum
         for name, (low, high) in ranges.items()
         for i in range(bins if high > low else 1)
     ]
+    grid += [(name, -1, -math.inf, -math.inf) for name, e in ends.items() if e[2]]
+    grid += [(name, bins, math.inf, math.inf) for name, e in ends.items() if e[3]]
     edges = local_rows(spark, grid, "column string, bin int, bin_start double, bin_end double")
     return edges.join(counted, ["column", "bin"], "left").select(
         "column", "bin", "bin_start", "bin_end", F.coalesce("cnt", F.lit(0)).alias("cnt")
@@ -119,15 +137,32 @@ def composition(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def scatter_points(
-    df: DataFrame, x: str, y: str, color: str | None = None, points: int = SCATTER_POINTS
-) -> DataFrame:
-    """Points to draw: ``x, y, class``. Rows are picked by hash, so the pick is spread over the table and the same on
-    every run; each task keeps only its own best rows."""
-    picked = nan_to_null(df).select(
-        col(x).alias("x"), col(y).alias("y"), (col(color) if color else F.lit(None)).cast("string").alias("class")
+def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, bins: int = SCATTER_BINS) -> DataFrame:
+    """All points of two columns as counts of a grid: ``x_bin, y_bin, x_start, y_start, class, cnt``.
+
+    The grid spans the finite values in ``bins`` steps each way; points without both values are left out, and empty cells
+    give no row. The result is bounded by the cells and classes, whatever the number of rows.
+    """
+    df = nan_to_null(df)
+    ranges = finite_ranges(df, [x, y])
+    schema = "x_bin int, y_bin int, x_start double, y_start double, class string, cnt bigint"
+    if len(ranges) < len({x, y}):
+        return local_rows(df.sparkSession, [], schema)
+
+    def start(axis: str, name: str) -> Column:
+        low, high = ranges[name][:2]
+        return F.lit(low) + F.lit(high - low) * F.col(axis) / F.lit(bins)
+
+    def place(name: str) -> Column:
+        value = col(name).cast("double")
+        return F.when(F.abs(value) < INFINITE, bin_number(value, *ranges[name][:2], bins))
+
+    kind = (col(color) if color else F.lit(None)).cast("string").alias("class")
+    cells = df.select(place(x).alias("x_bin"), place(y).alias("y_bin"), kind).dropna(subset=["x_bin", "y_bin"])
+    counted = cells.groupBy("x_bin", "y_bin", "class").agg(F.count("*").alias("cnt"))
+    return counted.select(
+        "x_bin", "y_bin", start("x_bin", x).alias("x_start"), start("y_bin", y).alias("y_start"), "class", "cnt"
     )
-    return picked.orderBy(F.xxhash64(F.lit(42), "x", "y", "class"), "x", "y", "class").limit(points)
 
 
 def scatter_r(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -163,11 +198,11 @@ def chart_missing(missing: DataFrame) -> DataFrame:
     )
 
 
-def chart_box(clean: DataFrame, outliers: DataFrame, max_columns: int = BOX_COLUMNS, digits: int = 6) -> DataFrame:
-    """Boxes of the columns with most outliers. Columns are chosen by the raw table, values come from the clean one."""
+def chart_box(clean: DataFrame, outliers: DataFrame, max_columns: int | None = None, digits: int = 6) -> DataFrame:
+    """Boxes of the columns with outliers, all of them or the ``max_columns`` with most. Columns are chosen by the raw table, values come from the clean one."""
     chosen = {
         r["column"]: r["outlier_count"]
-        for r in outliers.filter("outlier_count > 0").orderBy(F.desc("outlier_count"), "position").limit(max_columns).collect()
+        for r in outliers.filter("outlier_count > 0").orderBy(F.desc("outlier_count"), "position").collect()[:max_columns]
     }
     clean = nan_to_null(clean)
     quartiles = {
@@ -231,13 +266,11 @@ def correlation_heatmap(df: DataFrame, pairs: DataFrame | None = None) -> DataFr
     return correlation_matrix(df, pairs).select("col1", "col2", F.round("r", 4).alias("r"))
 
 
-def time_series(
-    df: DataFrame, time_column: str, series: Sequence[str], width: str = "1 day", max_series: int = SERIES
-) -> DataFrame:
+def time_series(df: DataFrame, time_column: str, series: Sequence[str], width: str = "1 day") -> DataFrame:
     """Means per time bucket: ``bucket_start, series, n_records, mean_value``. Any number of rows gives as many
     points as there are buckets; rows whose time cannot be read are left out."""
     df = nan_to_null(df)
-    chosen = list(series)[:max_series]
+    chosen = list(series)
     is_text = dict(df.dtypes)[time_column] == "string"
     ts = parse_timestamp(col(time_column)) if is_text else col(time_column).cast("timestamp_ntz")
     places = [f"s{i}" for i in range(len(chosen))]
@@ -255,21 +288,12 @@ def time_series(
     )
 
 
-def time_points(df: DataFrame, time_column: str) -> DataFrame:
-    """Range and number of readable times: ``first_day, last_day, n_points``."""
-    return parsed_times(df, time_column).agg(
-        F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"),
-        F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"),
-        F.count("ts").alias("n_points"),
-    )
-
-
-def chart_clusters(found: Clustering, points: int = SCATTER_POINTS) -> DataFrame:
-    """Points of the first two numeric columns with the cluster of their own row."""
+def chart_clusters(found: Clustering, bins: int = SCATTER_BINS) -> DataFrame:
+    """The grid of the first two numeric columns, with the cluster of every row."""
     x, y = found.columns[:2]
     name = F.concat(F.lit("Cluster "), col(found.label).cast("string"))
     named = found.labelled.withColumn(found.label, name)
-    return scatter_points(named, x, y, found.label, points).withColumnRenamed("class", "cluster")
+    return scatter_points(named, x, y, found.label, bins).withColumnRenamed("class", "cluster")
 
 
 def chart_silhouette(found: Clustering) -> DataFrame:

@@ -1,44 +1,45 @@
-"""K-means over the numeric columns, with the number of clusters chosen by silhouette."""
+"""K-means over the numeric columns, with the number of clusters chosen by silhouette.
+
+All numbers of clusters are tried together: one pass over the rows assigns each row for every k and sums up the
+clusters of each, so an iteration moves one small row for each task, k and cluster. The start is found by splitting, too:
+the cluster with the largest squared error is cut at its mean along its widest column, until there are enough. Nothing
+depends on the order or the partitions of the rows; sums that only differ in their last bits are rounded away.
+"""
 
 from __future__ import annotations
 
-import math
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
-
-from pyspark import StorageLevel
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.plans.columns import col, local_rows, nan_to_null, numeric_columns
-from tablescope.plans.together import together
+from tablescope.plans.columns import col, local_rows, nan_to_null, numeric_columns, per_column
+
+# Functions of this module travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_ROWS = 30
 MAX_K = 8
 MAX_ITERATIONS = 100
 # Iteration ends when the squared moves of all centres sum to this share of the mean variance (1 once standardised).
 TOLERANCE = 1e-4
-SEED = 42
-# Working columns beside those of the table.
-RAW, POINTS, LABEL = "__raw", "__points", "__label"
-# A table below this size may come as one file split: its rows are spread over the cores, kept, and fitted for
-# several k side by side.
-SPREAD_BELOW_ROWS = 5_000_000
+DIGITS = 9
 
 
 @dataclass
 class Clustering:
-    """The result of a search: scores of every k tried, the model of the best k, and the labelled rows."""
+    """The result of a search: scores of every k tried, the centres of the best k, and the labelled rows."""
 
     columns: list[str]
     scores: list[tuple[int, float]]
     best_k: int
     silhouette: float
-    model: KMeansModel
+    points: np.ndarray
     mean: list[float]
     std: list[float]
     label: str
@@ -46,8 +47,7 @@ class Clustering:
 
     def k_scores(self) -> DataFrame:
         rows = [(k, round(s, 4), k == self.best_k) for k, s in self.scores]
-        spark = self.labelled.sparkSession
-        return local_rows(spark, rows, "k int, silhouette double, is_best boolean")
+        return local_rows(self.labelled.sparkSession, rows, "k int, silhouette double, is_best boolean")
 
     def sizes(self) -> DataFrame:
         return self.labelled.groupBy(F.col(self.label).alias("cluster")).agg(F.count("*").alias("size")).orderBy("cluster")
@@ -55,76 +55,188 @@ class Clustering:
     def centers(self) -> DataFrame:
         """Cluster centres in the columns' own units: ``cluster, column, center``."""
         rows = [
-            (k, name, float(center[i] * self.std[i] + self.mean[i]))
-            for k, center in enumerate(self.model.clusterCenters())
+            (number, name, float(round(point[i] * self.std[i] + self.mean[i], 6)))
+            for number, point in enumerate(self.points)
             for i, name in enumerate(self.columns)
         ]
-        spark = self.labelled.sparkSession
-        return local_rows(spark, rows, "cluster int, column string, center double")
-
-
-def _fit(points: DataFrame, k: int, seed: int) -> tuple[int, float, KMeansModel] | None:
-    # Spark compares the move of each centre, so the bound is shared out among the k centres.
-    move = math.sqrt(TOLERANCE / k)
-    kmeans = KMeans(
-        k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=move, featuresCol=POINTS, predictionCol=LABEL
-    )
-    evaluator = ClusteringEvaluator(featuresCol=POINTS, predictionCol=LABEL)
-    model = kmeans.fit(points)
-    try:
-        return k, evaluator.evaluate(model.transform(points)), model
-    except IllegalArgumentException:  # all rows fell into one cluster
-        return None
-
-
-def kmeans_search(df: DataFrame, max_k: int = MAX_K, seed: int = SEED) -> Clustering | None:
+        return local_rows(self.labelled.sparkSession, rows, "cluster int, column string, center double")
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)[None, :]
+
+
+def _sums(points: DataFrame, tables: dict[int, np.ndarray], measure: Callable) -> dict[int, np.ndarray]:
+    """For each k a table of sums by cluster. ``measure(x, labels, distances, k)`` gives the numbers of each row."""
+
+    def work(batches):
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows = []
+            for k, centers in tables.items():
+                d = _distances(x, centers)
+                labels = d.argmin(axis=1)
+                values = measure(x, labels, d, k)
+                for c in np.unique(labels):
+                    rows.append((k, int(c), values[labels == c].sum(axis=0).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], ["k", "c", "v"])
+
+    width = len(measure(np.zeros((1, len(points.columns))), np.zeros(1, int), np.zeros((1, 2)), next(iter(tables))).T)
+    parts = points.mapInArrow(work, "k long, c long, v array<double>")
+    found = parts.groupBy("k", "c").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(width)]).alias("v")).collect()
+    out = {k: np.zeros((len(centers), width)) for k, centers in tables.items()}
+    for row in found:
+        out[row["k"]][row["c"]] = row["v"]
+    return out
+
+
+def _first_centers(points: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """Start centres for 2..``most`` clusters, by splitting."""
+    width = len(points.columns)
+    # A cluster is a box: lower bounds (exclusive) and upper bounds of each column.
+    boxes = [(np.full(width, -np.inf), np.full(width, np.inf))]
+    found: dict[int, np.ndarray] = {}
+    while True:
+        sums = _box_sums(points, boxes)
+        n = np.maximum(sums[:, :1], 1)
+        means = np.round(sums[:, 1 : width + 1] / n, DIGITS)
+        spread = np.round(sums[:, width + 1 :] - n * means * means, 6)
+        if len(boxes) > 1:
+            found[len(boxes)] = means
+        widest = int(spread.sum(axis=1).argmax())
+        axis = int(spread[widest].argmax())
+        if len(boxes) >= most or spread[widest, axis] <= 0:
+            return found
+        low, high = boxes[widest]
+        left, right = high.copy(), low.copy()
+        left[axis] = right[axis] = means[widest, axis]
+        boxes[widest] = (low, left)
+        boxes.append((right, high))
+
+
+def _box_sums(points: DataFrame, boxes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows, sums and sums of squares of each box."""
+
+    def work(batches):
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows = []
+            for number, (low, high) in enumerate(boxes):
+                part = x[((x > low) & (x <= high)).all(axis=1)]
+                rows.append((number, [float(len(part)), *part.sum(axis=0).tolist(), *(part * part).sum(axis=0).tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], ["c", "v"])
+
+    parts = points.mapInArrow(work, "c long, v array<double>").groupBy("c")
+    sums = F.array(*[F.sum(F.col("v")[i]) for i in range(2 * len(points.columns) + 1)])
+    return np.array([r["v"] for r in sorted(parts.agg(sums.alias("v")).collect(), key=lambda r: r["c"])])
+
+
+def kmeans_search(df: DataFrame, max_k: int = MAX_K) -> Clustering | None:
     """Cluster all complete rows, standardised, for k = 2..``max_k`` and keep the k with the best silhouette.
 
-    No row is sampled away. A fit reads the table once and keeps the points (memory, then disk) while it iterates.
-    Seeding draws several candidate centres per pass over the whole table, which takes the place of restarts on a
-    sample; the silhouette uses squared distances, whose cost is linear in the rows. NULL is returned for fewer than
-    two numeric columns or thirty complete rows. The label stays on its row in ``labelled``.
+    No row is sampled away, and nothing is drawn at random. The silhouette uses squared distances, whose cost is linear
+    in the rows. NULL is returned for fewer than two numeric columns or thirty complete rows, or if all rows are equal.
+    The label stays on its row in ``labelled``.
     """
     columns = numeric_columns(df)
     if len(columns) < 2:
         return None
     complete = nan_to_null(df).dropna(how="any", subset=columns)
-    rows = complete.count()
+    shapes = per_column(
+        complete,
+        columns,
+        lambda c: {
+            "n": F.count(col(c)),
+            "mean": F.avg(col(c).cast("double")),
+            "std": F.stddev_samp(col(c).cast("double")),
+        },
+        "n bigint, mean double, std double",
+    ).collect()
+    by_name = {r["column"]: r for r in shapes}
+    rows = shapes[0]["n"]
     if rows < MIN_ROWS:
         return None
-    numbers = complete.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    small = rows < SPREAD_BELOW_ROWS
-    if small:
-        numbers = numbers.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    raw = VectorAssembler(inputCols=numbers.columns, outputCol=RAW).transform(numbers).select(RAW)
-    scaler = StandardScaler(inputCol=RAW, outputCol=POINTS, withMean=True, withStd=True).fit(raw)
-    vectors = scaler.transform(raw).select(POINTS)
-    kept = vectors.persist(StorageLevel.MEMORY_AND_DISK) if small else vectors
+    mean = [_steady(by_name[c]["mean"]) for c in columns]
+    std = [_steady(by_name[c]["std"]) or 1.0 for c in columns]
+
+    def standard(i: int) -> Column:
+        return (col(columns[i]).cast("double") - F.lit(mean[i])) / F.lit(std[i])
+
+    points = complete.select(*[standard(i).alias(f"x{i}") for i in range(len(columns))])
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # Each fit keeps its own decoded copy of the points while it iterates, which it only does for an input that
-        # is not itself persisted; hence the projection. Large tables are fitted one k after the other.
-        points = kept.select(POINTS).filter(F.col(POINTS).isNotNull())
-        ks = range(2, min(max_k, rows - 1) + 1)
-        tried = together(df.sparkSession, [partial(_fit, points, k, seed) for k in ks], len(ks) if small else 1)
+        centers = _lloyd(points, _first_centers(points, min(max_k, rows - 1)))
+        scores = _silhouettes(points, centers)
     finally:
-        kept.unpersist()
-    tried = [t for t in tried if t is not None]
-    if not tried:
+        points.unpersist()
+    if not scores:
         return None
-    best = max(tried, key=lambda t: (t[1], -t[0]))
-    inputs = [f"__x{i}" for i in range(len(columns))]
-    labelled = complete.select("*", *[col(c).cast("double").alias(x) for x, c in zip(inputs, columns)])
-    labelled = VectorAssembler(inputCols=inputs, outputCol=RAW).transform(labelled)
+    best = max(scores, key=lambda k: (round(scores[k], DIGITS), -k))
+    distances = [
+        F.struct(sum((standard(i) - F.lit(float(x))) ** 2 for i, x in enumerate(c)).alias("d"), F.lit(number).alias("c"))
+        for number, c in enumerate(centers[best])
+    ]
     label = "cluster" if "cluster" not in df.columns else "cluster_label"
-    labelled = best[2].transform(scaler.transform(labelled)).withColumnRenamed(LABEL, label)
     return Clustering(
         columns=columns,
-        scores=[(k, score) for k, score, _ in tried],
-        best_k=best[0],
-        silhouette=round(best[1], 4),
-        model=best[2],
-        mean=list(scaler.mean),
-        std=list(scaler.std),
+        scores=sorted(scores.items()),
+        best_k=best,
+        silhouette=round(scores[best], 4),
+        points=centers[best],
+        mean=mean,
+        std=std,
         label=label,
-        labelled=labelled.drop(RAW, POINTS, *inputs),
+        labelled=complete.withColumn(label, F.array_min(F.array(*distances))["c"]),
+    )
+
+
+def _steady(value: float) -> float:
+    """Twelve significant digits, which sums in any order agree on."""
+    return float(f"{value:.12g}")
+
+
+def _lloyd(points: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Assign and average until the centres rest; a cluster that lost its rows keeps its place."""
+    moving = dict(centers)
+    for _ in range(MAX_ITERATIONS):
+        if not moving:
+            break
+        sums = _sums(points, moving, lambda x, labels, d, k: np.column_stack([np.ones(len(x)), x]))
+        for k, table in sums.items():
+            filled = table[:, 0] > 0
+            new = moving[k].copy()
+            new[filled] = np.round(table[filled, 1:] / table[filled, :1], DIGITS)
+            move = ((new - moving[k]) ** 2).sum()
+            centers[k] = new
+            if move <= TOLERANCE:
+                del moving[k]
+            else:
+                moving[k] = new
+    return centers
+
+
+def _silhouettes(points: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, float]:
+    """Mean silhouette of each k with at least two filled clusters, from the sums of the clusters alone."""
+    if not centers:
+        return {}
+    sums = _sums(
+        points, centers, lambda x, labels, d, k: np.column_stack([np.ones(len(x)), x, (x * x).sum(axis=1)])
     )
+    sums = {k: t for k, t in sums.items() if (t[:, 0] > 0).sum() > 1}
+    if not sums:
+        return {}
+
+    def scored(x: np.ndarray, labels: np.ndarray, _, k: int) -> np.ndarray:
+        t = sums[k]
+        n = t[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = (x * x).sum(axis=1)[:, None] + t[:, -1] / n - 2 * x @ (t[:, 1:-1] / n[:, None]).T
+            mean[:, n == 0] = np.inf
+            own = mean[np.arange(len(x)), labels] * n[labels] / (n[labels] - 1)
+            mean[np.arange(len(x)), labels] = np.inf
+            other = mean.min(axis=1)
+            score = np.where(n[labels] > 1, (other - own) / np.maximum(own, other), 0.0)
+        return np.nan_to_num(score)[:, None]
+
+    totals = _sums(points, {k: centers[k] for k in sums}, scored)
+    return {k: float(t.sum() / sums[k][:, 0].sum()) for k, t in totals.items()}

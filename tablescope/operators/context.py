@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablescope.operators.stats import column_shapes
-from tablescope.plans.columns import col, flat_columns, local_rows, nan_to_null, numeric_columns, schema_rows
+from tablescope.plans.columns import col, flat_columns, kind_of, local_rows, nan_to_null, numeric_columns, schema_rows
 from tablescope.plans.passes import class_summary
 from tablescope.plans.together import together
 
-LARGE_MB = 50
-LARGE_SAMPLE = 500
-SMALL_SAMPLE = 100
+FIRST_ROWS = 100
+HASHED_ROWS = 500
 SHORT_LIST = 3
 BEST_FEATURES = 5
 RULE = "=" * 50
@@ -55,17 +55,36 @@ def describe_all(df: DataFrame) -> DataFrame:
     )
 
 
-def context_sample(df: DataFrame, size_mb: float, order_by: Sequence[str] | None = None) -> DataFrame:
-    """A few rows to show: above 50 MB 500 rows picked by hash, else the first 100 under ``order_by``.
+def context_sample(
+    df: DataFrame, rows: int = FIRST_ROWS, method: str = "first", order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """A few rows to show: the ``first`` under ``order_by``, or picked over the whole table by ``hash``.
 
-    The hash pick is the same for any partitioning of the table. Without ``order_by`` a small table is ordered by
-    all its columns, since rows have no order of their own.
+    The hash pick is the same for any partitioning of the table; the usual number is ``HASHED_ROWS``. Without
+    ``order_by`` the first rows are those in the order of all columns, since rows have no order of their own.
     """
     df = nan_to_null(df)
     columns = [col(c) for c in flat_columns(df)]
-    if size_mb > LARGE_MB:
-        return df.orderBy(F.xxhash64(F.lit(42), *columns), *columns).limit(LARGE_SAMPLE)
-    return df.orderBy(*([col(c) for c in order_by] if order_by else columns)).limit(SMALL_SAMPLE)
+    if method == "hash":
+        return df.orderBy(F.md5(_portable(df)), *columns).limit(rows)
+    if method != "first":
+        raise ValueError("method is 'first' or 'hash'")
+    return df.orderBy(*([col(c) for c in order_by] if order_by else columns)).limit(rows)
+
+
+def _portable(df: DataFrame) -> Column:
+    """A row as text that any engine can write: numbers with six decimals, times in microseconds, null as nothing."""
+
+    def written(field: T.StructField) -> Column:
+        kind = kind_of(field.dataType)
+        value = col(field.name)
+        if kind == "numeric":
+            value = value.cast("decimal(38,6)")
+        if kind == "datetime":
+            value = F.unix_micros(value.cast("timestamp_ltz"))
+        return F.coalesce(value.cast("string"), F.lit(""))
+
+    return F.concat_ws("|", *[written(f) for f in df.schema if kind_of(f.dataType) != "other"])
 
 
 def dataset_info(
@@ -161,14 +180,16 @@ def report_context(
     schema: dict[str, DataFrame] | None = None,
     quality: dict[str, DataFrame] | None = None,
     profiling: dict[str, DataFrame] | None = None,
+    sample_rows: int = FIRST_ROWS,
+    sample_method: str = "first",
 ) -> DataFrame:
     """``line_no, section, text``: overview, schema, quality, description and sample of a table as text lines.
 
     Sections whose report is not given are left out; the statistical profile is optional and off by default. Only
     rows of short reports and the bounded sample pass through the driver.
     """
-    sample = context_sample(clean, size_mb)
-    how = "random rows" if size_mb > LARGE_MB else "first rows"
+    sample = context_sample(clean, sample_rows, sample_method)
+    how = "random rows" if sample_method == "hash" else "first rows"
     overview = [f"rows: {clean.count()}", f"size: {size_mb:.2f} MB", f"columns: {', '.join(clean.columns)}"]
     sections: list[tuple[str, Callable[[], list[str]]]] = [("DATASET OVERVIEW", lambda: overview)]
     if schema:

@@ -31,21 +31,27 @@ RESPONSE_SCHEMA = (
 )
 
 
-def recent_results(conversations: DataFrame, recent: int = RECENT) -> DataFrame:
+def recent_results(
+    conversations: DataFrame, recent: int = RECENT, stored_chars: int = STORED_CHARS, result_chars: int = RESULT_CHARS
+) -> DataFrame:
     """The last question and answer pairs of each conversation: ``conv_id, turn, question, result``.
 
-    An answer is the assistant turn right after a user turn, so the pairs come from an equi-join on conversation
-    and turn together, which spreads a long conversation evenly. The limit per conversation is applied in every
-    task before the exchange. Answers are stored up to 2000 characters and shown up to 500.
+    User and assistant turns are numbered without holes first, whatever turns lie between them. An answer is the
+    assistant turn right after a user turn, so the pairs come from an equi-join on conversation and number together,
+    which spreads a long conversation evenly. The limit per conversation is applied in every task before the
+    exchange. Answers are stored up to ``stored_chars`` characters and shown up to ``result_chars``.
     """
-    questions = conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    answers = conversations.filter("role = 'assistant'").select(
+    spoken = conversations.filter("role IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    chunk = F.floor(F.col("turn") / TURNS_PER_CHUNK)
+    numbered = number_within(spoken, "conv_id", chunk, F.col("turn"), "place")
+    questions = numbered.filter("role = 'user'").select("conv_id", "place", "turn", F.col("text").alias("question"))
+    answers = numbered.filter("role = 'assistant'").select(
         "conv_id",
-        (F.col("turn") - 1).alias("turn"),
-        F.substring(F.substring("text", 1, STORED_CHARS), 1, RESULT_CHARS).alias("result"),
+        (F.col("place") - 1).alias("place"),
+        F.substring(F.substring("text", 1, stored_chars), 1, result_chars).alias("result"),
     )
     latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    pairs = questions.join(answers, ["conv_id", "turn"])
+    pairs = questions.join(answers, ["conv_id", "place"]).select("conv_id", "turn", "question", "result")
     return pairs.withColumn("back", F.row_number().over(latest)).filter(F.col("back") <= recent).drop("back")
 
 

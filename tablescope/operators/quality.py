@@ -30,7 +30,6 @@ from tablescope.plans.together import together
 IQR_MULTIPLIER = 1.5
 MIN_VALUES_FOR_OUTLIERS = 10
 TOP = 5
-MAX_DUPLICATE_COLUMNS = 15
 MAX_CLASSES = 15
 
 
@@ -140,24 +139,21 @@ def duplicate_rows(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return found.withColumn("recommendation", advice)
 
 
-def duplicate_subsets(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Non-numeric columns by rows that repeat an earlier value (a null counts as a value); top five.
+def duplicate_subsets(df: DataFrame, facts: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """Non-numeric columns by rows that repeat an earlier value (a null counts as a value), all or the ``top`` ones.
 
-    Only reported when the table has at most fifteen such columns. The repeats follow from the distinct counts, so
-    no column is grouped again.
+    The repeats follow from the distinct counts, so no column is grouped again.
     """
     facts = column_facts(df) if facts is None else facts
     candidates = facts.filter(~F.col("kind").isin("numeric", "other"))
-    if sum(1 for c in flat_columns(df) if c not in set(numeric_columns(df))) > MAX_DUPLICATE_COLUMNS:
-        candidates = candidates.filter(F.lit(False))
     values = F.col("n_unique") + (F.col("n_null") > 0).cast("bigint")
-    return (
+    found = (
         candidates.select("column", "position", (F.col("n_rows") - values).alias("duplicates"), "n_rows")
         .filter("duplicates > 0")
         .orderBy(F.desc("duplicates"), "position")
-        .limit(TOP)
-        .select("column", "duplicates", _pct(F.col("duplicates"), F.col("n_rows"), 1).alias("pct"))
     )
+    found = found if top is None else found.limit(top)
+    return found.select("column", "duplicates", _pct(F.col("duplicates"), F.col("n_rows"), 1).alias("pct"))
 
 
 def format_whitespace(df: DataFrame) -> DataFrame:

@@ -235,7 +235,9 @@ def target_candidates(df: DataFrame, facts: DataFrame | None = None, match: str
 def primary_keys(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Columns without nulls or repeats. An integer key is sequential when its values leave no hole, which says
     the same as ordered row ids without relying on a row order."""
-    dense = F.col("is_integer") & (F.col("high") - F.col("low") + 1 == F.col("n_rows"))
+    # Hash values span all of 64 bits, so the width needs more.
+    wide = F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") + 1
+    dense = F.col("is_integer") & (wide == F.col("n_rows"))
     fixed_length = (F.col("kind") == "string") & (F.col("min_len") == F.col("max_len")) & (F.col("n_rows") > 1)
     return (
         _facts(df, facts)

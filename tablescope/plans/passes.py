@@ -17,6 +17,7 @@ from tablescope.plans.columns import (
     integer_columns,
     local_rows,
     nan_to_null,
+    numeric_columns,
     per_column,
     schema_rows,
     string_columns,
@@ -84,8 +85,9 @@ def text_key(value: Column) -> Column:
     return F.when(F.length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
 
 
-def _class_measures() -> list[Column]:
-    order = F.struct(-F.col("cnt"), F.col("value"))
+def _class_measures(numbers: Sequence[str] = ()) -> list[Column]:
+    number = F.when(F.col("column").isin(list(numbers)), F.col("value").try_cast("double")) if numbers else F.lit(None)
+    order = F.struct(-F.col("cnt"), number.cast("double"), F.col("value"))
     return [
         F.count("*").alias("n_unique"),
         F.sum("cnt").alias("n_nonnull"),
@@ -104,10 +106,10 @@ def class_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column that has values: distinct count, first and last class, and the entropy sum.
 
     The order of classes is count descending, then value ascending: ``majority`` is the first, ``minority`` the
-    last. Long texts of equal count are ordered by their digest. With exactly two distinct values, ``value_min`` and
+    last, numbers in their own order. Long texts of equal count are ordered by their digest. With exactly two distinct values, ``value_min`` and
     ``value_max`` are the whole value set.
     """
-    return _with_texts(df, key_counts(df, columns).groupBy("column").agg(*_class_measures()))
+    return _with_texts(df, key_counts(df, columns).groupBy("column").agg(*_class_measures(numeric_columns(df))))
 
 
 def _with_texts(df: DataFrame, summary: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def column_facts(df: DataFrame) -> DataFrame:
         key_counts(df, flat_columns(df))
         .groupBy("column")
         .agg(
-            *_class_measures(),
+            *_class_measures(numeric_columns(df)),
             F.min(number).alias("low"),
             F.max(number).alias("high"),
             (F.sum(length * cnt) / F.sum(F.when(is_text, cnt))).alias("avg_len"),

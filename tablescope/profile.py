@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,18 +11,12 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import charts, cluster, context, importance, quality, schema, stats
 from tablescope.operators.clean import clean_table
-from tablescope.operators.cluster import SPREAD_BELOW_ROWS
 from tablescope.operators.names import name_map, normalize_names
 from tablescope.plans.columns import collected
 from tablescope.plans.together import together
-from tablescope.session import shared_folder
 from tablescope.sources.csv import load_csv
 
 
-# CSV input above this size is written as Parquet before it is analysed.
-STAGE_ABOVE_MB = 512
-
-
 @dataclass
 class Profile:
     """Schema and quality describe the raw table; the profile, charts and context describe the clean one."""
@@ -37,10 +30,15 @@ class Profile:
     profiling: dict[str, DataFrame]
     clustering: cluster.Clustering | None
     charts: dict[str, DataFrame] = field(default_factory=dict)
+    staged: str | None = None
 
     def release(self) -> None:
-        """Drop the kept copy of a small table."""
+        """Drop the kept copy of the table and the files of a staged one."""
         self.raw.unpersist()
+        if self.staged:
+            jvm = self.raw.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.staged)
+            path.getFileSystem(self.raw.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
     def info(self) -> DataFrame:
         return context.dataset_info(
@@ -122,17 +120,25 @@ def dashboard_charts(profile: Profile) -> dict[str, DataFrame]:
 
 
 def profile_table(
-    df: DataFrame, size_mb: float = 0.0, run_clustering: bool = True, with_charts: bool = True
+    df: DataFrame,
+    size_mb: float = 0.0,
+    run_clustering: bool = True,
+    with_charts: bool = True,
+    keep: bool = False,
+    partitions: int | None = None,
 ) -> Profile:
     """Analyse a table: names normalised, raw reports, cleaning, statistics of the clean table, chart data.
 
-    A small table, which may lie in a single file split, is spread over the cores and kept while it is analysed; a
-    large one is read anew by each pass, which then reads only the columns it needs.
+    Each pass reads the table anew, and only the columns it needs. The caller who knows that the table fits asks to
+    ``keep`` it (memory, then disk) while it is analysed, and to spread one that lies in few splits over
+    ``partitions``. Neither changes an answer.
     """
     names = name_map(df)
     raw = normalize_names(df)
-    if df.count() < SPREAD_BELOW_ROWS:
-        raw = raw.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    if partitions:
+        raw = raw.repartition(partitions)
+    if keep:
+        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     schema_report, clean = together(df.sparkSession, [lambda: schema.schema_report(raw), lambda: clean_table(raw)])
     targets = [r["column"] for r in schema_report["target_candidates"].collect()]
     quality_report, profiling, found = together(
@@ -158,21 +164,22 @@ def load_analyse_clean(
     path: str,
     encoding: str | None = None,
     multi_line: bool = False,
-    stage_above_mb: float = STAGE_ABOVE_MB,
+    stage_to: str | None = None,
     **options,
 ) -> Profile:
     """The same for CSV files.
 
-    Many passes follow, and each would parse the whole text again. Large input is therefore written once as Parquet
-    to the shared folder, from which a pass reads only its columns.
+    Many passes follow, and each would parse the whole text again. With ``stage_to``, a path in a folder that all
+    executors reach, the table is written there once as Parquet, from which a pass reads only its columns;
+    ``Profile.release`` deletes it.
     """
     loaded = load_csv(spark, path, encoding, multi_line=multi_line)
     table = loaded.df
-    if loaded.size_mb > stage_above_mb:
-        staged = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    if stage_to:
         table = normalize_names(table)
-        table.write.parquet(staged)
-        table = spark.read.parquet(staged)
+        table.write.parquet(stage_to)
+        table = spark.read.parquet(stage_to)
     result = profile_table(table, loaded.size_mb, **options)
     result.names = name_map(loaded.df)
+    result.staged = stage_to
     return result

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -23,13 +21,8 @@ def build_session(app_name: str = "tablescope", master: str | None = None, **con
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a session that names none (a local test run) falls back to a new temporary folder.
-    """
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("spark.checkpoint.dir is not set: name a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="tablescope-")
+    return folder.rstrip("/")

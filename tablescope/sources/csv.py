@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablescope.functions.text import INTEGER, NUMERIC
 from tablescope.plans.columns import col, per_column
@@ -27,14 +27,18 @@ class LoadedCsv:
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``file_path, file_size, is_utf8`` per file.
+    """``file_path, file_size, is_utf8, header`` per file.
 
     The text source hands over the bytes of each line as they are, so their validity can be tested directly. The
-    read splits large files; the test combines on the map side to one row per file.
+    read splits large files; the test combines on the map side to one row per file. The header is the first line of
+    the split at the start of the file.
     """
     lines = spark.read.text(path)
+    at_start = F.col("_metadata.file_block_start") == 0
     return lines.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
-        F.max("_metadata.file_size").alias("file_size"), F.bool_and(F.is_valid_utf8("value")).alias("is_utf8")
+        F.max("_metadata.file_size").alias("file_size"),
+        F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
+        F.first(F.when(at_start, F.col("value")), ignorenulls=True).alias("header"),
     )
 
 
@@ -80,21 +84,30 @@ def load_csv(
     Any other encoding that the CSV reader knows can be named; one that has to be tried after Latin-1 would never be
     reached, since Latin-1 accepts every byte. ``multi_line`` allows line breaks inside quotes, at the price
     of files that are no longer split. The size is that of all files, in MB.
+
+    Files may have their columns in different orders, or lack some: files of one encoding and header line are read
+    together, and the groups meet by column name. The text is read once for this; file paths are only listed when
+    there is more than one group.
     """
-    found = file_encodings(spark, path)
-    size = found.agg(F.sum("file_size")).first()[0] or 0
-    latin1: list[str] = []
-    if encoding:
-        df = _reader(spark, encoding, multi_line).csv(path)
-    else:
-        latin1 = [r["file_path"] for r in found.filter("NOT is_utf8").select("file_path").collect()]
-        if not latin1:
-            df = _reader(spark, "UTF-8", multi_line).csv(path)
+    found = file_encodings(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        files = found.withColumn("encoding", F.lit(encoding)) if encoding else found.withColumn(
+            "encoding", F.when(F.col("is_utf8"), "UTF-8").otherwise("ISO-8859-1")
+        )
+        groups = files.groupBy("encoding", "header").agg(F.sum("file_size").alias("size")).collect()
+        size = sum(g["size"] for g in groups)
+        latin1 = [r["file_path"] for r in files.filter("encoding = 'ISO-8859-1' AND NOT is_utf8").select("file_path").collect()]
+        if len(groups) <= 1:
+            df = _reader(spark, groups[0]["encoding"] if groups else "UTF-8", multi_line).csv(path)
         else:
-            utf8 = [r["file_path"] for r in found.filter("is_utf8").select("file_path").collect()]
-            df = _reader(spark, "ISO-8859-1", multi_line).csv(latin1)
-            if utf8:
-                names = _reader(spark, "UTF-8", multi_line).csv(utf8).columns
-                texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-                df = _reader(spark, "UTF-8", multi_line).schema(texts).csv(utf8).union(df)
+            listed = files.groupBy("encoding", "header").agg(F.sort_array(F.collect_list("file_path")).alias("paths"))
+            parts = []
+            for g in sorted(listed.collect(), key=lambda g: (g["encoding"] != "UTF-8", g["paths"])):
+                if g["header"] is not None:  # an empty file has no columns
+                    parts.append(_reader(spark, g["encoding"], multi_line).csv(g["paths"]))
+            df = parts[0]
+            for part in parts[1:]:
+                df = df.unionByName(part, allowMissingColumns=True)
+    finally:
+        found.unpersist()
     return LoadedCsv(_with_types(df) if infer_types else df, round(size / (1024 * 1024), 2), latin1)

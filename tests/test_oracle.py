@@ -36,7 +36,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {
         "kmeans_k_scores", "kmeans_sizes", "kmeans_centers", "kmeans_labels", "chart_clusters", "chart_silhouette",
-        "scatter_points", "context_sample_large", "report_context",
+        "report_context",
     }
 
 
@@ -54,7 +54,7 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(tuple(plain(row[c]) for c in order) for row in found) == expected
 
 
-@pytest.mark.parametrize("name", ["scatter_points", "context_sample_large", "report_context"])
+@pytest.mark.parametrize("name", ["report_context"])
 def test_query_without_sql_repeats(spark, name):
     first, again = QUERIES[name](spark, SF).collect(), QUERIES[name](spark, SF).collect()
     assert first and first == again

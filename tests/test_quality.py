@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablescope.functions import grades
 from tablescope.operators import quality
 from tablescope.plans.duplicates import duplicated_rows
+from tablescope.plans.passes import class_summary
 
 
 @pytest.mark.parametrize(
@@ -65,10 +66,28 @@ def test_null_counts_as_a_value_in_repeats(make):
     assert [tuple(r) for r in quality.duplicate_subsets(df).collect()] == [("s", 2, 40.0)]
 
 
-def test_many_text_columns_are_not_searched_for_repeats(make):
+def test_every_text_column_is_searched_for_repeats(make):
     wide = make([tuple("a" for _ in range(16))] * 2, ", ".join(f"c{i} string" for i in range(16)))
-    assert quality.duplicate_subsets(wide).count() == 0
-    assert quality.duplicate_subsets(wide.drop("c15")).count() == 5
+    assert quality.duplicate_subsets(wide).count() == 16
+    assert quality.duplicate_subsets(wide, top=5).count() == 5
+
+
+def test_maps_and_variants_are_compared_by_content(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES
+        (map('a', 1, 'b', 2), parse_json('{"x": 1, "y": [2]}'), array(map(1, 'u'))),
+        (map('b', 2, 'a', 1), parse_json('{"y": [2], "x": 1}'), array(map(1, 'u'))),
+        (map('a', 1), parse_json('{"x": 1, "y": [2]}'), array(map(1, 'u'))),
+        (map('a', 1), NULL, NULL), (map('a', 1), NULL, NULL) AS t(m, v, n)"""
+    )
+    assert duplicated_rows(df) == 2
+    assert quality.duplicate_rows(df).first()["exact_duplicates"] == 2
+
+
+def test_numeric_ties_are_ordered_as_numbers(make):
+    df = make([(9, "x"), (10, "x"), (9, "y"), (10, "y")], "n int, s string")
+    found = {r["column"]: r["majority"] for r in class_summary(df, ["n", "s"]).collect()}
+    assert found == {"n": "9", "s": "x"}
 
 
 def test_formats(make):

@@ -117,6 +117,12 @@ def test_target_scores(make):
     assert schema.name_keyword("is_y", match="token") == "y"
 
 
+def test_hash_keys_span_all_of_64_bits(make):
+    df = make([(-(2**63),), (2**63 - 1,), (5,)], "h bigint")
+    found = schema.primary_keys(df).first()
+    assert not found["is_sequential"] and found["confidence"] == "high"
+
+
 def test_primary_keys(make):
     rows = [(i, i * 2, f"id{i:03d}", f"n{i}", None if i == 3 else i, i % 9) for i in range(20)]
     df = make(rows, "dense int, even int, fixed string, loose string, gap int, repeat int")

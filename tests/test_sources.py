@@ -70,17 +70,30 @@ def test_run_charts_and_context(run):
 
 
 def test_large_input_is_staged_as_columns(spark, tmp_path):
-    (tmp_path / "x.csv").write_text("My Key,v\n" + "\n".join(f"{i},{i % 7}" for i in range(200)))
-    found = load_analyse_clean(spark, str(tmp_path), stage_above_mb=-1.0, run_clustering=False, with_charts=False)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_text("My Key,v\n" + "\n".join(f"{i},{i % 7}" for i in range(200)))
+    found = load_analyse_clean(
+        spark, str(tmp_path / "in"), stage_to=str(tmp_path / "staged"), run_clustering=False, with_charts=False
+    )
     assert found.raw.columns == ["my_key", "v"] and found.raw.count() == 200
     assert [r["original"] for r in found.names.collect()] == ["My Key", "v"]
+    found.release()
+    assert not (tmp_path / "staged").exists()
+
+
+def test_files_with_other_column_orders_meet_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,city\n1,Köln\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("city,id\nBonn,2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_bytes("city,id,size\nMünchen,3,9\n".encode("latin-1"))
+    rows = load_csv(spark, str(tmp_path)).df.orderBy("id").collect()
+    assert [(r["id"], r["city"], r["size"]) for r in rows] == [(1, "Köln", None), (2, "Bonn", None), (3, "München", 9)]
 
 
 def test_samples(spark):
     df = spark.range(5000).select((F.col("id") % 1000).alias("a"), F.col("id").alias("b"))
-    assert context.context_sample(df, 1.0, ["b"]).count() == 100
-    big = context.context_sample(df, 51.0).collect()
-    assert len(big) == 500 and big == context.context_sample(df.repartition(7), 51.0).collect()
+    assert context.context_sample(df, order_by=["b"]).count() == 100
+    big = context.context_sample(df, 500, "hash").collect()
+    assert len(big) == 500 and big == context.context_sample(df.repartition(7), 500, "hash").collect()
 
 
 def turns(spark, n):

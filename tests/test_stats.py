@@ -143,11 +143,43 @@ def test_clusters(make):
     means = labels.groupby("cluster")[["x", "y"]].mean()
     for (k, c), value in centers.items():
         assert value == pytest.approx(means.loc[k, c], abs=1e-6)
-    assert charts.chart_clusters(found, 10).count() == 10
+    grid = charts.chart_clusters(found, 10).collect()
+    assert sum(r["cnt"] for r in grid) == 150 and {r["cluster"] for r in grid} == {f"Cluster {k}" for k in range(3)}
     assert cluster.kmeans_search(df.limit(20)) is None
     assert cluster.kmeans_search(df.select("x")) is None
 
 
+def test_clusters_do_not_depend_on_partitions(make):
+    rng = np.random.default_rng(5)
+    values = np.vstack([rng.normal(c, 1.5, (60, 3)) for c in (0, 4, 9)])
+    df = make([tuple(map(float, v)) for v in values], "a double, b double, c double")
+    found = [cluster.kmeans_search(df.repartition(n), max_k=5) for n in (1, 7)]
+    first, again = (
+        (f.best_k, [(k, round(s, 9)) for k, s in f.scores], f.points.tolist(), sorted(map(tuple, f.labelled.collect())))
+        for f in found
+    )
+    assert first == again
+    # The centres of every k are a fixed point, and the scores are those of the labels.
+    x = (values - values.mean(0)) / values.std(0, ddof=1)
+    labels = ((x[:, None] - found[0].points[None]) ** 2).sum(2).argmin(1)
+    for k, point in enumerate(found[0].points):
+        assert x[labels == k].mean(0) == pytest.approx(point, abs=0.02)
+    means = np.array([[((x[labels == k] - v) ** 2).sum(1).mean() for k in range(found[0].best_k)] for v in x])
+    n = np.bincount(labels)
+    own = means[np.arange(180), labels] * n[labels] / (n[labels] - 1)
+    means[np.arange(180), labels] = np.inf
+    other = means.min(1)
+    assert found[0].silhouette == pytest.approx(((other - own) / np.maximum(own, other)).mean(), abs=1e-3)
+
+
+def test_infinite_values_have_bins_of_their_own(make):
+    df = make([(float(i),) for i in range(60)] + [(float("inf"),), (float("-inf"),), (float("-inf"),)], "x double")
+    rows = {r["bin"]: r["cnt"] for r in charts.hist_grid(df, ["x"]).collect()}
+    assert [rows[b] for b in range(30)] == [2] * 30 and rows[-1] == 2 and rows[30] == 1
+    grid = charts.scatter_points(df.withColumn("y", F.lit(1)), "x", "y").collect()
+    assert sum(r["cnt"] for r in grid) == 60
+
+
 def test_histogram_bins(make, frame):
     df = to_spark(make, frame)
     rows = charts.hist_grid(df, ["a", "b", "d"]).collect()
