@@ -85,7 +85,7 @@ def target_information(
     numbers = df.select(*[_as_number(df, c).alias(c) for c in cut])
     points = [i / bins for i in range(1, bins)]
     cuts = {
-        r["column"]: sorted(set(list(r)[1:])) for r in exact_quantiles(numbers, cut, points, rows=rows).collect()
+        r["column"]: sorted(set(list(r)[1:])) for r in exact_quantiles(numbers, cut, points).collect()
     }
 
     def key(name: str) -> Column:

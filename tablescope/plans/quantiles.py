@@ -1,11 +1,10 @@
-"""Exact quantiles of any number of rows.
-
-Sorting all values of a column in one buffer is right for small tables only, so that is done below a checked row
-count. Above it, the wanted order statistics are found by narrowing brackets: an approximate sketch proposes pivots, an
-exact count says between which pivots each wanted rank lies, and the brackets shrink thousands of times per round.
-Ranks in one bracket share its sketch and its counts, so a round is two scans of the columns. Nothing but counters and
-sketches is exchanged; the last bracket is collected only after its count is known to be small. The answer does not
-depend on the sketch error.
+"""Exact quantiles of any number of rows, in a number of jobs that does not depend on how many are asked for.
+
+The wanted order statistics of all columns are found together by narrowing brackets. Marks are spread over each column;
+one pass counts exactly how many values lie under, on and between the marks; a rank then lies on a mark or in the
+bracket between two. Brackets that still hold many values get marks of their own and another pass. The values of small
+brackets are counted by value, and running sums say which has the rank. Tasks send counters, and only values of small
+brackets.
 """
 
 from __future__ import annotations
@@ -14,17 +13,18 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tablescope.plans.columns import col, local_rows, unpivot_numbers
+from tablescope.plans.columns import COLUMNS_PER_AGGREGATE, col, local_rows
 
-# Row count up to which the values of a column are sorted in one buffer (8 MB of doubles).
-IN_MEMORY_ROWS = 1_000_000
-# Values of one bracket that may be sorted in one task.
+# Values of one bracket that are counted one by one.
 BRACKET_ROWS = 200_000
-SKETCH_ACCURACY = 10_000
-RANKS_PER_JOB = 64
+FIRST_MARKS = 2_000
+MARKS_PER_BRACKET = 500
 
 
 @dataclass
@@ -37,43 +37,22 @@ class _Search:
     high: float | None = None
     answer: float | None = None
 
-    def values(self) -> Column:
-        value = col(self.column).cast("double")
-        keep = value.isNotNull()
-        if self.low is not None:
-            keep = keep & (value > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (value < F.lit(self.high))
-        return F.when(keep, value)
-
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
     names: Sequence[str] | None = None,
-    rows: int | None = None,
-    in_memory_rows: int = IN_MEMORY_ROWS,
     bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """One row per column with linearly interpolated quantiles of its non-null values.
 
-    ``rows`` is the largest count of values in a column, when the caller already knows it. Columns without values
-    give no row.
+    Columns without values give no row.
     """
     names = list(names or [f"q{i}" for i in range(len(probabilities))])
-    spark = df.sparkSession
+    schema = "column string, " + ", ".join(f"`{n}` double" for n in names)
     if not columns:
-        return local_rows(spark, [], "column string, " + ", ".join(f"`{n}` double" for n in names))
-    rows = df.count() if rows is None else rows
-    if rows <= in_memory_rows:
-        ordered = (
-            unpivot_numbers(df, columns)
-            .groupBy("column")
-            .agg(F.sort_array(F.collect_list("value")).alias("v"))
-            .withColumn("last", F.size("v") - 1)
-        )
-        return ordered.select("column", *[_interpolated(float(p)).alias(n) for p, n in zip(probabilities, names)])
+        return local_rows(df.sparkSession, [], schema)
     counts = df.agg(*[F.count(col(c)).alias(c) for c in columns]).first()
     wanted: dict[tuple[str, int], None] = {}
     for name in columns:
@@ -90,16 +69,10 @@ def exact_quantiles(
             for p in probabilities:
                 place = p * (counts[name] - 1)
                 low, high = found[(name, math.floor(place))], found[(name, math.ceil(place))]
-                row.append(low + (high - low) * (place - math.floor(place)))
+                share = place - math.floor(place)
+                row.append(low + (high - low) * share if share else low)
             result.append(tuple(row))
-    return local_rows(spark, result, "column string, " + ", ".join(f"`{n}` double" for n in names))
-
-
-def _interpolated(p: float) -> Column:
-    place = F.lit(p) * F.col("last")
-    low = F.col("v")[F.floor(place).cast("int")]
-    high = F.col("v")[F.ceil(place).cast("int")]
-    return low + (high - low) * (place - F.floor(place))
+    return local_rows(df.sparkSession, result, schema)
 
 
 def order_statistics(
@@ -107,68 +80,133 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """The values at the given ``(column, zero-based rank)`` places, exactly, without sorting the table."""
     searches = [_Search(column, rank, counts[column]) for column, rank in wanted]
-    while pending := [s for s in searches if s.answer is None]:
-        for shared in _brackets([s for s in pending if s.inside <= bracket_rows]):
-            _finish(df, shared)
-        for shared in _brackets([s for s in pending if s.inside > bracket_rows]):
-            _narrow(df, shared)
+    columns = list(dict.fromkeys(column for column, _ in wanted))
+    numbers = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    marks = None
+    while wide := [s for s in searches if s.answer is None and s.inside > bracket_rows]:
+        marks = _ends(numbers, wide) if marks is None else _spaced(wide)
+        for column, steps in _counted(numbers, marks).items():
+            for s in wide:
+                if s.column == column:
+                    _move(s, steps)
+    _finish(numbers, [s for s in searches if s.answer is None])
     return {(s.column, s.rank): s.answer for s in searches}
 
 
-def _brackets(searches: list[_Search]) -> list[list[list[_Search]]]:
-    """Searches with the same bracket together, and as many brackets at a time as one job looks at, so that the
-    generated code of a job stays small."""
-    shared: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        shared.setdefault((s.column, s.low, s.high), []).append(s)
-    jobs: list[list[list[_Search]]] = []
-    for group in shared.values():
-        if not jobs or sum(map(len, jobs[-1])) + len(group) > RANKS_PER_JOB:
-            jobs.append([])
-        jobs[-1].append(group)
-    return jobs
-
-
-def _finish(df: DataFrame, groups: list[list[_Search]]) -> None:
-    lists = [F.sort_array(F.collect_list(g[0].values())).alias(f"v{i}") for i, g in enumerate(groups)]
-    picks = [F.col(f"v{i}")[s.rank - s.below] for i, g in enumerate(groups) for s in g]
-    row = df.agg(*lists).select(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
-    for s, value in zip([s for g in groups for s in g], row):
-        s.answer = value
-
-
-def _narrow(df: DataFrame, groups: list[list[_Search]]) -> None:
-    margin = 1.5 / SKETCH_ACCURACY
-    sketches = []
-    for g in groups:
-        # Neighbouring ranks share their points: the rounding is far below the margin.
-        centers = {round((s.rank - s.below + 0.5) / s.inside, 5) for s in g}
-        points = {min(max(c + step, 0.0), 1.0) for c in centers for step in (-margin, 0.0, margin)}
-        sketches.append(F.percentile_approx(g[0].values(), sorted(points), SKETCH_ACCURACY))
-    pivots = [sorted(set(found)) for found in df.agg(*sketches).first()]
-    tallies = []
-    for g, marks in zip(groups, pivots):
-        value = g[0].values()
-        for mark in marks:
-            tallies += [F.count_if(value < F.lit(mark)), F.count_if(value == F.lit(mark))]
-    tally = iter(df.agg(*tallies).first())
-    for g, marks in zip(groups, pivots):
-        below = g[0].below
-        steps = [(mark, below + next(tally), next(tally)) for mark in marks]
-        for s in g:
-            _move(s, steps)
+def _ends(numbers: DataFrame, searches: list[_Search]) -> dict[str, np.ndarray]:
+    """Marks all over each column, from its smallest to its largest value."""
+    names = list(dict.fromkeys(s.column for s in searches))
+    found: dict[str, np.ndarray] = {}
+    for start in range(0, len(names), COLUMNS_PER_AGGREGATE):
+        part = names[start : start + COLUMNS_PER_AGGREGATE]
+        row = numbers.agg(*[f(F.nanvl(col(c), F.lit(None))) for c in part for f in (F.min, F.max)]).first()
+        for i, c in enumerate(part):
+            low, high = row[2 * i], row[2 * i + 1]
+            found[c] = np.unique(np.concatenate([[low, high], _marks(low, high, FIRST_MARKS)]))
+    return found
+
+
+def _marks(low: float, high: float, n: int) -> np.ndarray:
+    """Evenly spaced marks inside a bracket, the numbers next to its ends, and powers of ten, so that no scale takes
+    many rounds."""
+    largest = np.finfo(float).max
+    a, b = max(low, -largest), min(high, largest)
+    t = np.linspace(0.0, 1.0, n)
+    tens = 10.0 ** np.arange(-300, 301, 5)
+    marks = np.concatenate([a * (1 - t) + b * t, -tens, [0.0], tens, [np.nextafter(a, b), np.nextafter(b, a)]])
+    return marks[(marks > low) & (marks < high)]
+
+
+def _spaced(searches: list[_Search]) -> dict[str, np.ndarray]:
+    """Marks in every open bracket."""
+    found: dict[str, list[np.ndarray]] = {}
+    for low, high, column in {(s.low, s.high, s.column) for s in searches}:
+        found.setdefault(column, []).append(_marks(low, high, MARKS_PER_BRACKET))
+    return {c: np.unique(np.concatenate(parts)) for c, parts in found.items()}
+
+
+def _counted(numbers: DataFrame, marks: dict[str, np.ndarray]) -> dict[str, list[tuple[float, int, int]]]:
+    """For each column and mark, how many values lie under it and how many equal it; one job for all."""
+    names = list(marks)
+    edges = [marks[c] for c in names]
+
+    def work(batches):
+        totals = [np.zeros(2 * len(m) + 1, np.int64) for m in edges]
+        for batch in batches:
+            for total, m, values in zip(totals, edges, batch.columns, strict=True):
+                x = values.to_numpy(zero_copy_only=False).astype(float)
+                x = x[~np.isnan(x)]
+                # Even places lie between two marks, odd ones on a mark.
+                place = np.searchsorted(m, x, "left") + np.searchsorted(m, x, "right")
+                total += np.bincount(place, minlength=len(total))
+        for number, total in enumerate(totals):
+            filled = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(filled), number)), pa.array(filled), pa.array(total[filled])], ["c", "place", "n"]
+            )
+
+    parts = numbers.select(*[col(c) for c in names]).mapInArrow(work, "c long, place long, n long")
+    totals = [np.zeros(2 * len(m) + 1, np.int64) for m in edges]
+    for row in parts.groupBy("c", "place").agg(F.sum("n").alias("n")).collect():
+        totals[row["c"]][row["place"]] = row["n"]
+    return {
+        c: [
+            (float(mark), int(total[: 2 * i + 1].sum()), int(total[2 * i + 1])) for i, mark in enumerate(m)
+        ]
+        for c, m, total in zip(names, edges, totals, strict=True)
+    }
 
 
 def _move(s: _Search, steps: list[tuple[float, int, int]]) -> None:
-    """Shrink a search to the pivots around its rank, or end it on a pivot. ``steps`` holds for each pivot how many
+    """Shrink a search to the marks around its rank, or end it on a mark. ``steps`` holds for each mark how many
     values lie under it and how many equal it."""
     start, end = s.below, s.below + s.inside
     for mark, under, equal in steps:
         if s.rank < under:
-            s.high, end = mark, under
+            if s.high is None or mark < s.high:
+                s.high, end = mark, under
             break
         if s.rank < under + equal:
             s.answer = mark
-            break
-        s.low, start = mark, under + equal
+            return
+        if s.low is None or mark > s.low:
+            s.low, start = mark, under + equal
     s.below, s.inside = start, end - start
+
+
+def _finish(numbers: DataFrame, searches: list[_Search]) -> None:
+    """Ranks of small brackets: their values are counted, and a running sum over each bracket finds the rank."""
+    if not searches:
+        return
+    groups = sorted({(s.column, s.low, s.high) for s in searches}, key=str)
+    names = list(dict.fromkeys(g[0] for g in groups))
+    number = {g: i for i, g in enumerate(groups)}
+    by_column = [[(number[g], g[1], g[2]) for g in groups if g[0] == c] for c in names]
+
+    def work(batches):
+        for batch in batches:
+            group, value, n = [], [], []
+            for found, values in zip(by_column, batch.columns, strict=True):
+                x = values.to_numpy(zero_copy_only=False).astype(float)
+                x = np.sort(x[~np.isnan(x)])
+                for number, low, high in found:
+                    a = 0 if low is None else np.searchsorted(x, low, "right")
+                    b = len(x) if high is None else np.searchsorted(x, high, "left")
+                    if a < b:
+                        kept, counts = np.unique(x[a:b], return_counts=True)
+                        group.append(np.full(len(kept), number))
+                        value.append(kept)
+                        n.append(counts)
+            if group:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in (group, value, n)], ["g", "value", "n"]
+                )
+
+    cells = numbers.select(*[col(c) for c in names]).mapInArrow(work, "g long, value double, n long")
+    cells = cells.groupBy("g", "value").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("value"))  # a bracket holds a bounded number of values
+    asked = [(number[(s.column, s.low, s.high)], i, s.rank - s.below) for i, s in enumerate(searches)]
+    ranks = local_rows(numbers.sparkSession, asked, "g long, i long, rank long")
+    hits = cells.withColumn("upto", upto).join(ranks, "g").filter("rank < upto AND rank >= upto - n")
+    for row in hits.select("i", "value").collect():
+        searches[row["i"]].answer = row["value"]

@@ -1,4 +1,4 @@
-"""Exact quantiles and median gaps on the small and on the large path, against NumPy."""
+"""Exact quantiles and median gaps against NumPy."""
 
 from datetime import datetime, timedelta
 
@@ -31,12 +31,12 @@ def gappy(values, i):
     return None if i % 11 == 0 else float(values[i])
 
 
-@pytest.mark.parametrize("in_memory_rows", [0, 10**6])
-def test_quantiles_equal_numpy(make, numbers, in_memory_rows):
+@pytest.mark.parametrize("bracket_rows", [20, 10**6])
+def test_quantiles_equal_numpy(make, numbers, bracket_rows):
     names = list(numbers)
     rows = [tuple(gappy(numbers[c], i) for c in names) for i in range(6000)]
     df = make(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
-    found = exact_quantiles(df, names, POINTS, in_memory_rows=in_memory_rows, bracket_rows=20)
+    found = exact_quantiles(df, names, POINTS, bracket_rows=bracket_rows)
     for row in found.collect():
         values = [v for i in range(6000) if (v := gappy(numbers[row["column"]], i)) is not None]
         assert list(row)[1:] == pytest.approx(np.quantile(values, POINTS), rel=1e-12)
@@ -50,10 +50,24 @@ def test_ranks_without_sorting(spark):
     assert found == {("x", r): float(expected[r]) for _, r in wanted}
 
 
+def test_jobs_do_not_grow_with_the_ranks(spark):
+    df = spark.range(50_000).select(F.rand(1).alias("x"), F.rand(2).alias("y"))
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(points):
+        name = f"ranks-{len(points)}"
+        spark.sparkContext.setJobGroup(name, name)
+        exact_quantiles(df, ["x", "y"], points, bracket_rows=100)
+        spark.sparkContext.setJobGroup("", "")
+        return len(tracker.getJobIdsForGroup(name))
+
+    assert jobs([0.5, 0.7]) == jobs([i / 100 for i in range(1, 100)]) <= 12
+
+
 def test_empty_column_gives_no_row(make):
     df = make([(1.0, None), (3.0, None)], "a double, b double")
     for limit in (0, 100):
-        rows = exact_quantiles(df, ["a", "b"], [0.5], in_memory_rows=limit).collect()
+        rows = exact_quantiles(df, ["a", "b"], [0.5], bracket_rows=limit).collect()
         assert [tuple(r) for r in rows] == [("a", 2.0)]
 
 
