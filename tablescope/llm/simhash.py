@@ -265,10 +265,10 @@ def near_duplicates(
     smallest = (
         member.join(classes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     )
-    found = (
-        classes.join(member.join(smallest, "root").select("fp", "component_id"), "fp", "left")
-        .select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    )
+    found = classes.join(member.join(smallest, "root").select("fp", "component_id"), "fp", "left")
+    found = found.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Two plain tables meet, so that the rows of one fingerprint with very many copies can be split over tasks.
+    found = staged(found, "components")
     return prints.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
