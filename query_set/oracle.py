@@ -423,6 +423,16 @@ def schema_oracles() -> dict[str, str]:
  round(numeric_rate * 100, 1) AS numeric_parseable_pct FROM facts WHERE numeric_rate > 0.3 AND numeric_rate < 0.95""",
             facts("events_text"),
         ),
+        "mixed_samples": with_(
+            "events_text",
+            f"""SELECT col AS "column", is_numeric, CAST(sum(cnt) AS BIGINT) AS n_values,
+ string_agg(value, ', ' ORDER BY value) FILTER (place <= 3) AS samples
+ FROM (SELECT *, row_number() OVER (PARTITION BY col, is_numeric ORDER BY value) AS place FROM
+  (SELECT col, regexp_full_match(value, '{NUMERIC}') AS is_numeric, value, count(*) AS cnt FROM
+   ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM events_text WHERE {c} IS NOT NULL" for c in strings("events_text"))})
+   WHERE col IN (SELECT col FROM facts WHERE numeric_rate > 0.3 AND numeric_rate < 0.95) GROUP BY ALL)) GROUP BY ALL""",
+            facts("events_text"),
+        ),
         "lexical_type_counts": with_("events_text", lexical),
         "target_candidates": with_(
             "docs_labeled",
@@ -504,6 +514,19 @@ def quality_oracles() -> dict[str, str]:
         "missing_values": with_(
             DIRTY, 'SELECT col AS "column", position, missing_count, missing_pct, severity FROM missing', missing(DIRTY)
         ),
+        "missing_display": with_(
+            DIRTY,
+            """SELECT col AS "column", missing_count AS missing, printf('%.2f%%', missing_pct) AS pct_missing,
+ concat(upper(severity[1]), severity[2:]) AS severity FROM missing WHERE missing_count > 0""",
+            missing(DIRTY),
+        ),
+        "outlier_display": with_(
+            DIRTY,
+            """SELECT col AS "column", outlier_count AS outliers, printf('%.2f%%', outlier_pct) AS pct_outlier,
+ round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound,
+ concat(upper(severity[1]), severity[2:]) AS severity FROM outliers WHERE outlier_count > 0""",
+            outliers(DIRTY),
+        ),
         "missing_summary": with_(
             DIRTY,
             f"""SELECT total_missing, total_cells, overall_pct, rows_with_any_missing, rows_complete,
@@ -840,13 +863,15 @@ def portable(column: tuple[str, str]) -> str:
 CONVERSATION_VIEWS = {"conversation_context": "conversations", "conversation_context_gaps": "conversations_gaps"}
 
 
-def conversation_oracle(view: str) -> str:
+def conversation_oracle(view: str, recent: int = 5, base: str = "", analysed_at: str = "") -> str:
     rule = "=" * 50
+    front = f"'{base}', chr(10), " if base else ""
+    end = f", chr(10), chr(10), 'Analysis performed at: {analysed_at}'" if analysed_at else ""
     return with_(
         view,
-        f"""SELECT conv_id, count(*) AS n_results, concat(chr(10), '{rule}', chr(10), 'PREVIOUS ANALYSIS RESULTS', chr(10), '{rule}', chr(10),
-  string_agg(concat(chr(10), 'Question: ', question, chr(10), 'Result: ', result), chr(10) ORDER BY turn)) AS context
- FROM paired WHERE back <= 5 GROUP BY 1""",
+        f"""SELECT conv_id, count(*) AS n_results, concat({front}chr(10), '{rule}', chr(10), 'PREVIOUS ANALYSIS RESULTS', chr(10), '{rule}', chr(10),
+  string_agg(concat(chr(10), 'Question: ', question, chr(10), 'Result: ', result), chr(10) ORDER BY turn){end}) AS context
+ FROM paired WHERE back <= {recent} GROUP BY 1""",
         f"""spoken AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM {view}
   WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
         """paired AS (SELECT conv_id, turn, text AS question, substring(next_text, 1, 500) AS result,
@@ -884,6 +909,7 @@ def context_oracles() -> dict[str, str]:
         ),
         "context_sample": with_(DIRTY, f"SELECT * FROM {DIRTY} ORDER BY {order} LIMIT 100"),
         **{name: conversation_oracle(view) for name, view in CONVERSATION_VIEWS.items()},
+        "conversation_context_whole": conversation_oracle("conversations_gaps", 2, "Rows: 9", "2024-01-01 10:00:00"),
         "conversation_messages": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'system', turn) AS position,
  role, text AS content FROM conversations""",
         "conversation_queries": """SELECT conv_id, number, query, concat(number, '. ', query, '...') AS caption FROM

@@ -171,6 +171,7 @@ def queries() -> dict[str, Query]:
         "semantic_types_part": on("part", schema.semantic_types),
         "datetime_parse_rate": on("events_text", schema.datetime_parse_rates),
         "mixed_columns": on("events_text", schema.mixed_columns),
+        "mixed_samples": on("events_text", schema.mixed_samples),
         "lexical_type_counts": on("events_text", schema.lexical_type_counts),
         "target_candidates": on("docs_labeled", schema.target_candidates),
         "primary_keys": on("part", schema.primary_keys),
@@ -194,6 +195,10 @@ def queries() -> dict[str, Query]:
         "class_imbalance": on("docs_labeled", quality.class_imbalance),
         "class_distribution": on("docs_labeled", quality.class_distribution),
         "quality_score": on("orders_dirty", quality.quality_score),
+        "missing_display": on("orders_dirty", quality.missing_display),
+        "outlier_display": on(
+            "orders_dirty", lambda df: quality.outlier_display(df, quality.iqr_outliers(df, digits=6))
+        ),
         "quality_report": on("orders_dirty", quality_rows),
         # statistics
         "descriptive_stats": on("lineitem", lambda df: stats.descriptive_stats(df, digits=6)),
@@ -261,6 +266,10 @@ def queries() -> dict[str, Query]:
         "dataset_info": on("orders_dirty", dataset_info),
         "conversation_context": on("conversations", conversations.conversation_context),
         "conversation_context_gaps": on("conversations_gaps", conversations.conversation_context),
+        "conversation_context_whole": on(
+            "conversations_gaps",
+            lambda df: conversations.conversation_context(df, 2, "Rows: 9", "2024-01-01 10:00:00"),
+        ),
         "conversation_messages": on("conversations", conversations.conversation_messages),
         "conversation_queries": on("conversations", conversations.conversation_queries),
         "llm_json_extract": on("llm_responses", lambda df: conversations.llm_json_extract(df, "item_id", "response")),

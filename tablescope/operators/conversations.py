@@ -55,17 +55,24 @@ def recent_results(
     return pairs.withColumn("back", F.row_number().over(latest)).filter(F.col("back") <= recent).drop("back")
 
 
-def conversation_context(conversations: DataFrame, recent: int = RECENT) -> DataFrame:
-    """``conv_id, n_results, context``: the recent pairs of each conversation as one text, oldest first."""
+def conversation_context(
+    conversations: DataFrame, recent: int = RECENT, base: str | None = None, analysed_at: str | None = None
+) -> DataFrame:
+    """``conv_id, n_results, context``: the recent pairs of each conversation as one text, oldest first.
+
+    ``base``, the report of the table under discussion, stands in front, and the time of its analysis at the end.
+    """
     entry = F.concat(F.lit("\nQuestion: "), "question", F.lit("\nResult: "), "result")
     entries = F.array_sort(F.collect_list(F.struct("turn", entry.alias("entry"))))  # at most ``recent`` entries
-    heading = f"\n{RULE}\nPREVIOUS ANALYSIS RESULTS\n{RULE}\n"
+    heading = f"{base}\n" if base else ""
+    heading += f"\n{RULE}\nPREVIOUS ANALYSIS RESULTS\n{RULE}\n"
+    ending = f"\n\nAnalysis performed at: {analysed_at}" if analysed_at else ""
     return (
         recent_results(conversations, recent)
         .groupBy("conv_id")
         .agg(F.count("*").alias("n_results"), entries.alias("entries"))
         .select(
-            "conv_id", "n_results", F.concat(F.lit(heading), F.array_join("entries.entry", "\n")).alias("context")
+            "conv_id", "n_results", F.concat(F.lit(heading), F.array_join("entries.entry", "\n"), F.lit(ending)).alias("context")
         )
     )
 

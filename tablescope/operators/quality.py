@@ -495,7 +495,7 @@ def quality_report(
     """All quality reports of a raw table over one set of facts; the short ones are kept as local rows."""
     facts = column_facts(df) if facts is None else facts
     missing = collected(missing_values(df, facts))
-    totals, duplicates, issues, outliers, imbalance = together(
+    totals, duplicates, issues, outliers, imbalance, extremes = together(
         df.sparkSession,
         [
             lambda: collected(missing_summary(df, missing)),
@@ -503,6 +503,7 @@ def quality_report(
             lambda: collected(format_issues(df, facts)),
             lambda: collected(iqr_outliers(df, facts=facts)),
             lambda: collected(class_imbalance(df, targets, facts)),
+            lambda: outlier_samples(df),
         ],
     )
     return {
@@ -515,4 +516,10 @@ def quality_report(
         "outlier_summary": outlier_summary(df, outliers),
         "class_imbalance": imbalance,
         "quality_score": collected(quality_score(df, totals, duplicates, issues, outliers)),
+        # Details, computed when they are read.
+        "outlier_samples": extremes,
+        "class_distribution": class_distribution(df, [r["column"] for r in imbalance.select("column").collect()]),
+        "format_whitespace": format_whitespace(df),
+        "format_empty_strings": format_empty_strings(df),
+        "format_case_variants": format_case_variants(df),
     }

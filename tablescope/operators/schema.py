@@ -189,6 +189,25 @@ def mixed_columns(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     )
 
 
+def mixed_samples(df: DataFrame, facts: DataFrame | None = None, samples: int = SAMPLES) -> DataFrame:
+    """What clashes in mixed columns: ``column, is_numeric, n_values, samples``, the smallest values of either kind.
+
+    Values are counted before the exchange; each task and group keeps only the samples it may need.
+    """
+    names = [r["column"] for r in mixed_columns(df, facts).collect()]
+    if not names:
+        return local_rows(df.sparkSession, [], "column string, is_numeric boolean, n_values bigint, samples string")
+    cells = df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column", "value")
+    kinds = cells.filter("value IS NOT NULL").select("column", text.looks_numeric(F.col("value")).alias("is_numeric"), "value")
+    counted = kinds.groupBy("column", "is_numeric", "value").agg(F.count("*").alias("cnt"))
+    totals = counted.groupBy("column", "is_numeric").agg(F.sum("cnt").alias("n_values"))
+    smallest = Window.partitionBy("column", "is_numeric").orderBy("value")
+    shown = counted.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= samples)
+    listed = F.array_sort(F.collect_list(F.struct("place", "value")))  # at most ``samples`` values
+    shown = shown.groupBy("column", "is_numeric").agg(F.array_join(listed["value"], ", ").alias("samples"))
+    return totals.join(shown, ["column", "is_numeric"])
+
+
 def name_keyword(name: str, match: str = "substring") -> str | None:
     """The first target keyword in a column name. ``match='token'`` compares whole name parts instead."""
     lowered = name.lower().strip()
