@@ -6,10 +6,11 @@ lies, so most positions are never looked at; where the shift is zero, the block'
 it, and a comparison of all words confirms them.
 
 Patterns are searched in shards of a bounded number of words: one pass over the documents for each shard, which adds its
-finds to the row. The passes need no shuffle, and what a task holds of the patterns does not grow with the benchmark.
+finds to the row. The passes need no shuffle. Between two shards the rows are written to the shared folder, so a task
+holds the tables of one shard, however large the benchmark is.
 
-Defined results: null or empty texts have no words and are never contaminated; items without words (or null) have no
-window; repeated rows and ids are judged one by one, repeated items count once; an empty benchmark or table gives
+Defined results: null or empty texts have no words and are never contaminated; items without words, text or id
+have no window; repeated rows and ids are judged one by one, repeated items count once; an empty benchmark or table gives
 unchanged or no rows; other columns are ignored (``drop_contaminated`` hands them on).
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.common import encoded, map_batches, share
+from tablescope.llm.common import encoded, map_batches, share, staged
 
 WIDTH = 10
 SHARD_WORDS = 1_000_000
@@ -136,7 +137,9 @@ def _find(
         F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
     )
-    for shard in shards(benchmark, id_col, item_col, shard_words):
+    for number, shard in enumerate(shards(benchmark, id_col, item_col, shard_words)):
+        if number:
+            out = staged(out, "searched")
         shared = share(spark, Patterns(shard, width))
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
