@@ -1,6 +1,7 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
-All languages share one filter: a table of ``2 ** bits`` slots, each a mask with one bit for every language. An n-gram
+All languages share one filter: a table of ``2 ** bits`` slots, each a mask with one bit for every language (a further
+table for every ``PLANE`` languages). An n-gram
 sets the bit of each language it is typical of at ``HASHES`` slots; the conjunction of those slots gives, in one look-up,
 all languages that contain it. A text's n-grams are counted for each language by the set bits; the count that false
 positives would add (the filled share of a language's slice to the power of the hashes) is taken off, and the language
@@ -8,7 +9,7 @@ with most n-grams left decides.
 
 An n-gram is typical of a language if its share among the language's n-grams is at least ``TYPICAL`` of its largest share
 in any language. Shares come from all documents that may be learned from; n-grams are counted in each task first. The
-filter's size is fixed, so what is collected and broadcast does not grow with the corpus.
+filter's size follows from the number of languages, so what is collected and broadcast does not grow with the corpus.
 
 Defined results: null texts and texts without letters are ``und`` with score 0, as is every text if nothing could be
 learned; equal counts go to the language that is first by name; null languages and ids are not learned from, rows with
@@ -33,7 +34,7 @@ BITS = 20
 HASHES = 2
 TYPICAL = 0.3
 LEAST = 3
-MAX_LANGUAGES = 63
+PLANE = 63  # languages in one mask
 HELD_ROWS = 2_000_000
 UNKNOWN = "und"
 
@@ -81,21 +82,25 @@ def slots(found: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    masks: np.ndarray
+    masks: np.ndarray  # a row of slots for every PLANE languages
 
     def __post_init__(self):
+        self.masks = np.atleast_2d(self.masks)
+        self.wrong = (self.counts(self.masks) / self.masks.shape[1]) ** HASHES
+
+    def counts(self, masks: np.ndarray) -> np.ndarray:
+        """How many of the masks hold each language's bit."""
         numbers = range(len(self.languages))
-        filled = np.array([np.count_nonzero(self.masks & np.uint64(1 << k)) for k in numbers]) / len(self.masks)
-        self.wrong = filled**HASHES
+        return np.array([np.count_nonzero(masks[k // PLANE] & np.uint64(1 << k % PLANE)) for k in numbers])
 
     def predict(self, found: np.ndarray) -> tuple[str, float]:
         if not len(found) or not self.languages:
             return UNKNOWN, 0.0
-        first, *rest = slots(found, int(np.log2(len(self.masks))))
-        hit = self.masks[first]
+        first, *rest = slots(found, int(np.log2(self.masks.shape[1])))
+        hit = self.masks[:, first]
         for more in rest:
-            hit &= self.masks[more]
-        counts = np.array([np.count_nonzero(hit & np.uint64(1 << k)) for k in range(len(self.languages))])
+            hit &= self.masks[:, more]
+        counts = self.counts(hit)
         true = np.maximum(counts - len(found) * self.wrong, 0) / (1 - np.minimum(self.wrong, 0.99))
         best = int(true.argmax())
         total = true.sum()
@@ -150,36 +155,40 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
     counted = staged(gram_counts(rows.select("text", "lang")), "grams")
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"a mask holds at most {MAX_LANGUAGES} languages")
-    languages = sorted(totals)
+    totals = sorted(counted.groupBy("lang").agg(F.sum("n").alias("total")).collect())
+    languages = [r["lang"] for r in totals]
+    planes = max(1, -(-len(languages) // PLANE))
+    masks = np.zeros((planes, 1 << BITS), np.uint64)
     if not languages:
-        return Model([], np.zeros(1 << BITS, np.uint64))
-    total = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])
-    bit = F.create_map(*[x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(1 << k).cast("long"))])
-    share_ = F.col("n") / F.element_at(total, F.col("lang"))
+        return Model([], masks)
+    # One row for each language is broadcast.
+    bits = docs.sparkSession.createDataFrame(
+        [(r["lang"], float(r["total"]), k // PLANE, 1 << k % PLANE) for k, r in enumerate(totals)],
+        "lang string, total double, plane int, bit long",
+    )
+    share_ = F.col("n") / F.col("total")
     typical = (
-        counted.select("gram", "lang", "n", share_.alias("share"))
+        counted.join(F.broadcast(bits), "lang")
+        .select("gram", "plane", "bit", "n", share_.alias("share"))
         .withColumn("most", F.max("share").over(W.partitionBy("gram")))  # a row for each language at most
         .filter((F.col("share") >= TYPICAL * F.col("most")) & (F.col("n") >= LEAST))
-        .groupBy("gram")
-        .agg(F.bit_or(F.element_at(bit, F.col("lang"))).alias("mask"))
+        .groupBy("gram", "plane")
+        .agg(F.bit_or("bit").alias("mask"))
     )
 
     def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = slots(batch.column("gram").to_numpy().view(np.uint64))
-        masks = batch.column("mask").to_numpy()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(found)), pa.array(np.concatenate([masks] * len(found)))], ["slot", "mask"]
-        )
+        repeated = [np.concatenate([batch.column(c).to_numpy()] * len(found)) for c in ("plane", "mask")]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), *repeated)], ["slot", "plane", "mask"])
 
-    # At most ``2 ** BITS`` rows of two numbers come to the driver.
+    # At most ``2 ** BITS`` rows of three numbers for every PLANE languages come to the driver.
     cells = (
-        map_batches(typical, "slot long, mask long", placed).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+        map_batches(typical, "slot long, plane int, mask long", placed)
+        .groupBy("slot", "plane")
+        .agg(F.bit_or("mask").alias("mask"))
+        .toPandas()
     )
-    masks = np.zeros(1 << BITS, np.uint64)
-    masks[cells["slot"].to_numpy()] = cells["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    masks[cells["plane"], cells["slot"]] = cells["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return Model(languages, masks)
 
 

@@ -278,6 +278,19 @@ def test_bloom_filter_returns_every_language():
     assert model.predict(language.grams("Hello!", fold))[0] == "a" and model.predict(language.grams("12", fold)) == ("und", 0.0)
 
 
+def test_op7_many_languages(spark):
+    """More languages than one mask holds: each writes with words of its own."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + "x" + b + a for a in alphabet[:10] for b in alphabet[10:18]]
+    rows = [(k, f"{word} " * 6, f"l{n:02}") for n, word in enumerate(words) for k in (4 * n, 4 * n + 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 80 > language.PLANE and model.masks.shape[0] == 2
+    found = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    learned = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").select("lang").distinct()
+    assert found.join(learned, "lang").filter("lang_pred != lang").count() == 0
+
+
 def luhn(number):
     digits = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(number))]
     return sum(d - 9 if d > 9 else d for d in digits) % 10 == 0
