@@ -334,6 +334,14 @@ def time_rows() -> str:
  WHERE kind = 'datetime' OR (kind = 'string' AND coalesce(datetime_rate, 0) >= 0.8))"""
 
 
+def entry_rows(section: str, source: str, title: str, description: str, level: str, detail: str) -> str:
+    """The entries of one list of the responses as rows, numbered in their order."""
+    return f"""SELECT item_id, '{section}' AS section, CAST(number AS INTEGER) AS number, {title} AS title,
+ coalesce(e->>'{description}', '') AS description, coalesce(e->>'{level}', '') AS level, {detail} AS detail
+ FROM (SELECT item_id, unnest(CAST(j->'$.{source}' AS JSON[])) AS e, generate_subscripts(CAST(j->'$.{source}' AS JSON[]), 1) AS number
+       FROM parsed WHERE path <> 'fallback')"""
+
+
 def frequency(column: str, view: str) -> str:
     return f"""SELECT '{column}' AS "column", count(*) AS n_records, CAST(median(gap) AS DOUBLE) AS median_gap_us, 'sub-hourly' AS frequency
  FROM (SELECT epoch_us({column}) - lag(epoch_us({column})) OVER (ORDER BY {column}) AS gap FROM {view} WHERE {column} IS NOT NULL)
@@ -927,11 +935,15 @@ def context_oracles() -> dict[str, str]:
         ),
         "llm_insight_rows": with_(
             "llm_responses",
-            f"""SELECT item_id, 'metric' AS section, CAST(1 AS INTEGER) AS number, 'Total Records' AS title,
- json_extract_string(j, '$.key_metrics.total_records') AS description, '' AS level, '' AS detail FROM parsed WHERE path <> 'fallback'
- UNION ALL SELECT item_id, 'insight', CAST(1 AS INTEGER), json_extract_string(j, '$.insights[0].title'),
- json_extract_string(j, '$.insights[0].description'), json_extract_string(j, '$.insights[0].impact'),
- json_extract_string(j, '$.insights[0].category') FROM parsed WHERE path <> 'fallback'
+            f"""{entry_rows('insight', 'insights', "coalesce(e->>'title', 'Insight')", 'description', 'impact', "coalesce(e->>'category', '')")}
+ UNION ALL {entry_rows('anomaly', 'anomalies', "coalesce(e->>'title', 'Anomaly')", 'description', 'severity',
+                       "coalesce(array_to_string(CAST(e->'affected_columns' AS VARCHAR[]), ', '), '')")}
+ UNION ALL {entry_rows('recommendation', 'recommendations', "coalesce(e->>'action', '')", 'rationale', 'priority', "''")}
+ UNION ALL SELECT item_id, 'metric', CAST(number AS INTEGER),
+ array_to_string(list_transform(string_split(k, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' '),
+ coalesce(json_extract_string(j, '$.key_metrics.' || k), ''), '', ''
+ FROM (SELECT item_id, j, unnest(json_keys(j, '$.key_metrics')) AS k, generate_subscripts(json_keys(j, '$.key_metrics'), 1) AS number
+       FROM parsed WHERE path <> 'fallback')
  UNION ALL SELECT item_id, 'insight', CAST(1 AS INTEGER), 'Raw Analysis', substring({clean_text}, 1, 1000), 'medium', 'general'
  FROM parsed WHERE path = 'fallback'""",
             parsed,

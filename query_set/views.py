@@ -51,8 +51,15 @@ SELECT item_id, CASE item_id % 4
   ELSE concat('No JSON here: ', text) END AS response
 FROM (SELECT item_id, text,
   concat('{"dataset_overview": "item ', CAST(item_id AS STRING), '", "key_metrics": {"total_records": "',
-         CAST(length(text) AS STRING),
-         '"}, "insights": [{"title": "len", "description": "long", "impact": "high", "category": "distribution"}], "anomalies": [], "recommendations": []}') AS j
+         CAST(length(text) AS STRING), '", "mean_length": "', CAST(item_id % 7 AS STRING),
+         '"}, "insights": [{"title": "len", "description": "long", "impact": "high", "category": "distribution"}',
+         CASE WHEN item_id % 3 = 0 THEN ', {"description": "untitled"}' ELSE '' END,
+         '], "anomalies": [',
+         CASE WHEN item_id % 5 < 2 THEN concat('{"title": "gap ', CAST(item_id % 5 AS STRING),
+              '", "description": "holes", "severity": "low", "affected_columns": ["a", "b', CAST(item_id % 11 AS STRING), '"]}') ELSE '' END,
+         CASE WHEN item_id % 5 = 0 THEN ', {"severity": "high"}' ELSE '' END,
+         '], "recommendations": [{"action": "check ', CAST(item_id AS STRING), '", "rationale": "because", "priority": "high"}, {"action": "drop"}]',
+         CASE WHEN item_id % 6 = 0 THEN '' ELSE ', "other": 1' END, '}') AS j
   FROM benchmark) t
 """
 

@@ -181,47 +181,42 @@ def llm_insight_rows(responses: DataFrame, key: str, response: str) -> DataFrame
     Sections are ``metric, insight, anomaly`` and ``recommendation``; missing fields get their defaults.
     """
     parsed = parse_responses(responses, key, response)
+    none = F.lit("")
 
-    def text(field: str, default: str = "") -> Column:
-        return F.coalesce(F.col(field), F.lit(default))
+    def text(value: Column, default: str = "") -> Column:
+        return F.coalesce(value, F.lit(default))
 
-    def rows(section: str, source: str, title: Column, description: Column, level: Column, detail: Column) -> DataFrame:
-        exploded = parsed.select(key, F.posexplode(f"summary.{source}").alias("pos", "e"))
-        return exploded.select(
-            key,
+    def entry(section: str, at: Column, title: Column, description: Column, level: Column, detail: Column) -> Column:
+        return F.struct(
             F.lit(section).alias("section"),
-            (F.col("pos") + 1).alias("number"),
+            (at + 1).alias("number"),
             title.alias("title"),
             description.alias("description"),
             level.alias("level"),
             detail.alias("detail"),
         )
 
-    none = F.lit("")
-    metrics = parsed.select(key, F.posexplode("summary.key_metrics").alias("pos", "k", "v")).select(
-        key,
-        F.lit("metric").alias("section"),
-        (F.col("pos") + 1).alias("number"),
-        F.initcap(F.translate("k", "_", " ")).alias("title"),
-        text("v").alias("description"),
-        none.alias("level"),
-        none.alias("detail"),
-    )
-    return (
-        metrics.unionByName(
-            rows("insight", "insights", text("e.title", "Insight"), text("e.description"), text("e.impact"), text("e.category"))
-        )
-        .unionByName(
-            rows(
-                "anomaly",
-                "anomalies",
-                text("e.title", "Anomaly"),
-                text("e.description"),
-                text("e.severity"),
-                F.coalesce(F.array_join("e.affected_columns", ", "), none),
-            )
-        )
-        .unionByName(
-            rows("recommendation", "recommendations", text("e.action"), text("e.rationale"), text("e.priority"), none)
+    def metric(e: Column, at: Column) -> Column:
+        return entry("metric", at, F.initcap(F.translate(e["key"], "_", " ")), text(e["value"]), none, none)
+
+    def insight(e: Column, at: Column) -> Column:
+        return entry(
+            "insight", at, text(e["title"], "Insight"), text(e["description"]), text(e["impact"]), text(e["category"])
         )
-    )
+
+    def anomaly(e: Column, at: Column) -> Column:
+        columns = text(F.array_join(e["affected_columns"], ", "))
+        return entry("anomaly", at, text(e["title"], "Anomaly"), text(e["description"]), text(e["severity"]), columns)
+
+    def recommendation(e: Column, at: Column) -> Column:
+        return entry("recommendation", at, text(e["action"]), text(e["rationale"]), text(e["priority"]), none)
+
+    # Each response is parsed once; all its entries become one array and then rows.
+    lists = [
+        F.transform(F.map_entries("summary.key_metrics"), metric),
+        F.transform("summary.insights", insight),
+        F.transform("summary.anomalies", anomaly),
+        F.transform("summary.recommendations", recommendation),
+    ]
+    entries = F.flatten(F.filter(F.array(*lists), lambda part: part.isNotNull()))
+    return parsed.select(key, F.inline(entries))

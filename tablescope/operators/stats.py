@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -14,7 +16,8 @@ from tablescope.plans.columns import col, collected, local_rows, nan_to_null, nu
 from tablescope.plans.passes import moments
 from tablescope.plans.quantiles import exact_quantiles
 
-# Pairs per aggregate when some column has gaps and pairs must be taken one by one.
+# Share of a mean square below which a variance taken from sums is not trusted; such pairs are aggregated one by one.
+LEAST_VARIANCE = 1e-6
 PAIRS_PER_AGGREGATE = 24
 TOP_PAIRS = 10
 DISPLAY_PAIRS = 15
@@ -122,12 +125,68 @@ def distribution_types(df: DataFrame, shapes: DataFrame | None = None) -> DataFr
     return normality_test(df, shapes).select("column", "is_normal", "distribution_type")
 
 
+def gram_matrix(df: DataFrame, scales: dict[str, tuple[float, float]]) -> np.ndarray:
+    """Sums over all rows of the products of any two of: presence, value and squared value of each column.
+
+    Values are shifted and scaled by ``scales`` (mean and deviation) first, and a missing one is 0, so the products
+    of two columns only count rows where both are present. A task multiplies its batches as matrices and sends one
+    row per line of the matrix; lines of all tasks are added up by their elements.
+    """
+    names = list(scales)
+    values = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    shift = np.array([scales[c][0] for c in names])
+    width = np.array([scales[c][1] or 1.0 for c in names])
+
+    def multiplied(batches):
+        total = np.zeros((3 * len(shift), 3 * len(shift)))
+        for batch in batches:
+            # A missing value arrives as NaN.
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            present = ~np.isnan(x)
+            x = np.where(present, (x - shift) / width, 0.0)
+            whole = np.hstack([present, x, x * x])
+            total += whole.T @ whole
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["line", "sums"]
+        )
+
+    parts = values.mapInArrow(multiplied, "line int, sums array<double>")
+    cells = parts.select("line", F.posexplode("sums").alias("place", "part")).groupBy("line", "place").agg(F.sum("part"))
+    matrix = np.zeros((3 * len(names), 3 * len(names)))
+    for line, place, total in cells.collect():
+        matrix[line, place] = total
+    return matrix
+
+
+def pairwise_r(
+    matrix: np.ndarray, names: list[str], pairs: list[tuple[str, str]]
+) -> tuple[dict[tuple[str, str], float], list[tuple[str, str]]]:
+    """Pearson r of pairs from their Gram matrix, and the pairs it cannot settle: those where a column hardly varies on
+    the rows with both values, so that its variance is lost in rounding."""
+    k, at = len(names), {c: i for i, c in enumerate(names)}
+    found, doubtful = {}, []
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        n = matrix[i, j]
+        if n < 2:
+            continue
+        mean_a, mean_b = matrix[k + i, j] / n, matrix[i, k + j] / n
+        square_a, square_b = matrix[2 * k + i, j] / n, matrix[i, 2 * k + j] / n
+        var_a, var_b = square_a - mean_a**2, square_b - mean_b**2
+        if var_a > LEAST_VARIANCE * square_a and var_b > LEAST_VARIANCE * square_b:
+            r = (matrix[k + i, k + j] / n - mean_a * mean_b) / np.sqrt(var_a * var_b)
+            found[(a, b)] = float(np.clip(r, -1.0, 1.0))
+        else:
+            doubtful.append((a, b))
+    return found, doubtful
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r of every pair of numeric columns, unrounded: ``col1, col2, r``, in column order.
 
     Columns without gaps go through one vector aggregate, whose cost does not grow with generated code. Pairs with
-    a column that has gaps are taken over the rows where both are present. Pairs without an r (a constant column)
-    are left out.
+    a column that has gaps are taken over the rows where both are present, all of them in one further pass
+    (``gram_matrix``). Pairs without an r (a column that is constant there) are left out.
     """
     df = nan_to_null(df)
     columns = numeric_columns(df) if columns is None else columns
@@ -137,7 +196,15 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         return local_rows(spark, [], schema)
     order = {pair: i for i, pair in enumerate(combinations(columns, 2))}
     checks = per_column(
-        df, columns, lambda c: {"gaps": F.count_if(col(c).isNull()), "n": F.count(col(c))}, "gaps bigint, n bigint"
+        df,
+        columns,
+        lambda c: {
+            "gaps": F.count_if(col(c).isNull()),
+            "n": F.count(col(c)),
+            "mean": F.avg(col(c).cast("double")),
+            "std": F.stddev_samp(col(c).cast("double")),
+        },
+        "gaps bigint, n bigint, mean double, std double",
     ).collect()
     full = [r["column"] for r in checks if not r["gaps"] and r["n"] > 1]
     empty = {r["column"] for r in checks if r["n"] < 2}
@@ -150,10 +217,14 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
             found[(a, b)] = float(matrix[i][j])
     whole = set(full)
     rest = [p for p in order if not (p[0] in whole and p[1] in whole) and not empty & set(p)]
-    for start in range(0, len(rest), PAIRS_PER_AGGREGATE):
-        chunk = rest[start : start + PAIRS_PER_AGGREGATE]
-        row = df.agg(*[shape.pearson(col(a), col(b)) for a, b in chunk]).first()
-        found.update(zip(chunk, row))
+    if rest:
+        scales = {r["column"]: (r["mean"], r["std"]) for r in checks if r["column"] not in empty}
+        near, doubtful = pairwise_r(gram_matrix(df, scales), list(scales), rest)
+        found.update(near)
+        for start in range(0, len(doubtful), PAIRS_PER_AGGREGATE):
+            chunk = doubtful[start : start + PAIRS_PER_AGGREGATE]
+            row = df.agg(*[shape.pearson(col(a), col(b)) for a, b in chunk]).first()
+            found.update(zip(chunk, row))
     rows = [(a, b, r, order[(a, b)]) for (a, b), r in found.items() if r is not None and r == r]
     return local_rows(spark, rows, schema).orderBy("position")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,11 +54,16 @@ def duplicated_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) ->
     columns = [col(c) for c in df.columns]
     hashed = df.withColumn("__row_hash", F.xxhash64(*columns))
     repeated = hashed.groupBy("__row_hash").agg(F.count("*").alias("__copies")).filter("__copies > 1").select("__row_hash")
-    suspects = repeated.count()
-    if suspects == 0:
-        return 0
-    rows = df
-    if suspects <= broadcast_hashes:
-        rows = hashed.join(F.broadcast(repeated), "__row_hash", "left_semi").drop("__row_hash")
-    extra = rows.groupBy(*columns).agg(F.count("*").alias("__copies")).agg(F.sum(F.col("__copies") - 1)).first()[0]
+    # Kept between its count and its use, so that the table is hashed once for both; a lost block is computed again.
+    repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        suspects = repeated.count()
+        if suspects == 0:
+            return 0
+        rows = df
+        if suspects <= broadcast_hashes:
+            rows = hashed.join(F.broadcast(repeated), "__row_hash", "left_semi").drop("__row_hash")
+        extra = rows.groupBy(*columns).agg(F.count("*").alias("__copies")).agg(F.sum(F.col("__copies") - 1)).first()[0]
+    finally:
+        repeated.unpersist()
     return extra or 0
