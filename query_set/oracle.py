@@ -343,9 +343,19 @@ def entry_rows(section: str, source: str, title: str, description: str, level: s
 
 
 def frequency(column: str, view: str) -> str:
-    return f"""SELECT '{column}' AS "column", count(*) AS n_records, CAST(median(gap) AS DOUBLE) AS median_gap_us, 'sub-hourly' AS frequency
- FROM (SELECT epoch_us({column}) - lag(epoch_us({column})) OVER (ORDER BY {column}) AS gap FROM {view} WHERE {column} IS NOT NULL)
- HAVING median(gap) < 3600000000"""
+    """The median gap between the times of a column (or expression AS name) and the name of their frequency."""
+    return f"""SELECT '{column}' AS "column", n_records, g AS median_gap_us,
+ CASE WHEN d = 0 AND g < 3600000000 THEN 'sub-hourly' WHEN d = 0 AND g <= 5400000000 THEN 'hourly' WHEN d = 0 THEN 'intra-day'
+  WHEN d = 1 THEN 'daily' WHEN d BETWEEN 6 AND 8 THEN 'weekly' WHEN d BETWEEN 13 AND 16 THEN 'bi-weekly'
+  WHEN d BETWEEN 27 AND 33 THEN 'monthly' WHEN d BETWEEN 85 AND 95 THEN 'quarterly' WHEN d BETWEEN 360 AND 370 THEN 'yearly'
+  ELSE concat('~', d, '-day intervals') END AS frequency
+ FROM (SELECT count(*) AS n_records, CAST(median(gap) AS DOUBLE) AS g, CAST(floor(median(gap) / 86400000000.0) AS BIGINT) AS d
+  FROM (SELECT epoch_us({column}) - lag(epoch_us({column})) OVER (ORDER BY {column}) AS gap FROM {view} WHERE {column} IS NOT NULL))
+ WHERE n_records >= 3"""
+
+
+def steps(column: str, view: str, step: str) -> str:
+    return frequency(step, f"(SELECT DISTINCT CAST(date_trunc('{step}', {column}) AS TIMESTAMP) AS {step} FROM {view})")
 
 
 def clean_oracles() -> dict[str, str]:
@@ -465,6 +475,10 @@ def schema_oracles() -> dict[str, str]:
         "temporal_span": """SELECT 'ts' AS "column", min(ts) AS start_ts, max(ts) AS end_ts,
  CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0) AS BIGINT) AS duration_days, count(ts) AS n_records FROM events""",
         "time_frequency": f"{frequency('ts', 'events')} UNION ALL {frequency('l_shipdate', 'lineitem')}",
+        "time_frequency_steps": union(
+            [steps("ts", "events", "hour")]
+            + [steps("o_orderdate", "orders", step) for step in ("day", "week", "month", "quarter", "year")]
+        ),
         "column_categories": with_(
             DIRTY,
             f"""SELECT e.semantic_type, count(t.col) AS n_columns, coalesce(string_agg(t.col, ', ' ORDER BY t.position), '') AS columns
@@ -951,8 +965,36 @@ def context_oracles() -> dict[str, str]:
     }
 
 
+def dashboard(found: dict[str, str]) -> str:
+    """The charts of the dirty orders and their rows, from the SQL of the charts or from counts over the clean table."""
+    nums = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+    def scaled(column: str) -> str:
+        value, of = f"CAST({column} AS DOUBLE)", "OVER ()"
+        return f"least(CAST(floor(({value} - min({value}) {of}) / (max({value}) {of} - min({value}) {of}) * 50) AS INTEGER), 49)"
+
+    counts = {
+        "quality_gauge": f"({found['chart_gauge']})",
+        "quality_dimensions": f"({found['chart_dimensions']})",
+        "missing_values": f"({found['chart_missing']})",
+        "outliers": f"({found['chart_box']})",
+        "class_balance": "(SELECT unnest(range(n_unique)) FROM (FROM imbalance ORDER BY is_target DESC, ratio DESC, position LIMIT 1))",
+        "feature_importance": "(SELECT col FROM facts WHERE col <> (SELECT col FROM targets ORDER BY score DESC, position LIMIT 1))",
+        "correlation_pairs": "(" + union([f"SELECT 1 FROM cleaned HAVING round(corr({a}, {b}), 4) <> 0" for a, b in combinations(nums, 2)]) + ")",
+        "distributions": f"(SELECT bin, c FROM range(30) t(bin), unnest({nums}) u(c))",
+        "dist": "range(30)",
+        "comp": "(SELECT DISTINCT o_orderstatus FROM cleaned)",
+        "rel": f'(SELECT DISTINCT x, y, o_orderstatus FROM (SELECT {scaled(nums[0])} AS x, {scaled(nums[1])} AS y, o_orderstatus FROM cleaned))',
+        "heat": f"(SELECT a, b FROM unnest({nums}) t(a), unnest({nums}) u(b))",
+        "bar": "(SELECT DISTINCT o_orderstatus FROM cleaned)",
+        "time_series": f"(SELECT DISTINCT date_trunc('day', o_orderdate), n FROM cleaned, unnest({nums}) u(n))",
+    }
+    parts = [f"SELECT '{name}' AS chart, count(*) AS n_rows FROM {source}" for name, source in counts.items()]
+    return with_(DIRTY, union(parts), clean_ctes(), facts(DIRTY), targets(), imbalance())
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         **clean_oracles(),
         **schema_oracles(),
         **quality_oracles(),
@@ -960,3 +1002,4 @@ def oracle_sql() -> dict[str, str]:
         **chart_oracles(),
         **context_oracles(),
     }
+    return {**found, "dashboard_charts": dashboard(found)}

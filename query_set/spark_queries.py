@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from query_set.views import table
 from tablescope import session
 from tablescope.operators import charts, clean, cluster, context, conversations, importance, names, quality, schema, stats
 from tablescope.plans.columns import collected
-from tablescope.profile import load_analyse_clean, profiling_report
+from tablescope.profile import load_analyse_clean, profile_table, profiling_report
 from tablescope.sources.csv import load_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +77,24 @@ def time_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return events.unionByName(schema.time_frequency(table(spark, folder, "lineitem"), "l_shipdate"))
 
 
+def time_frequency_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct hours, days, weeks and so on in which there are orders or events, each as a time column."""
+    orders, events = table(spark, folder, "orders"), table(spark, folder, "events")
+    found = []
+    for df, ts, steps in ((events, "ts", ["hour"]), (orders, "o_orderdate", ["day", "week", "month", "quarter", "year"])):
+        for step in steps:
+            times = df.select(F.date_trunc(step, ts).cast("timestamp_ntz").alias(step)).distinct()
+            found.append(schema.time_frequency(times, step))
+    return reduce(DataFrame.unionByName, found)
+
+
+def dashboard_charts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chart of the whole analysis with its number of rows."""
+    profile = profile_table(table(spark, folder, "orders_dirty"), run_clustering=False)
+    counts = [df.select(F.lit(name).alias("chart")).groupBy("chart").agg(F.count("*").alias("n_rows")) for name, df in profile.charts.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def quality_rows(df: DataFrame) -> DataFrame:
     """The whole quality report in one long table: ``section, item, metric, value``."""
     report = quality.quality_report(df)
@@ -178,6 +197,7 @@ def queries() -> dict[str, Query]:
         "best_time_column": on("events_text", schema.time_column_rows),
         "temporal_span": on("events", lambda df: schema.temporal_span(df, "ts")),
         "time_frequency": time_frequency,
+        "time_frequency_steps": time_frequency_steps,
         "column_categories": on("orders_dirty", schema.column_categories),
         "schema_report": on("orders_dirty", schema.schema_display),
         # quality
@@ -256,6 +276,7 @@ def queries() -> dict[str, Query]:
         "chart_silhouette": kmeans(charts.chart_silhouette),
         "chart_gauge": on("orders_dirty", lambda df: charts.chart_gauge(quality.quality_score(df))),
         "chart_dimensions": on("orders_dirty", lambda df: charts.chart_dimensions(quality.quality_score(df))),
+        "dashboard_charts": dashboard_charts,
         # context, conversations, responses
         "describe_all": on(
             "orders_dirty", lambda df: rounded(context.describe_all(df), 6, "mean", "std", "min", "q25", "q50", "q75", "max")
