@@ -12,11 +12,18 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from query_set.spark_queries import queries  # noqa: E402
 from query_set.views import table  # noqa: E402
 from tablescope import build_session, profile_table  # noqa: E402
+from tablescope.operators.importance import mutual_information  # noqa: E402
+from tablescope.operators.schema import column_profile  # noqa: E402
+from tablescope.operators.stats import descriptive_stats  # noqa: E402
 
 HEADLINE = [
+    "csv_source",
+    "load_analyse_clean",
     "descriptive_stats",
     "column_profile",
     "semantic_types",
@@ -62,6 +69,15 @@ def main() -> None:
     profile_table(table(spark, folder, "region"), run_clustering=False).release()
     for name in HEADLINE:
         clock(name, lambda: every[name](spark, folder).write.format("noop").mode("overwrite").save())
+    # More than a million rows at sf0.1: lineitem and a copy of it with order keys of its own.
+    lineitem = table(spark, folder, "lineitem")
+    twice = lineitem.unionByName(lineitem.withColumn("l_orderkey", F.col("l_orderkey") + 1_000_000_000))
+    for name, operator in (
+        ("descriptive_stats_twice", descriptive_stats),
+        ("mi_regression_twice", lambda df: mutual_information(df, "l_extendedprice")),
+        ("column_profile_twice", column_profile),
+    ):
+        clock(name, lambda: operator(twice).write.format("noop").mode("overwrite").save())
     # The whole report of lineitem, without and with clustering of all rows.
     for name, clustering in (("report", False), ("report_with_clusters", True)):
         clock(name, lambda: profile_table(
