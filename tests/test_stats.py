@@ -85,6 +85,18 @@ def test_correlation_with_gaps_equals_pandas(make, frame):
         assert r["r"] == pytest.approx(expected.loc[r["col1"], r["col2"]], abs=1e-10)
 
 
+def test_correlation_where_sums_lose_the_variance(make):
+    """Next to its spread over all rows, ``a`` hardly varies where ``b`` has values; ``b`` and ``c`` never meet."""
+    rows = [(float(i % 7) * 1e-6 + 5.0, float(i), None) for i in range(40)]
+    rows += [(float(i) * 1e5, None, float(i)) for i in range(-20, 20)] + [(3.0, None, None)] * 5
+    found = {(r["col1"], r["col2"]): r["r"] for r in stats.correlation_pairs(make(rows, "a double, b double, c double")).collect()}
+    expected = pd.DataFrame(rows, columns=["a", "b", "c"]).astype(float).corr()
+    assert set(found) == {("a", "b"), ("a", "c")}
+    assert all(r == pytest.approx(expected.loc[a, b], abs=1e-6) for (a, b), r in found.items())
+    constant = [(2.0, float(i)) for i in range(9)] + [(float(i), None) for i in range(9)]
+    assert stats.correlation_pairs(make(constant, "a double, b double")).count() == 0
+
+
 def test_correlation_sentences(make, frame):
     df = to_spark(make, frame)
     summary = stats.correlation_summary(df).first()
