@@ -8,6 +8,10 @@ seen too rarely fall back to their name, then to ``DEFAULT``. Elements that say
 are not counted, their words score nothing and their tags ``APART_WEIGHT``. From the region, blocks of menus, headers, footers, side
 bars, notices, adverts, forms and reader comments are left out; scripts, styles and comments are never words.
 
+A class, id or role sets an element aside as a whole token (``sidebar``, ``site-footer``), not by a part of one that says
+something else (``has-sidebar``, ``comment-status-open``). If a page's only ``article`` or ``main`` is inside such an element, that is
+a wrapper and is not set aside; if class names would set aside every word of a page, they are not read.
+
 The weights are fitted on at most ``SAMPLE`` pages, those with the smallest hash of their id; extraction reads all
 pages whole.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -39,19 +44,26 @@ LEAST_WORD = 0.02
 LEAST_TAG = 0.05
 SIGNATURES = 20_000
 
-RAW = "script|style|noscript|template|svg|math|iframe|object|title|textarea|select|canvas|video|audio"
+HIDDEN = frozenset("template svg iframe title textarea select canvas video audio".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.IGNORECASE | re.DOTALL,
 )
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in HIDDEN}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 LETTERS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[^\W_]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr noscript object".split()
+)
+# Tags of formulas are read over: their many tags say nothing about the text around them.
+FORMULA = frozenset(
+    "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split()
 )
 CONTENT = frozenset(["article", "main"])
 APART = frozenset("nav header footer aside form button menu dialog fieldset head".split())
@@ -61,6 +73,13 @@ APART_NAMES = frozenset(
     "aside widget related recommended footer masthead topbar comment comments disqus replies respond newsletter subscribe "
     "signup login search share sharing social".split()
 )
+# What a name may be compounded with and still say the same, as in ``site-footer`` or ``share-buttons``.
+WITH = frozenset(
+    "site page main global primary secondary top bottom section block area box bar list links link button buttons form widgets "
+    "posts title header".split()
+)
+# These hold articles of their own, so one in them does not make them the wrapper of the main text.
+OF_ARTICLES = frozenset("comment comments disqus replies respond related recommended".split())
 
 
 @dataclass
@@ -70,28 +89,63 @@ class Node:
     apart: bool
     by_name: bool
     content: bool
+    named: int = 0  # the tag's number if its class, id or role set it aside
+    articles: bool = False  # set aside by a name of ``OF_ARTICLES``, here or further out
 
 
-def signature(name: str, attributes: str) -> tuple[str, bool]:
-    """An element's name with its first class or id, and whether its names say that it is not main text."""
-    first, apart = "", False
+def signature(name: str, attributes: str) -> tuple[str, frozenset[str]]:
+    """An element's name with its first class or id, and those of its names that say that it is not main text."""
+    first, apart = "", set()
     for found in NAMES.finditer(attributes):
-        words = LETTERS.findall((found[1] or found[2] or found[3] or "").lower())
+        value = (found[1] or found[2] or found[3] or "").lower()
+        words = LETTERS.findall(value)
         first = first or (words[0] if words else "")
-        apart = apart or not APART_NAMES.isdisjoint(words)
-    return (f"{name}.{first}" if first else name), apart
+        if not APART_NAMES.isdisjoint(words):
+            for token in value.split():
+                parts = set(PARTS.findall(token))
+                parts -= {x for x in parts if x.isdigit()}
+                if parts <= APART_NAMES | WITH:
+                    apart |= parts & APART_NAMES
+    return (f"{name}.{first}" if first else name), frozenset(apart)
 
 
-def read(page: str):
+@dataclass
+class Found:
+    """What a reading saw of class names: whether any set words aside, and the wrappers of the first content element."""
+
+    words: bool = False
+    named: bool = False
+    free: bool = False  # a content element that no class name set aside
+    main: frozenset[int] = frozenset()
+    article: frozenset[int] = frozenset()
+
+
+def read(page: str) -> list[tuple]:
     """Events of a page in order: ``("t", signature, content, apart)`` for tags, ``("w", signature, content, apart, text,
     block)`` for text. The place is inside an element that marks content, or in one that is not main text."""
+    seen = Found()
+    events = list(tags(page, seen, lambda number: True))
+    wrappers = frozenset() if seen.free else seen.main or seen.article
+    if wrappers:
+        seen = Found()
+        events = list(tags(page, seen, lambda number: number not in wrappers))
+    if seen.named and not seen.words:
+        events = list(tags(page, Found(), lambda number: False))
+    return events
+
+
+def tags(page: str, seen: Found, judged: Callable[[int], bool]):
+    """The events of one reading; class names count in the elements whose number is ``judged``."""
     stack = [Node("", "", False, False, False)]
-    top, block, at = stack[0], 0, 0
+    top, block, at, number = stack[0], 0, 0, 0
+    endless: set[str] = set()
 
     def words(piece: str):
+        if piece and not piece.isspace():
+            seen.words = seen.words or not top.apart
         return ("w", top.signature, top.content, top.apart, piece, block)
 
-    for found in TOKEN.finditer(page):
+    while found := TOKEN.search(page, at):
         if found.start() > at:
             yield words(page[at : found.start()])
         at = found.end()
@@ -102,6 +156,18 @@ def read(page: str):
         if name == "br":
             yield words(" ")
             continue
+        if name in HIDDEN and not found[2]:
+            # What is between the tags is not shown; without a closing tag, what follows is read on.
+            if found[4].endswith("/") or name in endless:
+                continue
+            end = CLOSING[name].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)
+            continue
+        if name in FORMULA:
+            continue
         if name not in INLINE:
             block += 1
         if found[2]:
@@ -112,18 +178,29 @@ def read(page: str):
                     top = stack[-1]
                     break
             continue
-        sign, apart = signature(name, found[4]) if found[4] else (name, False)
+        sign, names = signature(name, found[4]) if found[4] else (name, frozenset())
+        number += 1
+        apart = bool(names) and name not in ("html", "body") and judged(number)
         if name in VOID:
             yield ("t", sign, top.content, top.apart)
             continue
-        if name in ("html", "body"):
-            apart = False
         by_name = name in APART and not (name == "header" and top.content)
         content = name in CONTENT and not apart
         # A new content element ends what an unclosed menu or header began.
         inherited = top.apart and not (content and top.by_name)
         node = Node(name, sign, apart or by_name or inherited, (by_name and not apart) or (top.by_name and inherited),
-                    content or (top.content and not apart and not by_name))
+                    content or (top.content and not apart and not by_name), number if apart else 0,
+                    (apart and not OF_ARTICLES.isdisjoint(names)) or (top.articles and inherited))
+        seen.named = seen.named or apart
+        if name in CONTENT:
+            if not node.apart:
+                seen.free = True
+            elif not node.articles and (name == "main" or not apart):
+                around = frozenset(x.named for x in [*stack, node] if x.named)
+                if name == "main":
+                    seen.main = seen.main or around
+                else:
+                    seen.article = seen.article or around
         stack.append(node)
         top = node
         yield ("t", sign, node.content, node.apart)

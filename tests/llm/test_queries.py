@@ -345,6 +345,31 @@ def test_op9_region():
     assert html_text.extract(page, weights) == "Main text <here> is long.\nMore of it"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><article><p>{}</p></article><div class=sidebar>buy it now</div></div>",
+        "<main class='main with-sidebar'><p>{}</p></main><div class='site-footer'>legal</div>",
+        "<article class='post comment-status-open'><p>{}</p></article><div class='comments'><article>no</article></div>",
+        "<div class=sidebar><div class=widget>ad</div><main><p>{}</p></main></div>",
+        "<div class=sidebar><p>{}</p></div>",
+        "<article><p>{}</p><select><option>a</article>",
+        "<video src=x><p>{}</p>",
+    ],
+)
+def test_op9_class_names_keep_the_text(page):
+    text = "The main text of the page has quite a few words."
+    assert html_text.extract(page.format(text), html_text.Weights()).split("\n")[0] == text
+    assert "no" not in html_text.extract(page.format(text), html_text.Weights()).split()
+
+
+def test_op9_drops_no_shown_text():
+    page = "<article><p>Given that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> we see it.</p><noscript>all plain words</noscript><object>and more of it</object></article>"
+    assert html_text.extract(page, html_text.Weights()) == "Given that x=2 we see it.\nall plain wordsand more of it"
+    page = "<article><p>One two three</p><svg><text>no</text></svg><textarea>no</textarea><div class='cookie-notice'>no</div></article>"
+    assert html_text.extract(page, html_text.Weights()) == "One two three"
+
+
 def fingerprint(text):
     w = words(small(text))
     shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
