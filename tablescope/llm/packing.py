@@ -21,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from itertools import accumulate
@@ -95,8 +96,9 @@ class WordEncoder:
     def encode(self, text: str) -> tuple[bytes, list[int]]:
         """Ids as little-endian 32-bit numbers, and the numbers of tokens up to each sentence end."""
         if self.other.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return array("I", ids).tobytes(), []
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            starts = [a for a, _ in found.offsets]
+            return array("I", found.ids).tobytes(), [bisect_left(starts, m.start()) for m in ENDS.finditer(text)]
         pieces = self.pieces(text.lower())
         parts = list(map(self.words.__getitem__, pieces))
         at = list(accumulate(map(len, parts)))
@@ -104,6 +106,11 @@ class WordEncoder:
 
 
 SENTENCE_ENDS = frozenset(" \r\n")
+# The same marks in any text: line ends, white space behind a closing sign, and the place behind signs that no space follows.
+STOPS = "\u3002\uff01\uff1f\uff61\uff0e"
+CLOSING = "!?.\u2026\u037e\u0589\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u1367\u17d4\u203c\u203d\u2047-\u2049"
+BEHIND = "\u300d\u300f\u3011\u300b\uff09\u201d\u2019"
+ENDS = re.compile(f"[\\r\\n\\x85\u2028\u2029]|(?<=[{CLOSING}])\\s|(?<=[{STOPS}])(?![{STOPS}{BEHIND}])|(?<=[{STOPS}][{BEHIND}])(?![{BEHIND}])")
 
 
 def candidates(doc_ends: list[list[int]], sizes: list[int], limit: int) -> tuple[list[int], list[float]]:

@@ -164,6 +164,28 @@ def test_word_encoder_equals_tokenizer():
         assert encoder.encode(text)[0] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_op3_sentence_ends_in_any_text(spark):
+    encoder = packing.WordEncoder(packing.default_vocabulary())
+    for text in ("One two. Three four! Five?\nSix seven. Eight", "It's 3.14! (don't) be.\r\n\r\nOK? Yes."):
+        ids, ends = encoder.encode(text)
+        more, found = encoder.encode(text + " \u2122")
+        assert more[: len(ids)] == ids and found[: len(ends)] == ends and len(ends) > 3
+    for text, pieces in (
+        ("Он пришёл домой. Она ушла! Кто там?", ["Он пришёл домой.", " Она ушла!"]),
+        ("今日は雨です。明日は「晴れ。」と言う！終", ["今日は雨です。", "明日は「晴れ。」", "と言う！"]),
+        ("Bonjour\xa0! Il pleut.\xa0Oui", ["Bonjour\xa0!", " Il pleut."]),
+    ):
+        ids, ends = encoder.encode(text)
+        want = np.cumsum([len(encoder.tokenizer.encode(x, add_special_tokens=False).ids) for x in pieces])
+        assert ends == want.tolist()
+    # Documents of half a window and a bit: without cuts inside them, half of each window is padding.
+    sentence = "Мы шли по длинной дороге к старому дому. "
+    size = len(encoder.encode(sentence)[0]) // 4
+    docs = spark.createDataFrame([(k, sentence * (2100 // size)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    sizes = packing.pack(docs).toPandas().groupby("sequence_id").length.sum()
+    assert (packing.LIMIT - sizes[(sizes & (sizes - 1)) != 0]).sum() < 0.03 * sizes.sum()
+
+
 def test_op4(spark, docs):
     from tokenizers import Tokenizer
 
