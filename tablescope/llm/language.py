@@ -9,7 +9,9 @@ with most n-grams left decides.
 
 An n-gram is typical of a language if its share among the language's n-grams is at least ``TYPICAL`` of its largest share
 in any language. Shares come from all documents that may be learned from; n-grams are counted in each task first. The
-filter's size follows from the number of languages, so what is collected and broadcast does not grow with the corpus.
+filter has as many slots as the language with most typical n-grams needs for a filled share of ``FILL``, and cells only as
+wide as the number of languages asks for. Its memory is bounded by ``FILTER_BYTES``: a language whose n-grams would fill
+more than ``MOST_FILL`` of the largest filter keeps those with the highest counts, with a warning.
 
 Defined results: null texts and texts without letters are ``und`` with score 0, as is every text if nothing could be
 learned; equal counts go to the language that is first by name; null languages and ids are not learned from, rows with
@@ -18,9 +20,12 @@ null ids are not held out; repeated rows count each; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
+from math import ceil, log, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,8 +35,12 @@ from pyspark.sql import types as T
 from tablescope.llm.common import map_batches, remainder, share, staged
 
 SIZE = 4
-BITS = 20
+BITS = 20  # at least; more with many n-grams
 HASHES = 2
+FILL = 0.25
+MOST_FILL = 0.5
+FILTER_BYTES = 1 << 27
+CHUNK_BITS = 16  # slots of the filter that are built together
 TYPICAL = 0.3
 LEAST = 3
 PLANE = 63  # languages in one mask
@@ -91,7 +100,7 @@ class Model:
     def counts(self, masks: np.ndarray) -> np.ndarray:
         """How many of the masks hold each language's bit."""
         numbers = range(len(self.languages))
-        return np.array([np.count_nonzero(masks[k // PLANE] & np.uint64(1 << k % PLANE)) for k in numbers])
+        return np.array([np.count_nonzero(masks[k // PLANE] & masks.dtype.type(1 << k % PLANE)) for k in numbers])
 
     def predict(self, found: np.ndarray) -> tuple[str, float]:
         if not len(found) or not self.languages:
@@ -150,6 +159,33 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
+def bits_for(n: int, most: int) -> int:
+    """Bits of the number of slots that ``n`` n-grams fill by ``FILL``; at least ``BITS`` if the memory allows, ``most`` at most."""
+    return min(most, max(BITS, ceil(log2(max(1, n) * HASHES / -log(1 - FILL)))))
+
+
+def most_counted(typical: DataFrame, sizes: dict[str, int], room: int) -> DataFrame:
+    """``typical`` with at most ``room`` n-grams of each language, those with the highest counts; equal counts stay or go together."""
+    large = [lang for lang, n in sizes.items() if n > room]
+    if not large:
+        return typical
+    warnings.warn(f"more than {room} n-grams are typical of {', '.join(large)}: those with the highest counts are kept", stacklevel=3)
+    # A row for each count that occurs: about the square root of the n-grams read.
+    seen = typical.filter(F.col("lang").isin(large)).groupBy("lang", "n").agg(F.count("*").alias("rows")).collect()
+    keep = F.lit(True)
+    for lang in large:
+        left, least = room, None
+        for n, rows in sorted(((r["n"], r["rows"]) for r in seen if r["lang"] == lang), reverse=True):
+            left -= rows
+            if left < 0:
+                break
+            least = n
+        # Where even the first counts tie too often, a hash decides.
+        some = F.col("n") >= least if least else F.pmod(F.xxhash64("gram"), F.lit(sizes[lang])) < room
+        keep = keep & ((F.col("lang") != lang) | some)
+    return typical.filter(keep)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The filter learned from all documents with a language that are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -158,37 +194,53 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     totals = sorted(counted.groupBy("lang").agg(F.sum("n").alias("total")).collect())
     languages = [r["lang"] for r in totals]
     planes = max(1, -(-len(languages) // PLANE))
-    masks = np.zeros((planes, 1 << BITS), np.uint64)
+    kind = next(np.dtype(f"u{n}") for n in (1, 2, 4, 8) if min(len(languages), PLANE) <= 8 * n)
     if not languages:
-        return Model([], masks)
+        return Model([], np.zeros((planes, 1 << BITS), kind))
     # One row for each language is broadcast.
     bits = docs.sparkSession.createDataFrame(
         [(r["lang"], float(r["total"]), k // PLANE, 1 << k % PLANE) for k, r in enumerate(totals)],
         "lang string, total double, plane int, bit long",
     )
     share_ = F.col("n") / F.col("total")
-    typical = (
+    typical = staged(
         counted.join(F.broadcast(bits), "lang")
-        .select("gram", "plane", "bit", "n", share_.alias("share"))
+        .select("gram", "lang", "plane", "bit", "n", share_.alias("share"))
         .withColumn("most", F.max("share").over(W.partitionBy("gram")))  # a row for each language at most
         .filter((F.col("share") >= TYPICAL * F.col("most")) & (F.col("n") >= LEAST))
-        .groupBy("gram", "plane")
-        .agg(F.bit_or("bit").alias("mask"))
+        .select("gram", "lang", "plane", "bit", "n"),
+        "typical",
     )
+    sizes = {r["lang"]: r["size"] for r in typical.groupBy("lang").agg(F.count("*").alias("size")).collect()}
+    most = int(log2(FILTER_BYTES // (planes * kind.itemsize)))
+    size = bits_for(max(sizes.values(), default=0), most)
+    kept = most_counted(typical, sizes, int((1 << size) * -log(1 - MOST_FILL) / HASHES))
+    step = min(CHUNK_BITS, size)
 
     def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = slots(batch.column("gram").to_numpy().view(np.uint64))
+        found = slots(batch.column("gram").to_numpy().view(np.uint64), size)
         repeated = [np.concatenate([batch.column(c).to_numpy()] * len(found)) for c in ("plane", "mask")]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), *repeated)], ["slot", "plane", "mask"])
-
-    # At most ``2 ** BITS`` rows of three numbers for every PLANE languages come to the driver.
-    cells = (
-        map_batches(typical, "slot long, plane int, mask long", placed)
-        .groupBy("slot", "plane")
-        .agg(F.bit_or("mask").alias("mask"))
-        .toPandas()
+        at = np.concatenate(found)
+        names = ["chunk", "slot", "plane", "mask"]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (at >> step, at & ((1 << step) - 1), *repeated)], names)
+
+    def built(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(1 << step, np.int64)
+        np.bitwise_or.at(part, pdf["slot"].to_numpy(), pdf["mask"].to_numpy())
+        cells = part.view(np.uint64).astype(kind).tobytes()
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "plane": pdf["plane"].iloc[:1], "cells": [cells]})
+
+    # The filter's bytes come to the driver, ``FILTER_BYTES`` at most.
+    parts = (
+        map_batches(
+            kept.groupBy("gram", "plane").agg(F.bit_or("bit").alias("mask")), "chunk long, slot long, plane int, mask long", placed
+        )
+        .groupBy("chunk", "plane")
+        .applyInPandas(built, "chunk long, plane int, cells binary")
     )
-    masks[cells["plane"], cells["slot"]] = cells["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    masks = np.zeros((planes, 1 << size), kind)
+    for r in parts.collect():
+        masks[r["plane"], r["chunk"] << step : (r["chunk"] + 1) << step] = np.frombuffer(r["cells"], kind)
     return Model(languages, masks)
 
 

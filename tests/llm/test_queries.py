@@ -313,6 +313,35 @@ def test_op7_many_languages(spark):
     assert found.join(learned, "lang").filter("lang_pred != lang").count() == 0
 
 
+def test_op7_script_with_many_ngrams(spark):
+    """Five million n-grams of one language; its text with a few words of another one is still its own."""
+    rng = np.random.default_rng(7)
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    large = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 250_000))) for _ in range(20)]
+    rows = [(ids[k], large[k % 20], "zh") for k in range(60)]
+    rows += [(k, "the quick brown fox jumps over the lazy dog", "en") for k in ids[60:70]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language.fit(docs)
+    assert model.wrong.max() < 0.1
+    found = language.grams(large[3][:900] + " the quick brown fox jumps over the lazy dog", language.fold_table())
+    name, score = model.predict(found)
+    assert name == "zh" and 0.9 < score < 1
+
+
+def test_op7_bounded_filter_keeps_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(language, "FILTER_BYTES", 1 << 10)
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rng = np.random.default_rng(3)
+    rare = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 5000)))
+    often = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 200)))
+    rows = [(k, rare, "zh") for k in ids[:3]] + [(k, often, "zh") for k in ids[3:20]] + [(k, "hello world", "en") for k in ids[20:30]]
+    with pytest.warns(UserWarning, match="typical of zh"):
+        model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.masks.shape == (1, 1 << 10) and model.wrong.max() < 0.3
+    fold = language.fold_table()
+    assert model.predict(language.grams(often, fold))[0] == "zh" and model.predict(language.grams("Hello World", fold))[0] == "en"
+
+
 def luhn(number):
     digits = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(number))]
     return sum(d - 9 if d > 9 else d for d in digits) % 10 == 0
