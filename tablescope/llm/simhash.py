@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.llm.common import encoded, map_batches, staged
 
@@ -255,21 +256,30 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(row)
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame, radius: int = 3, leaf: int = LEAF, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
+    """``doc_id, fp, root, component_id`` for each row of ``docs``; the root tells components apart that share an id."""
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     member = staged(components(class_links(classes, radius, leaf, block)), "members")
     smallest = (
         member.join(classes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     )
-    found = classes.join(member.join(smallest, "root").select("fp", "component_id"), "fp", "left")
-    found = found.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    found = classes.join(member.join(smallest, "root").select("fp", "root", "component_id"), "fp", "left")
+    found = found.select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")
+    )
     # Two plain tables meet, so that the rows of one fingerprint with very many copies can be split over tasks.
     found = staged(found, "components")
-    return prints.join(found, "fp").select(
+    return prints.join(found, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, radius: int = 3, leaf: int = LEAF, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
+    return grouped(docs, radius, leaf, block, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -277,19 +287,36 @@ def near_duplicates(
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
-    Rows that repeat an id count once; rows without an id always stay.
+    Rows that share an id are judged by their texts: each group keeps one of them at most. Rows without an id always stay.
     """
-    found = near_duplicates(docs, radius)
-    dropped = staged(
-        found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "dropped"
+    found = staged(grouped(docs, radius).filter(F.col("doc_id").isNotNull()), "found")
+    repeated = staged(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    # Of the rows of one id in one group, those with the smallest fingerprint are candidates.
+    allowed = (
+        found.filter(F.col("doc_id") == F.col("component_id"))
+        .join(repeated, "doc_id", "left_semi")
+        .groupBy("doc_id", "root")
+        .agg(F.min("fp").alias("fp"))
+        .select("doc_id", "fp")
     )
-    nameless = docs.filter(F.col("doc_id").isNull())
-    named = docs.filter(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti")
-    repeated = staged(
-        docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"
-    )
-    # Whole rows only move for the few ids that repeat.
-    once = named.join(repeated, "doc_id", "left_anti").unionByName(
-        named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.filter(F.col("doc_id").isNotNull())
+    once = named.join(staged(dropped.union(repeated).distinct(), "dropped"), "doc_id", "left_anti")
+    # Whole rows only move, and are read again, for the few ids that repeat. They travel in a column of their own, so
+    # that no name of theirs meets one of these.
+    rows = named.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("row").field("text").to_pylist()
+        fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps), batch.column("row")], ["id", "fp", "row"])
+
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType()), rows.schema["row"]])
+    several = (
+        map_batches(rows, schema, judged)
+        .join(allowed.withColumnRenamed("doc_id", "id"), ["id", "fp"], "left_semi")
+        .dropDuplicates(["id", "fp"])
+        .select("row.*")
     )
-    return once.unionByName(nameless).select(docs.columns)
+    nameless = docs.filter(F.col("doc_id").isNull())
+    return once.unionByName(several).unionByName(nameless).select(docs.columns)
