@@ -17,6 +17,7 @@ from tablescope.llm import (
     simhash,
     token_spans,
     toxicity,
+    whitening,
 )
 from tablescope.llm.common import table
 
@@ -65,6 +66,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_fertility,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii,
         op9_html_text,
         op10_simhash,
+        op13_whitening,
     ]
     return {f.__name__: f for f in found}
 
