@@ -15,6 +15,7 @@ from tablescope.llm import (
     pii,
     secret_owners,
     simhash,
+    spelling,
     token_spans,
     toxicity,
     whitening,
@@ -66,6 +67,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii,
         op9_html_text,
         op10_simhash,
+        op12_spelling,
         op13_whitening,
     ]
     return {f.__name__: f for f in found}
