@@ -13,6 +13,7 @@ from tablescope.llm import (
     language,
     packing,
     pii,
+    repeats,
     secret_owners,
     simhash,
     spelling,
@@ -67,6 +68,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats(table(spark, folder, "documents"))
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii,
         op9_html_text,
         op10_simhash,
+        op11_repeats,
         op12_spelling,
         op13_whitening,
     ]
@@ -119,6 +125,24 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
 
+_SPLIT = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_SPLIT} AS w FROM documents),
+win AS (SELECT r, doc_id, p, array_to_string(w[p : p + {repeats.WINDOW} - 1], ' ') AS k
+        FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {repeats.WINDOW} + 2)) AS p FROM d)),
+late AS (SELECT r, p FROM (SELECT r, p, rank() OVER (PARTITION BY k ORDER BY doc_id NULLS LAST, p) AS place FROM win)
+         WHERE place > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + {repeats.WINDOW})) AS q FROM late),
+spread AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS words
+         FROM spread ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries need a tokenizer, a learned model, XXH64 or a page parser; tests compare them with plain code."""
-    return {"op5_decontaminate": OP5}
+    return {"op5_decontaminate": OP5, "op11_repeats": OP11}
