@@ -34,33 +34,28 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.common import encoded, map_batches, share, staged
+from tablescope.llm.common import map_batches, share, staged
 
 WINDOW = 20
 ANCHOR = 6
-SHARD = 8000  # stretches of a shard, on average
+SHARD = 3000  # stretches of a shard, on average; small automata stay in the cache of a core
 HOT = 2000  # anchors that occur no more often than this are never hot
 MOST_BITS = 28  # the bit map has 2**28 bits at most: 32 MB
 PHRASES = 20_000  # windows of one automaton of hot windows
-CACHE = 1_000_000  # words whose hashes a task remembers
+CHUNK = 2_000_000  # bytes of documents that are hashed together; a longer document is a chunk of its own
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_PLACE_BITS = 28
 _OTHER = "\1"
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 class _Powers:
     """Powers of an odd number and of its inverse, modulo 2**64."""
 
@@ -76,7 +71,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_hashes, _powers = _Hashes(), _Powers()
+_powers = _Powers()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -85,40 +80,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Runs:
-    """The hashes of all runs of words of one document."""
+def _run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of ``values[begin:end]`` for each pair, from prefix sums."""
+    up, down = _powers.get(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])])
+    return mixed((sums[end] - sums[begin]) * down[begin])
 
-    def __init__(self, words: list[bytes]):
-        if len(_hashes) > CACHE:
-            _hashes.clear()
-        n = len(words)
-        up, self.down = _powers.get(n + 1)
-        own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own) * up[:n])])
 
-    def of(self, size: int) -> np.ndarray:
-        n = max(0, len(self.sums) - size)
-        return mixed((self.sums[size:] - self.sums[:n]) * self.down[:n])
+class Chunk:
+    """Some whole documents of a batch as one array of bytes: their words, and the hashes of runs of words."""
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each anchor: its hash, and the first and the last of the windows tied to it."""
-        runs = self.of(ANCHOR)
-        if len(runs) <= WINDOW - ANCHOR:
-            return runs[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.arange(len(runs) - WINDOW + ANCHOR) + sliding_window_view(runs, WINDOW - ANCHOR + 1).argmin(axis=1)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return runs[at[first]], first, np.append(first[1:], len(at)) - 1
+    def __init__(self, data: np.ndarray, edges: np.ndarray):
+        space = _SPACE[data]
+        before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+        inner = edges[(edges > 0) & (edges < len(data))]
+        before[inner], after[inner - 1] = True, True
+        self.data = data
+        self.begin = np.flatnonzero(~space & before)
+        self.end = np.flatnonzero(~space & after) + 1
+        self.first_word = np.searchsorted(self.begin, edges)
+        self.doc = np.repeat(np.arange(len(edges) - 1), np.diff(self.first_word))
+        self.hashes = _run_hashes(data.astype(np.uint64) + np.uint64(1), self.begin, self.end)
 
+    def runs(self, size: int) -> np.ndarray:
+        """Hashes of all runs of ``size`` words; those that cross documents mean nothing."""
+        begin = np.arange(max(0, len(self.hashes) - size + 1))
+        return _run_hashes(self.hashes, begin, begin + size)
 
-def words_of(text: str | None) -> list[bytes]:
-    return encoded(text).split()
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor: its hash, and the first and the last of the windows tied to it."""
+        number = max(0, len(self.hashes) - WINDOW + 1)
+        runs = self.runs(ANCHOR)
+        # The upper bits of a hash over its position: the least of a window is its leftmost smallest run.
+        least = runs >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS) | np.arange(len(runs), dtype=np.uint64)
+        width, choices = 1, WINDOW - ANCHOR + 1
+        while 2 * width <= choices:
+            least = np.minimum(least[: len(least) - width], least[width:])
+            width *= 2
+        least = np.minimum(least[:number], least[choices - width : choices - width + number])
+        windows = np.flatnonzero(self.doc[:number] == self.doc[WINDOW - 1 :]) if number else np.zeros(0, np.int64)
+        at = (least[windows] & np.uint64(2**_PLACE_BITS - 1)).astype(np.int64)
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+        return runs[at[new]], windows[new], windows[np.append(new[1:], len(at)) - 1] if len(at) else at
+
+    def text(self, first: int, last: int) -> bytes:
+        """The bytes from one word to another."""
+        return self.data[self.begin[first] : self.end[last]].tobytes()
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, Chunk]]:
+    """The documents of a batch in chunks of about ``CHUNK`` bytes, each with the number of its first document."""
+    texts = pc.fill_null(texts, b"").cast(pa.large_binary())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + CHUNK, "right")) - 1)
+        yield at, Chunk(data[edges[at] : edges[to]], edges[at : to + 1] - edges[at])
+        at = to
 
 
 def anchor_counts(docs: DataFrame) -> DataFrame:
     """``anchor, n``: the anchors that occur twice or more."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [Runs(words_of(x)).anchors()[0] for x in batch.column("text").to_pylist()]
+        found = [chunk.anchors()[0] for _, chunk in chunks(batch.column("text"))]
         anchors, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
@@ -182,14 +208,17 @@ def hot_windows(docs: DataFrame, anchors: set[int], hot: int) -> list[tuple[byte
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[bytes, list] = {}
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = words_of(text)
-            anchors, first, last = Runs(words).anchors()
+        keys = batch.column("doc_id").to_pylist()
+        for at, chunk in chunks(batch.column("text")):
+            anchors, first, last = chunk.anchors()
             for k in np.flatnonzero(np.isin(anchors, wanted())):
-                for start in range(first[k], last[k] + 1):
-                    row = found.setdefault(b" ".join(words[start : start + WINDOW]), [0, place(key, start)])
+                doc = chunk.doc[first[k]]
+                words = chunk.text(first[k], last[k] + WINDOW - 1).split()
+                for j in range(last[k] - first[k] + 1):
+                    here = place(keys[at + doc], int(first[k] + j - chunk.first_word[doc]))
+                    row = found.setdefault(b" ".join(words[j : j + WINDOW]), [0, here])
                     row[0] += 1
-                    row[1] = min(row[1], place(key, start))
+                    row[1] = min(row[1], here)
         rows = list(found.values())
         arrays = [
             pa.array(found.keys(), pa.binary()),
@@ -232,7 +261,7 @@ class Phrases:
 def repeated_spans(ids: list, starts: list[int], texts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
     """Spans of words (number of the stretch, begin, end) of one shard that lie in repeated windows."""
     rank = {x: k for k, x in enumerate(sorted({x for x in ids if x is not None}))}
-    split = [x.split(b" ") for x in texts]
+    split = [x.split() for x in texts]
     often = (w for w, n in Counter(chain.from_iterable(split)).items() if n > 1)
     symbols = {w: chr(k + 2) for k, w in enumerate(often)}
     # Words that stand here once are in no recurring window; fragments lie between them.
@@ -290,32 +319,33 @@ def _stretches(docs: DataFrame, known: BitMap, hot: set[int], windows: list[byte
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, hot, windows = model()
         shard, row, begin, text = [], [], [], []
-        for k, doc in enumerate(batch.column("text").to_pylist()):
-            words = words_of(doc)
-            runs = Runs(words)
-            anchors, first, last = runs.anchors()
-            there = known.has(anchors)
-            crowded = np.isin(anchors, hot) if len(hot) else np.zeros(len(anchors), bool)
-            cool = np.flatnonzero(there & ~crowded)
-            shard += (anchors[cool] % np.uint64(shards)).tolist()
-            row += [k] * len(cool)
-            begin += first[cool].tolist()
-            text += [b" ".join(words[a : b + WINDOW]) for a, b in zip(first[cool].tolist(), last[cool].tolist(), strict=True)]
-            crowded = np.flatnonzero(crowded)
-            own = runs.of(WINDOW) if len(crowded) else None
-            for at in chain.from_iterable(range(first[c], last[c] + 1) for c in crowded):
-                window = b" ".join(words[at : at + WINDOW])
-                if window not in windows:
-                    shard.append(int(own[at] % np.uint64(shards)))
-                    row.append(k)
-                    begin.append(at)
-                    text.append(window)
-        row = pa.array(row, pa.int64())
+
+        def add(chunk: Chunk, at: int, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+            doc = chunk.doc[first]
+            shard.append((keys % np.uint64(shards)).astype(np.int32))
+            row.append(at + doc)
+            begin.append(first - chunk.first_word[doc])
+            a, b = chunk.begin[first].tolist(), chunk.end[last + WINDOW - 1].tolist()
+            view = chunk.data.tobytes()
+            text.extend([view[i:j] for i, j in zip(a, b, strict=True)])
+
+        for at, chunk in chunks(batch.column("text")):
+            anchors, first, last = chunk.anchors()
+            crowded = np.isin(anchors, hot)
+            cool = known.has(anchors) & ~crowded
+            add(chunk, at, anchors[cool], first[cool], last[cool])
+            if crowded.any():
+                ranges = zip(first[crowded].tolist(), last[crowded].tolist(), strict=True)
+                single = np.array(list(chain.from_iterable(range(a, b + 1) for a, b in ranges)))
+                rare = [b" ".join(chunk.text(a, a + WINDOW - 1).split()) not in windows for a in single]
+                single = single[np.array(rare)]
+                add(chunk, at, chunk.runs(WINDOW)[single], single, single)
+        rows = pa.array(np.concatenate(row))
         arrays = [
-            pa.array(shard, pa.int32()),
-            batch.column("doc_id").take(row),
-            batch.column("text_hash").take(row),
-            pa.array(begin, pa.int64()),
+            pa.array(np.concatenate(shard)),
+            batch.column("doc_id").take(rows),
+            batch.column("text_hash").take(rows),
+            pa.array(np.concatenate(begin)),
             pa.array(text, pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
@@ -328,7 +358,7 @@ def without_repeats(
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row: the words that stay, joined by one space."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     counts = staged(anchor_counts(docs), "anchors")
     number, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -364,7 +394,7 @@ def without_repeats(
     out = T.StructType(
         [docs.schema["doc_id"]]
         + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")]
-        + [T.StructField("kept", T.StringType())]
+        + [T.StructField("kept", T.BinaryType())]
     )
 
     def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -373,7 +403,7 @@ def without_repeats(
         n_words, n_removed, kept = [], [], []
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))
         for key, text, spans in zip(*columns, strict=True):
-            words = words_of(text)
+            words = text.split() if text else []
             edge = np.zeros(len(words) + 1, np.int64)
             for s in spans or ():
                 edge[s["a"]] += 1
@@ -386,11 +416,11 @@ def without_repeats(
             n_removed.append(len(words) - int(stay.sum()))
             kept.append(b" ".join([words[k] for k in np.flatnonzero(stay)]) if n_removed[-1] else b" ".join(words))
         arrays = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-        arrays.append(pa.array(kept, pa.binary()).cast(pa.string()))
+        arrays.append(pa.array(kept, pa.binary()))
         return pa.RecordBatch.from_arrays(arrays, out.fieldNames())
 
     joined = docs.join(spans, same, "left").select("doc_id", "text", "spans")
-    return map_batches(joined, out, drop)
+    return map_batches(joined, out, drop).withColumn("kept", F.col("kept").cast("string"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
