@@ -286,6 +286,61 @@ scores AS (SELECT feature, round(greatest(0.0, ln(n) + (sxy - sx - sy) / n), {di
  FROM parts JOIN of_x USING (feature) JOIN of_y USING (feature))"""
 
 
+def neighbour_scores(view: str, target: str, classification: bool, digits: int, k: int = 3) -> str:
+    """A CTE ``scores`` with the nearest-neighbour information of every other column, from all pairs of rows."""
+    types = dict(COLUMNS[view])
+    features = [c for c, _ in COLUMNS[view] if c != target]
+    keep = " AND ".join(f"{c} IS NOT NULL" for c in types)
+    axes = ", ".join(
+        f"CAST({c} AS DOUBLE) / coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1) AS z_{c}"
+        for c, t in types.items()
+        if t in NUMBERS
+    )
+
+    def count(of: str, v: str) -> str:
+        return f"(SELECT count(*) FROM {of} b WHERE abs(b.{v} - r.{v}) <= r.r * (1 - 1e-9))"
+
+    def psi(n: str) -> str:
+        return f"(SELECT psi FROM psis WHERE psis.n = {n})"
+
+    def discrete(c: str, x: str, y: str) -> tuple[str, str]:
+        ctes = f"""p_{c} AS (SELECT i, z_{x} AS x, {y} AS y, count(*) OVER (PARTITION BY {y}) AS size FROM d),
+m_{c} AS (SELECT * FROM p_{c} WHERE size > 1),
+n_{c} AS (SELECT a.i, a.x, a.size, abs(a.x - b.x) AS dist,
+ row_number() OVER (PARTITION BY a.i ORDER BY abs(a.x - b.x)) AS place FROM m_{c} a JOIN m_{c} b ON a.y = b.y AND a.i <> b.i),
+r_{c} AS (SELECT x, size, dist AS r FROM n_{c} WHERE place = least({k}, size - 1)),
+c_{c} AS (SELECT size, {count(f"m_{c}", "x")} AS near FROM r_{c} r)"""
+        return ctes, f"""(SELECT {psi(f"(SELECT count(*) FROM m_{c})")} + avg({psi(f"least({k}, size - 1)")}) - avg({psi("size")}) - avg({psi("near")}) FROM c_{c})"""
+
+    def continuous(c: str) -> tuple[str, str]:
+        ctes = f"""p_{c} AS (SELECT i, z_{c} AS x, z_{target} AS y FROM d),
+n_{c} AS (SELECT a.i, a.x, a.y, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS dist,
+ row_number() OVER (PARTITION BY a.i ORDER BY greatest(abs(a.x - b.x), abs(a.y - b.y))) AS place FROM p_{c} a JOIN p_{c} b ON a.i <> b.i),
+r_{c} AS (SELECT x, y, dist AS r FROM n_{c} WHERE place = {k}),
+c_{c} AS (SELECT {count(f"p_{c}", "x")} AS x, {count(f"p_{c}", "y")} AS y FROM r_{c} r)"""
+        return ctes, f"""(SELECT {psi("(SELECT count(*) FROM d)")} + {psi(str(k))} - avg({psi("x")}) - avg({psi("y")}) FROM c_{c})"""
+
+    def counted(c: str) -> tuple[str, str]:
+        both = f"SELECT {c} AS x, {target} AS y, CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY ALL"
+        return f"p_{c} AS ({both})", f"""(SELECT sum(c / n * ln(c * n / (sx * sy))) FROM (SELECT c, sum(c) OVER () AS n,
+ sum(c) OVER (PARTITION BY x) AS sx, sum(c) OVER (PARTITION BY y) AS sy FROM p_{c}))"""
+
+    parts, rows = [], []
+    for c in features:
+        number = types[c] in NUMBERS
+        if classification:
+            cte, score = discrete(c, c, target) if number else counted(c)
+        else:
+            cte, score = continuous(c) if number else discrete(c, target, c)
+        parts.append(cte)
+        rows.append(f"SELECT '{c}' AS feature, round(greatest(0.0, {score}), {digits}) AS score, CAST({position(view, c)} AS INTEGER) AS position")
+    return f"""d AS (SELECT row_number() OVER () AS i, *, {axes} FROM {view} WHERE {keep}),
+psis AS (SELECT n, coalesce(sum(1.0::DOUBLE / (n - 1)) FILTER (n > 1) OVER (ORDER BY n), 0) - 0.5772156649015329 AS psi
+ FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM d))) AS n)),
+{", ".join(parts)},
+scores AS ({union(rows)})"""
+
+
 def histogram(view: str, columns: list[str]) -> str:
     rows = [
         f"""SELECT '{c}' AS col, b.bin AS bin, lo + (hi - lo) * b.bin / 30 AS bin_start, lo + (hi - lo) * (b.bin + 1) / 30 AS bin_end,
@@ -814,6 +869,12 @@ def stats_oracles() -> dict[str, str]:
             "SELECT feature, score, score_corrected, position FROM scores",
             importance_scores("lineitem", "l_extendedprice", False, 6),
         ),
+        "mi_neighbours_classification": with_(
+            "docs_labeled", "SELECT feature, score, position FROM scores", neighbour_scores("docs_labeled", "quality", True, 6)
+        ),
+        "mi_neighbours_regression": with_(
+            "docs_labeled", "SELECT feature, score, position FROM scores", neighbour_scores("docs_labeled", "n_chars", False, 6)
+        ),
         "variance_entropy_rank": spread,
         "feature_importance": with_(
             "docs_labeled",

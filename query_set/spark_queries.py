@@ -233,6 +233,12 @@ def queries() -> dict[str, Query]:
         "correlation_top15": on("lineitem", stats.correlation_top15),
         "mi_classification": on("docs_labeled", lambda df: importance.mutual_information(df, "quality", digits=6)),
         "mi_regression": on("lineitem", lambda df: importance.mutual_information(df, "l_extendedprice", digits=6)),
+        "mi_neighbours_classification": on(
+            "docs_labeled", lambda df: importance.neighbour_information(df, "quality", digits=6)[1]
+        ),
+        "mi_neighbours_regression": on(
+            "docs_labeled", lambda df: importance.neighbour_information(df, "n_chars", digits=6)[1]
+        ),
         "variance_entropy_rank": on("lineitem", importance.variance_entropy_rank),
         "feature_importance": on("docs_labeled", lambda df: importance.feature_importance(df, "quality")),
         "kmeans_k_scores": kmeans(lambda found: found.k_scores()),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +16,21 @@ from tablescope.plans.columns import (
     families,
     flat_columns,
     kind_of,
+    local_rows,
     nan_to_null,
     numeric_columns,
     schema_rows,
     string_columns,
 )
+from tablescope.plans.neighbours import BLOCK, Planes, digamma
 from tablescope.plans.passes import class_summary, moments, text_key
 from tablescope.plans.quantiles import exact_quantiles
 
+# Functions of this module travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BINS = 20
+NEIGHBOURS = 3
 MAX_TARGET_CLASSES = 20
 MIN_ROWS = 20
 
@@ -119,6 +128,122 @@ def target_information(
     return f"mutual_info_{'classif' if classification else 'regression'}", ranked
 
 
+def neighbour_information(
+    df: DataFrame, target: str, neighbours: int = NEIGHBOURS, digits: int = 4, block: int = BLOCK
+) -> tuple[str, DataFrame] | None:
+    """Nearest-neighbour mutual information of every other column with the target, in nats, best first, and the method.
+
+    All complete rows take part. Numbers and times are continuous, in units of their standard deviation; text and booleans
+    are discrete, and so is a target that is no number or has at most twenty values. Two continuous columns: with ``r`` the
+    distance (the larger difference) to a row's third neighbour and ``c`` the rows within ``r`` on one axis, itself included, the
+    information is psi(n) + psi(k) - mean psi(c_x) - mean psi(c_y). A continuous and a discrete one: ``r`` is the distance to
+    the third neighbour of the same class (or the last, if there are fewer), and the information is psi(n) + mean psi(k) -
+    mean psi(class size) - mean psi(c), over rows whose class has two rows or more. Two discrete ones: from their counts.
+
+    Ties: equal points are at distance zero, and no noise is added. Rows at the radius itself are not within it, and neither
+    are those that miss it by a billionth of it; if the radius is zero, the equal rows are. NULL is returned as by
+    ``target_information``; rows with infinite numbers are left out as rows with gaps are.
+    """
+    features = [c for c in flat_columns(df) if c != target]
+    if not features:
+        return None
+    positions = {c: i for i, c in enumerate(df.columns)}
+    df = nan_to_null(df).select(*[col(c) for c in [*features, target]]).dropna(how="any")
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema}
+    continuous = [c for c in [*features, target] if kinds[c] in ("numeric", "datetime")]
+    numbers = {c: _as_number(df, c) for c in continuous}
+    for number in numbers.values():
+        df = df.filter(F.abs(number) < float("inf"))
+    facts = class_summary(df, [target]).first()
+    rows = facts["n_nonnull"] if facts else 0
+    if rows < MIN_ROWS:
+        return None
+    classification = is_classification(df, target, facts["n_unique"])
+    spread = df.agg(F.count("*").alias("n"), *[F.stddev_pop(numbers[c]).alias(c) for c in continuous]).first()
+    unit = {c: float(f"{spread[c]:.12g}") or 1.0 for c in continuous}
+
+    def axis(name: str) -> Column:
+        # Zero has one sign, so that equal values are one point.
+        return numbers[name] / F.lit(unit[name]) + F.lit(0.0)
+
+    def label(name: str) -> Column:
+        # A class as a number: its own value, or 52 bits of its hash, which a double holds.
+        if name in numbers:
+            return numbers[name] + F.lit(0.0)
+        return F.shiftrightunsigned(F.xxhash64(col(name).cast("string")), 12).cast("double")
+
+    discrete_features = [c for c in features if c not in numbers]
+    if classification:
+        pairs = {c: (axis(c), label(target)) for c in features if c in numbers}
+    else:
+        pairs = {c: (axis(target), label(c)) for c in discrete_features}
+    scores = _one_axis(df, pairs, neighbours, block)
+    if classification and discrete_features:
+        counted = target_information(df.select(*[col(c) for c in [*discrete_features, target]]), target, digits=12)
+        scores |= {r["feature"]: r["score"] for r in counted[1].collect()}
+    if not classification:
+        scores |= _two_axes(df, {c: (axis(c), axis(target)) for c in features if c in numbers}, spread["n"], neighbours, block)
+    found = [(c, round(max(0.0, scores.get(c, 0.0)), digits), positions[c]) for c in features]
+    found.sort(key=lambda r: (-r[1], r[2]))
+    ranked = local_rows(df.sparkSession, found, "feature string, score double, position int")
+    return f"mutual_info_{'classif' if classification else 'regression'}", ranked
+
+
+def _points(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """``f, x, y, w``: the different points of each pair of axes, with the number of their rows."""
+    rows = F.array(*[F.struct(F.lit(i).alias("f"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(pairs.values())])
+    return df.select(F.explode(rows).alias("p")).select("p.*").groupBy("f", "x", "y").agg(F.count("*").alias("w"))
+
+
+def _two_axes(df: DataFrame, pairs: dict, rows: int, k: int, block: int) -> dict[str, float]:
+    """Information of pairs of continuous columns."""
+    if not pairs:
+        return {}
+    k = min(k, rows - 1)
+    planes = Planes(_points(df, pairs).withColumn("need", F.lit(k).cast("long")), False, block)
+    try:
+        radii = planes.radii(k)
+        mean = {}
+        for side in ("x", "y"):
+            values = planes.points.groupBy("f", F.col(side).alias("v")).agg(F.sum("w").alias("n"))
+            mean[side] = planes.mean_digamma(side, values, radii)
+    finally:
+        planes.close()
+    start = float(digamma(rows) + digamma(k))
+    return {c: start - (mean["x"][i] + mean["y"][i]) / rows for i, c in enumerate(pairs)}
+
+
+def _one_axis(df: DataFrame, pairs: dict, k: int, block: int) -> dict[str, float]:
+    """Information of pairs of a continuous column (first) and a discrete one."""
+    if not pairs:
+        return {}
+    points = _points(df, pairs)
+    sizes = points.groupBy("f", "y").agg(F.sum("w").alias("size")).filter("size > 1")
+    need = F.least(F.lit(k).cast("long"), F.col("size") - 1)
+    planes = Planes(points.join(sizes, ["f", "y"]).select("f", "x", "y", "w", need.alias("need")), True, block)
+
+    def weigh(batches):
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            psi = [size * digamma(n) for n in (size.clip(max=k + 1) - 1, size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("f"), batch.column("size"), *map(pa.array, psi)], ["f", "n", "of_k", "of_size"]
+            )
+
+    try:
+        total = sizes.select("f", "size").mapInArrow(weigh, "f int, n long, of_k double, of_size double").groupBy("f")
+        total = {r["f"]: r for r in total.agg(*[F.sum(c).alias(c) for c in ("n", "of_k", "of_size")]).collect()}
+        values = planes.points.groupBy("f", F.col("x").alias("v")).agg(F.sum("w").alias("n"))
+        near = planes.mean_digamma("x", values, planes.radii(k)) if total else {}
+    finally:
+        planes.close()
+    return {
+        c: float(digamma(t["n"])) + (t["of_k"] - t["of_size"] - near[i]) / t["n"]
+        for i, c in enumerate(pairs)
+        if (t := total.get(i))
+    }
+
+
 def _cells(keyed: DataFrame, features: list[str]) -> DataFrame:
     """``feature, x, __y, c``: how often each value of a feature meets each value of the target."""
     return (
@@ -152,11 +277,15 @@ def variance_entropy_rank(df: DataFrame, variance_digits: int = 6, entropy_digit
     return numbers.unionByName(texts).join(positions, "feature").orderBy(F.desc("score"), "position")
 
 
-def feature_importance(df: DataFrame, target: str | None = None, bins: int = BINS) -> DataFrame:
+def feature_importance(
+    df: DataFrame, target: str | None = None, bins: int = BINS, estimator: str = "bins"
+) -> DataFrame:
     """``method, target_used, feature, score, position``: information about the target if there is a usable one,
-    else variance and entropy."""
+    else variance and entropy. The ``estimator`` of the information is ``bins`` or ``neighbours``."""
+    if estimator not in ("bins", "neighbours"):
+        raise ValueError(f"estimator is 'bins' or 'neighbours', not {estimator!r}")
     if target and target in flat_columns(df):
-        found = target_information(df, target, bins)
+        found = target_information(df, target, bins) if estimator == "bins" else neighbour_information(df, target)
         if found is not None:
             method, ranked = found
             return ranked.select(
