@@ -17,7 +17,11 @@ def build_session(app_name: str = "tablescope", master: str | None = None, **con
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    # Tasks share the cores of an executor, so linear algebra in a Python worker takes one thread.
+    session.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+    session.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+    return session
 
 
 def shared_folder(spark: SparkSession) -> str:
