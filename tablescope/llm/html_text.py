@@ -5,7 +5,9 @@ the largest sum, which is the main region. The weights come from labelled pages:
 ``article`` or ``main`` element says which words and tags are content. A word's weight is the share of content among the
 words of its element (name and first class), a tag's weight is minus the share of other text among such tags. Elements
 seen too rarely fall back to their name, then to ``DEFAULT``. Elements that say themselves that they are not main text
-are not counted, their words score nothing and their tags ``APART_WEIGHT``. From the region, blocks of menus, headers, footers, side
+are not counted, their words score nothing and their tags ``APART_WEIGHT``. Tags of flowing text (lists, tables, figures, paragraphs)
+that were seen too rarely cost next to nothing. A region that meets an element that marks content is extended to that element's ends, so
+that no list, table or short paragraph at its edge is lost. From the region, blocks of menus, headers, footers, side
 bars, notices, adverts, forms and reader comments are left out; scripts, styles and comments are never words.
 
 A class, id or role sets an element aside as a whole token (``sidebar``, ``site-footer``), not by a part of one that says
@@ -66,6 +68,11 @@ FORMULA = frozenset(
     "msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split()
 )
 CONTENT = frozenset(["article", "main"])
+# Tags of flowing text.
+FLOW = frozenset(
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption colgroup col thead tbody tfoot tr th td figure figcaption picture img "
+    "blockquote pre hr br details summary address section".split()
+)
 APART = frozenset("nav header footer aside form button menu dialog fieldset head".split())
 APART_NAMES = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr "
@@ -88,7 +95,7 @@ class Node:
     signature: str
     apart: bool
     by_name: bool
-    content: bool
+    content: int  # the number of the outermost content element around it, or zero
     named: int = 0  # the tag's number if its class, id or role set it aside
     articles: bool = False  # set aside by a name of ``OF_ARTICLES``, here or further out
 
@@ -122,7 +129,7 @@ class Found:
 
 def read(page: str) -> list[tuple]:
     """Events of a page in order: ``("t", signature, content, apart)`` for tags, ``("w", signature, content, apart, text,
-    block)`` for text. The place is inside an element that marks content, or in one that is not main text."""
+    block)`` for text. ``content`` is the number of the element around it that marks content, or zero."""
     seen = Found()
     events = list(tags(page, seen, lambda number: True))
     wrappers = frozenset() if seen.free else seen.main or seen.article
@@ -136,7 +143,7 @@ def read(page: str) -> list[tuple]:
 
 def tags(page: str, seen: Found, judged: Callable[[int], bool]):
     """The events of one reading; class names count in the elements whose number is ``judged``."""
-    stack = [Node("", "", False, False, False)]
+    stack = [Node("", "", False, False, 0)]
     top, block, at, number = stack[0], 0, 0, 0
     endless: set[str] = set()
 
@@ -189,7 +196,8 @@ def tags(page: str, seen: Found, judged: Callable[[int], bool]):
         # A new content element ends what an unclosed menu or header began.
         inherited = top.apart and not (content and top.by_name)
         node = Node(name, sign, apart or by_name or inherited, (by_name and not apart) or (top.by_name and inherited),
-                    content or (top.content and not apart and not by_name), number if apart else 0,
+                    top.content if top.content and not apart and not by_name else number if content else 0,
+                    number if apart else 0,
                     (apart and not OF_ARTICLES.isdisjoint(names)) or (top.articles and inherited))
         seen.named = seen.named or apart
         if name in CONTENT:
@@ -217,7 +225,9 @@ class Weights:
     def of(self, kind: str, sign: str) -> float:
         found = self.shares.get((kind, sign))
         if found is None:
-            found = self.shares.get((kind, sign.split(".")[0]), DEFAULT)
+            name = sign.split(".")[0]
+            flows = kind == "t" and name.removeprefix("/") in FLOW
+            found = self.shares.get((kind, name), 1.0 if flows else DEFAULT)
         return max(LEAST_WORD, found) if kind == "w" else -max(LEAST_TAG, TAG * (1 - found))
 
 
@@ -230,7 +240,7 @@ def extract(page: str | None, weights: Weights) -> str:
     region = (0, 0)
     pieces = []
     known: dict[tuple[str, str], float] = {}
-    for kind, sign, _, apart, *rest in read(page):
+    for kind, sign, content, apart, *rest in read(page):
         key = (kind, sign)
         weight = known.get(key)
         if weight is None:
@@ -239,15 +249,19 @@ def extract(page: str | None, weights: Weights) -> str:
             weight = APART_WEIGHT if kind == "t" else 0.0
         if kind == "w":
             weight *= len(rest[0].split())
-            pieces.append((rest[0], apart, rest[1]))
+            pieces.append((rest[0], apart, rest[1], content))
         if total <= 0:
             # The stretch may begin with this event; a tag that scores negative never does.
             total, start = 0.0, len(pieces) - (kind == "w")
         total += weight
         if total > best:
             best, region = total, (start, len(pieces))
+    met = {content for _, apart, _, content in pieces[region[0] : region[1]] if content and not apart}
+    inside = [k for k, piece in enumerate(pieces) if piece[3] in met]
+    if inside:
+        region = min(region[0], inside[0]), max(region[1], inside[-1] + 1)
     blocks: list[tuple[int, list[str]]] = []
-    for text, apart, block in pieces[region[0] : region[1]]:
+    for text, apart, block, _ in pieces[region[0] : region[1]]:
         if apart:
             continue
         if not blocks or blocks[-1][0] != block:
@@ -265,9 +279,9 @@ def counts(page: str | None) -> Counter:
         if apart:
             continue
         n = len(rest[0].split()) if kind == "w" else 1
-        marked = marked or (content and kind == "w" and n > 0)
+        marked = marked or (content > 0 and kind == "w" and n > 0)
         for name in {sign, sign.split(".")[0]}:
-            seen[kind, name, content] += n
+            seen[kind, name, content > 0] += n
     return seen if marked else Counter()
 
 

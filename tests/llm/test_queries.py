@@ -12,6 +12,8 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from tablescope.llm import (
@@ -414,6 +416,49 @@ def test_op9_class_names_keep_the_text(page):
     assert "no" not in html_text.extract(page.format(text), html_text.Weights()).split()
 
 
+LONG_P = "<p>" + "The main text of the page has quite a few words. " * 20 + "</p>"
+EDGES = [
+    LONG_P + "<ul>" + "".join(f"<li>w{k}</li>" for k in range(10)) + "</ul>",
+    LONG_P + "<table>" + "".join(f"<tr><td>c{k}</td><td>d{k}</td></tr>" for k in range(60)) + "</table>",
+    "<ul>" + "".join(f"<li>w{k}</li>" for k in range(10)) + "</ul>" + LONG_P,
+    "<p>An intro.</p><table>" + "".join(f"<tr><td>c{k}</td></tr>" for k in range(60)) + "</table>" + LONG_P,
+    LONG_P + "<figure><img src=a><img src=b><img src=c><figcaption>Three</figcaption></figure><p>End.</p>",
+    "<h1>Title</h1><section><p>A.</p><section><dl><dt>x</dt><dd>y</dd></dl></section></section>" + LONG_P + "<pre>z</pre>",
+]
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+@pytest.mark.parametrize("k", range(len(EDGES)))
+def test_op9_keeps_the_edges_of_an_article(spark, k, fitted):
+    weights = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet")) if fitted else html_text.Weights()
+    around = "<nav><a href=x>Home</a></nav><div class=content>{}</div><footer>legal words of the site</footer>"
+    for page in (f"<header>Site</header><article>{EDGES[k]}</article><footer>legal words</footer>", around.format(f"<main>{EDGES[k]}</main>")):
+        shown = re.sub(r"<(/?)(p|li|td|tr|table|ul|figure|figcaption|h1|section|dl|dt|dd|pre)>", "\n", EDGES[k])
+        lines = [" ".join(x.split()) for x in re.sub("<[^>]*>", "", shown).split("\n")]
+        assert html_text.extract(page, weights) == "\n".join(x for x in lines if x)
+
+
+@given(st.data())
+def test_op9_generated_pages(data):
+    kinds = ["<p>{}</p>", "<ul><li>{}</li><li>{}</li></ul>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<h2>{}</h2>",
+             "<figure><img src=i><figcaption>{}</figcaption></figure>", "<section><p>{}</p><blockquote>{}</blockquote></section>"]
+    n, lines, parts = 0, [], []
+    for kind in data.draw(st.lists(st.sampled_from(kinds), min_size=1, max_size=8)):
+        texts = []
+        for _ in range(kind.count("{}")):
+            n += 1
+            texts.append(f"t{n} " + "word " * data.draw(st.integers(0, 30)))
+        lines += [x.strip() for x in texts]
+        parts.append(kind.format(*texts))
+    page = f"<nav><ul><li><a>Home</a></li></ul></nav><article>{''.join(parts)}</article><aside>related words</aside>"
+    assert html_text.extract(page, html_text.Weights()) == "\n".join(lines)
+
+
+def test_op9_short_end_without_labels():
+    page = f"<div class=content>{LONG_P}<p>Short end.</p></div>"
+    assert html_text.extract(page, html_text.Weights()).endswith("Short end.")
+
+
 def test_op9_drops_no_shown_text():
     page = "<article><p>Given that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> we see it.</p><noscript>all plain words</noscript><object>and more of it</object></article>"
     assert html_text.extract(page, html_text.Weights()) == "Given that x=2 we see it.\nall plain wordsand more of it"
