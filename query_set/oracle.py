@@ -520,6 +520,16 @@ def schema_oracles() -> dict[str, str]:
  FROM facts WHERE n_unique = n_rows AND n_nonnull = n_rows""",
             facts("part"),
         ),
+        "primary_keys_ordered": union(
+            [
+                f"""(WITH {facts(view)}, rising AS ({union([f"""SELECT '{c}' AS col, bool_and(prev IS NULL OR low > prev) AS rises FROM
+ (SELECT min({c}) AS low, lag(max({c})) OVER (ORDER BY {by}) AS prev FROM {view} GROUP BY {by})""" for c, t in COLUMNS[view] if t in INTEGERS])})
+ SELECT '{view}' AS table_name, col AS "column", position, data_type, coalesce(rises, false) AS is_sequential, is_integer,
+ CASE WHEN rises OR (kind = 'string' AND min_len = max_len AND n_rows > 1) THEN 'very_high' ELSE 'high' END AS confidence
+ FROM facts LEFT JOIN rising USING (col) WHERE n_unique = n_rows AND n_nonnull = n_rows)"""
+                for view, by in (("events", "ts"), ("orders", "o_orderdate"), ("part", "p_partkey"))
+            ]
+        ),
         "best_time_column": with_(
             "events_text",
             """SELECT col AS "column", position, n_unique, name_hit,

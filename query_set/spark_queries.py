@@ -146,6 +146,15 @@ def profiling_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def primary_keys_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of three tables, with the order of their rows given by another column."""
+    reports = [
+        schema.primary_keys(table(spark, folder, name), order_by=[by]).withColumn("table_name", F.lit(name))
+        for name, by in (("events", "ts"), ("orders", "o_orderdate"), ("part", "p_partkey"))
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
 def context_lines(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "orders_dirty")
     report = schema.schema_report(raw)
@@ -194,6 +203,7 @@ def queries() -> dict[str, Query]:
         "lexical_type_counts": on("events_text", schema.lexical_type_counts),
         "target_candidates": on("docs_labeled", schema.target_candidates),
         "primary_keys": on("part", schema.primary_keys),
+        "primary_keys_ordered": primary_keys_ordered,
         "best_time_column": on("events_text", schema.time_column_rows),
         "temporal_span": on("events", lambda df: schema.temporal_span(df, "ts")),
         "time_frequency": time_frequency,

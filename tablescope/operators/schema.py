@@ -6,6 +6,8 @@ questions computes the facts once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,7 @@ from tablescope.plans.columns import (
 )
 from tablescope.plans.gaps import median_gap, parsed_times
 from tablescope.functions.grades import frequency_label
+from tablescope.plans.order import rising_columns
 from tablescope.plans.passes import column_facts
 from tablescope.plans.together import together
 
@@ -251,26 +254,32 @@ def target_candidates(df: DataFrame, facts: DataFrame | None = None, match: str
     )
 
 
-def primary_keys(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Columns without nulls or repeats. An integer key is sequential when its values leave no hole, which says
-    the same as ordered row ids without relying on a row order."""
+def primary_keys(
+    df: DataFrame, facts: DataFrame | None = None, order_by: Sequence[str] | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Columns without nulls or repeats. With ``order_by``, an integer key is sequential when its values rise in the order of
+    those columns. Without, it is when its values leave no hole, which says the same of row ids without relying on a row order.
+    """
     # Hash values span all of 64 bits, so the width needs more.
     wide = F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") + 1
-    dense = F.col("is_integer") & (wide == F.col("n_rows"))
-    fixed_length = (F.col("kind") == "string") & (F.col("min_len") == F.col("max_len")) & (F.col("n_rows") > 1)
-    return (
-        _facts(df, facts)
-        .filter((F.col("n_rows") > 0) & (F.col("n_unique") == F.col("n_rows")) & (F.col("n_null") == 0))
-        .select(
-            "column",
-            "position",
-            "data_type",
-            F.coalesce(dense, F.lit(False)).alias("is_sequential"),
-            "is_integer",
-            F.when(dense | fixed_length, "very_high").otherwise("high").alias("confidence"),
-        )
-        .orderBy("position")
+    keys = _facts(df, facts).filter(
+        (F.col("n_rows") > 0) & (F.col("n_unique") == F.col("n_rows")) & (F.col("n_null") == 0)
     )
+    if order_by:
+        keys = collected(keys)
+        integers = [r["column"] for r in keys.filter("is_integer").select("column").collect()]
+        sequential = F.col("column").isin(list(rising_columns(df, integers, order_by, partitions)))
+    else:
+        sequential = F.coalesce(F.col("is_integer") & (wide == F.col("n_rows")), F.lit(False))
+    fixed_length = (F.col("kind") == "string") & (F.col("min_len") == F.col("max_len")) & (F.col("n_rows") > 1)
+    return keys.select(
+        "column",
+        "position",
+        "data_type",
+        sequential.alias("is_sequential"),
+        "is_integer",
+        F.when(sequential | fixed_length, "very_high").otherwise("high").alias("confidence"),
+    ).orderBy("position")
 
 
 def time_column_rows(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
