@@ -975,17 +975,23 @@ def conversation_oracle(view: str, recent: int = 5, base: str = "", analysed_at:
 
 def context_oracles() -> dict[str, str]:
     described = []
+    no_times = ", ".join(f"CAST(NULL AS TIMESTAMP) AS time_{x}" for x in ("mean", "min", "q25", "q50", "q75", "max"))
     for i, (c, t) in enumerate(COLUMNS[DIRTY]):
+        us = f"epoch_us({c})"
+        quartiles = [f"make_timestamp(CAST(floor(quantile_cont({us}, {q})) AS BIGINT))" for q in (0.25, 0.5, 0.75)]
+        times = f"""(SELECT make_timestamp(CAST(floor(avg({us})) AS BIGINT)) AS time_mean, min({c}) AS time_min, {quartiles[0]} AS time_q25,
+ {quartiles[1]} AS time_q50, {quartiles[2]} AS time_q75, max({c}) AS time_max FROM {DIRTY})"""
         if t in NUMBERS:
             described.append(
                 f"""SELECT '{c}' AS "column", {i} AS position, n AS count, CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top,
  CAST(NULL AS BIGINT) AS freq, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS min, round(q25, 6) AS q25,
- round(median, 6) AS q50, round(q75, 6) AS q75, round(high, 6) AS max FROM shapes WHERE col = '{c}'"""
+ round(median, 6) AS q50, round(q75, 6) AS q75, round(high, 6) AS max, {no_times} FROM shapes WHERE col = '{c}'"""
             )
         else:
             described.append(
-                f"""SELECT '{c}', {i}, n_nonnull, n_unique, majority, majority_cnt, NULL, NULL, NULL, NULL, NULL, NULL, NULL
- FROM facts WHERE col = '{c}'"""
+                f"""SELECT '{c}', {i}, n_nonnull, n_unique, majority, majority_cnt, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+ {"time_mean, time_min, time_q25, time_q50, time_q75, time_max" if kind(t) == "datetime" else no_times}
+ FROM facts{f", {times}" if kind(t) == "datetime" else ""} WHERE col = '{c}'"""
             )
     order = ", ".join(f"{c} NULLS FIRST" for c, _ in COLUMNS[DIRTY])
     rule = "=" * 50

@@ -10,8 +10,19 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablescope.operators.stats import column_shapes
-from tablescope.plans.columns import col, flat_columns, kind_of, local_rows, nan_to_null, numeric_columns, schema_rows
+from tablescope.plans.columns import (
+    col,
+    flat_columns,
+    kind_of,
+    local_rows,
+    nan_to_null,
+    numeric_columns,
+    per_column,
+    schema_rows,
+    time_columns,
+)
 from tablescope.plans.passes import class_summary
+from tablescope.plans.quantiles import exact_quantiles
 from tablescope.plans.together import together
 
 FIRST_ROWS = 100
@@ -19,14 +30,18 @@ HASHED_ROWS = 500
 SHORT_LIST = 3
 BEST_FEATURES = 5
 RULE = "=" * 50
+TIME_SHAPES = ["time_mean", "time_min", "time_q25", "time_q50", "time_q75", "time_max"]
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Every column described: counts for all, classes for non-numeric ones, moments and quartiles for numeric ones.
+    """Every column described: counts for all, classes for non-numeric ones, moments and quartiles for numeric ones, and
+    mean, ends and quartiles of time columns as times, cut to whole microseconds.
 
-    ``column, position, count, unique, top, freq, mean, std, min, q25, q50, q75, max``; what does not apply is NULL.
+    ``column, position, count, unique, top, freq, mean, std, min, q25, q50, q75, max``, then ``time_mean, time_min, time_q25,
+    time_q50, time_q75, time_max``; what does not apply is NULL.
     """
     df = nan_to_null(df)
+    times = _time_shapes(df)
     others = [c for c in flat_columns(df) if c not in set(numeric_columns(df))]
     classes = class_summary(df, others).select(
         "column",
@@ -37,7 +52,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     )
     numbers = column_shapes(df).drop("position")
     flat = schema_rows(df).filter("kind != 'other'")
-    joined = flat.join(classes, "column", "left").join(numbers, "column", "left")
+    joined = flat.join(classes, "column", "left").join(numbers, "column", "left").join(times, "column", "left")
     return joined.orderBy("position").select(
         "column",
         "position",
@@ -52,9 +67,30 @@ def describe_all(df: DataFrame) -> DataFrame:
         F.col("median").alias("q50"),
         "q75",
         F.col("high").alias("max"),
+        *TIME_SHAPES,
     )
 
 
+def _time_shapes(df: DataFrame) -> DataFrame:
+    """``column`` and ``TIME_SHAPES`` of each time column that holds times."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    columns = time_columns(df)
+    micros = df.select(*[F.timestamp_diff("MICROSECOND", epoch, col(c).cast("timestamp_ntz")).alias(c) for c in columns])
+    # The mean from the distance to the least value, which sums up without loss.
+    ends = per_column(
+        micros,
+        columns,
+        lambda c: {"n": F.count(col(c)), "low": F.min(col(c)), "high": F.max(col(c)), "total": F.sum(col(c).cast("decimal(38,0)"))},
+        "n bigint, low bigint, high bigint, total decimal(38,0)",
+    )
+    quartiles = exact_quantiles(micros, columns, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    # Integer parts are cut towards the past, before 1970 too.
+    mean = F.floor(F.col("total") / F.col("n")).cast("bigint")
+    values = [mean, F.col("low"), *[F.floor(q).cast("bigint") for q in ("q25", "q50", "q75")], F.col("high")]
+    shapes = [F.timestamp_add("MICROSECOND", v, epoch).alias(name) for name, v in zip(TIME_SHAPES, values, strict=True)]
+    return ends.join(quartiles, "column").select("column", *shapes)
+
+
 def context_sample(
     df: DataFrame, rows: int = FIRST_ROWS, method: str = "first", order_by: Sequence[str] | None = None
 ) -> DataFrame:
