@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.spans import add_spans, digits, free_name, written
+from tablescope.llm.spans import add_spans, cut, digits, free_name, pages, written
 
 KINDS = ["email", "ip", "card", "phone", "iban"]
 BASE = KINDS[:4]
@@ -82,22 +82,26 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def score(kind: str, text: Column, span: Column) -> Column:
+    """The score of a span of a text in pages."""
     start = F.greatest(span["start"] - NEAR, F.lit(0))
-    before = F.substring(text, start + 1, span["start"] - start)
-    after = F.substring(text, span["end"] + 1, F.lit(NEAR))
+    before = cut(text, start, span["start"])
+    after = cut(text, span["end"], span["end"] + NEAR)
     near = F.lower(F.concat_ws(" ", before, after)).rlike(CONTEXT[kind])
     return F.lit(SCORES[kind]) + F.when(near, BONUS).otherwise(0)
 
 
 def find(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` (whose text is not null) with columns ``email`` ... ``iban``: arrays of start, end, value and score."""
+    kept = list(df.columns)
     df = add_spans(df, text_col, PATTERNS)
-    kept = [c for c in df.columns if c not in KINDS]
+    some = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
+    text = free_name(df, "pages")
+    df = df.withColumn(text, F.when(some, pages(F.col(text_col))))
     found = [
         F.transform(
             F.filter(F.col(k), lambda s: valid(k, s["value"])),
             lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), score(k, F.col(text_col), s).alias("score")
+                s["start"].alias("start"), s["end"].alias("end"), score(k, F.col(text), s).alias("score")
             ),
         ).alias(k)
         for k in KINDS

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablescope.llm.common import staged
 from tablescope.llm.spans import add_spans, written
@@ -68,9 +69,7 @@ def candidates(df: DataFrame, text_col: str) -> DataFrame:
         return found
 
     df = df.select(*kept, *[spans(n, k).alias(k) for n, k in enumerate(KINDS)])
-    base = F.concat(*KINDS[:3])
-    own = F.filter("key", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.select(*kept, F.when(F.size("key") > 0, F.concat(base, own)).otherwise(base).alias("found"))
+    df = df.select(*kept, F.concat(*KINDS).alias("found"))
     live = F.transform(
         "found",
         lambda s: F.struct(
@@ -84,6 +83,20 @@ def candidates(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(*kept, live.alias("found"))
 
 
+def apart(spans: DataFrame) -> DataFrame:
+    """``spans`` without those of kind ``key`` that overlap another span of their row; one row's spans are read in order."""
+    order = ["start", "kind", "end"]
+    # Both windows look back, which takes one pass each: the second one over the spans from behind.
+    forward = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("kind") < 3
+    before = F.max(F.when(base, F.col("end"))).over(forward)
+    after = F.min(F.when(base, F.col("start"))).over(back)
+    spans = spans.withColumn("before", before).withColumn("after", after)
+    free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    return spans.filter(base | free).drop("before", "after")
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """``hash, n_repos, n_owners`` from rows of hash, owner and repository."""
     return (
@@ -120,7 +133,7 @@ def secrets(
     # Written once, so a row keeps its number and each text is scanned once.
     scanned = staged(candidates(docs, "text").drop("text"), "secrets")
     some = scanned.select("row", "doc_id", "owner", "repo", F.explode("found").alias("s"))
-    some = some.select("row", "doc_id", "owner", "repo", "s.*")
+    some = apart(some.select("row", "doc_id", "owner", "repo", "s.*"))
     owned = ownership(some).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     judged = some.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(owned, ["hash", "salt"])
     copied = F.col("n_owners") >= shared_owners
