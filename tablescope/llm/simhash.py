@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablescope.llm.common import encoded, map_batches, staged
 
@@ -282,41 +281,3 @@ def near_duplicates(
     return grouped(docs, radius, leaf, block, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
-
-    Rows that share an id are judged by their texts: each group keeps one of them at most. Rows without an id always stay.
-    """
-    found = staged(grouped(docs, radius).filter(F.col("doc_id").isNotNull()), "found")
-    repeated = staged(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # Of the rows of one id in one group, those with the smallest fingerprint are candidates.
-    allowed = (
-        found.filter(F.col("doc_id") == F.col("component_id"))
-        .join(repeated, "doc_id", "left_semi")
-        .groupBy("doc_id", "root")
-        .agg(F.min("fp").alias("fp"))
-        .select("doc_id", "fp")
-    )
-    named = docs.filter(F.col("doc_id").isNotNull())
-    once = named.join(staged(dropped.union(repeated).distinct(), "dropped"), "doc_id", "left_anti")
-    # Whole rows only move, and are read again, for the few ids that repeat. They travel in a column of their own, so
-    # that no name of theirs meets one of these.
-    rows = named.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
-
-    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("row").field("text").to_pylist()
-        fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps), batch.column("row")], ["id", "fp", "row"])
-
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType()), rows.schema["row"]])
-    several = (
-        map_batches(rows, schema, judged)
-        .join(allowed.withColumnRenamed("doc_id", "id"), ["id", "fp"], "left_semi")
-        .dropDuplicates(["id", "fp"])
-        .select("row.*")
-    )
-    nameless = docs.filter(F.col("doc_id").isNull())
-    return once.unionByName(several).unionByName(nameless).select(docs.columns)

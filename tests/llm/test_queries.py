@@ -16,6 +16,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from test_near_copies import all_links, roots
 from tablescope.llm import (
     decontaminate,
     html_text,
@@ -517,14 +518,6 @@ def test_routing_meets_every_pair_once():
     assert len(levels) > 3 and near and all(met[p] == 1 for p in near)
 
 
-def test_keep_first_judges_rows_of_one_id_by_their_texts(spark):
-    texts = {x: " ".join(f"{x}{k}" for k in range(30)) for x in "abc"}
-    rows = [(1, texts["a"]), (2, texts["a"]), (2, texts["b"]), (2, texts["b"]), (2, texts["c"]), (3, texts["c"]), (4, texts["b"])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect())
-    assert found == [(1, texts["a"]), (2, texts["b"]), (2, texts["c"])]
-
-
 def test_pipeline(spark, docs):
     """The stages one by one in plain code, with the scores of the learned model."""
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontaminate", "pii", "packing"]
@@ -532,7 +525,7 @@ def test_pipeline(spark, docs):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.fit(frame, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = {k: t for k, t in docs.text.items() if model.score(t) < 0.5}
-    first = smallest({k: fingerprint(t) for k, t in texts.items()})
+    first = roots(texts, all_links(texts))
     texts = {k: t for k, t in texts.items() if first[k] == k}
     bench = read("benchmark")
     look = windows(zip(bench.item_id, bench.text, strict=True))
