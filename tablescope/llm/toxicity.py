@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are classed by small lexicons: threats, targets, negations and verbs of reported speech are fixed lists, insults
-are learned from labelled documents with their weights (log odds), as words and as stems that several words share. Five transducers read a clause word by word; each
-has its own small state: the negation and the reporting transducer scale what insult and threat put out, the target
-transducer adds to it. Their product is one automaton, and a clause matches when it puts out a weight. A document's score
-is a logistic function of what its matched clauses put out.
+Words are classed by lexicons: threats, targets, negations and verbs of reported speech are fixed lists, insults are learned
+from labelled documents with their weights (log odds), as words and as stems that several words share. Five weighted
+transducers are transition tables over these classes: insult and threat mark at most one word each as the one that is scored,
+target accepts a clause with one marked word and weighs it by whether a target stands before or behind it, negation
+weighs a mark in its reach, reported speech one in its clause. :func:`compose` makes one automaton of them; a clause's
+output is the sum over its paths, so each insult or threat counts once. A threat without a target has no path. A document's
+score is a logistic function of what its matched clauses put out.
 
 An insult must stand in many different places of toxic documents (counted as distinct neighbours) and be rare in other
 ones, so that the words of one text copied many times don't count as insults.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id. Everything else sees
-all rows and whole texts.
+The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id, and holds every word of
+theirs that is telling enough. Everything else sees all rows and whole texts.
 
 Defined results: a null or empty text scores like any text without a match; rows with a null id are not held out and
 are not learned from; of several labels for an id the largest counts; without labelled rows of both kinds every score
@@ -22,7 +24,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Hashable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,6 @@ from pyspark.sql import types as T
 from tablescope.llm.common import map_batches, remainder, share, staged
 
 SAMPLE = 20_000
-LEXICON = 4_000
 MIN_PLACES = 6
 MIN_ODDS = 1.8
 STEMS = range(4, 9)
@@ -42,15 +45,38 @@ MIN_STEM_WORDS = 4
 CACHE_WORDS = 200_000
 THRESHOLD = 0.5
 
-THREATS = "kill hurt beat destroy stab shoot burn töten schlagen verletzen tuer frapper brûler matar golpear quemar".split()
-TARGETS = "you your yourself du dich dein ihr tu toi vous ton usted tú ti".split()
-NEGATIONS = "not never nobody isn't don't nicht kein keine niemals jamais aucun nunca jamás tampoco".split()
-REPORTS = "said says wrote claims quoted reported sagte schrieb behauptet dit écrit déclare dijo escribió afirma".split()
+# Words of the four classes that are not learned, in English, German, French and Spanish.
+THREATS = """
+kill kills killed killing murder hurt hurts harm beat beats beating destroy destroys crush stab stabs shoot shoots burn burns
+strangle punch smash hang hunt slaughter töten töte tötet umbringen bringe schlagen schlage schlägt verletzen verletze erschießen
+erstechen vernichten verbrennen tuer tue tuerai tuerais frapper frappe frapperai brûler brûlerai détruire détruirai blesser
+étrangler massacrer matar mato mataré mataremos golpear golpearé quemar quemaré destruir destruiré herir apuñalar estrangular
+""".split()
+TARGETS = """
+you your yours yourself yourselves u ya du dich dir dein deine deinen deinem deiner deines ihr euch euer eure tu te toi ton ta
+tes vous votre vos usted ustedes tú ti tus vosotros vuestro
+""".split()
+NEGATIONS = """
+not no never nobody none neither nor without cannot isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't couldn't
+shouldn't nicht kein keine keinen keinem keiner keines nie niemals niemand ohne ne pas jamais aucun aucune sans nunca jamás tampoco
+ningún ninguna nadie sin
+""".split()
+REPORTS = """
+said says say saying wrote writes claims claimed quoted quotes quoting reported reports stated states called calls alleged
+according sagte sagt sagten schrieb schreibt behauptet behauptete berichtet berichtete zitiert laut dit disait écrit écrivait
+déclare déclaré affirme affirmait selon dijo dice decía escribió escribe afirma afirmó declaró según
+""".split()
 
 CLAUSE = re.compile(r"[.!?;:|\n\r]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?").findall
 
 
+# Symbols of the tapes: classes of words, any other word, and words marked to be scored.
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
+INSULT_MARK, THREAT_MARK = "insult!", "threat!"
+SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, INSULT_MARK, THREAT_MARK)
+
+
 class Classes(dict):
     """Class and weight of a word, None for most; found on first use, a bounded number is kept."""
 
@@ -58,8 +84,8 @@ class Classes(dict):
         super().__init__()
         self.insults, self.stems = insults, stems
         self.fixed = {}
-        for kind, words in (("t", THREATS), ("y", TARGETS), ("n", NEGATIONS), ("r", REPORTS)):
-            self.fixed |= dict.fromkeys(words, (kind, 0.0))
+        for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+            self.fixed |= dict.fromkeys(words, (kind, 1.0))
 
     def __missing__(self, word: str) -> tuple[str, float] | None:
         if len(self) >= CACHE_WORDS:
@@ -68,14 +94,134 @@ class Classes(dict):
         if found is None:
             stem = next((word[:k] for k in reversed(STEMS) if word[:k] in self.stems), None)
             weight = self.insults.get(word, self.stems.get(stem))
-            found = ("i", weight) if weight else None
+            found = (INSULT, weight) if weight else None
         self[word] = found
         return found
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs ``(state, symbol) -> [(next state, written symbol, weight)]``, a start, and a weight for each final state.
+
+    A symbol without an arc of a state has none for it; the weight of a path is the product along it.
+    """
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], list[tuple[Hashable, str, float]]]
+    final: dict[Hashable, float]
+
+    def paths(self, symbols: Iterable[str]) -> list[tuple[list[str], float]]:
+        """What is written on each path over ``symbols``, with its weight."""
+        found = [(self.start, [], 1.0)]
+        for symbol in symbols:
+            found = [
+                (after, [*written, out], weight * more)
+                for state, written, weight in found
+                for after, out, more in self.arcs.get((state, symbol), [])
+            ]
+        return [(written, weight * self.final[state]) for state, written, weight in found if state in self.final]
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One transducer that writes what ``second`` writes on reading what ``first`` writes; only states that are reached."""
+    start = (first.start, second.start)
+    by_state: dict = {}
+    for (state, symbol), found in first.arcs.items():
+        by_state.setdefault(state, []).append((symbol, found))
+    arcs: dict = {}
+    todo, seen = [start], {start}
+    while todo:
+        state = left, right = todo.pop()
+        for symbol, found in by_state.get(left, ()):
+            for next_left, middle, weight in found:
+                for next_right, out, more in second.arcs.get((right, middle), ()):
+                    after = (next_left, next_right)
+                    arcs.setdefault((state, symbol), []).append((after, out, weight * more))
+                    if after not in seen:
+                        seen.add(after)
+                        todo.append(after)
+    final = {s: first.final[s[0]] * second.final[s[1]] for s in seen if s[0] in first.final and s[1] in second.final}
+    return Transducer(start, arcs, final)
+
+
+def copying(states: Iterable[Hashable], symbols: Iterable[str]) -> dict:
+    """Arcs that stay in their state and write what they read."""
+    return {(state, symbol): [(state, symbol, 1.0)] for state in states for symbol in symbols}
+
+
+def marker(symbol: str, mark: str) -> Transducer:
+    """Writes each ``symbol`` either as any other word or, once, as ``mark``."""
+    arcs = copying((0, 1), SYMBOLS)
+    arcs[0, symbol] = [(0, OTHER, 1.0), (1, mark, 1.0)]
+    arcs[1, symbol] = [(1, OTHER, 1.0)]
+    return Transducer(0, arcs, {0: 1.0, 1: 1.0})
+
+
+def target_transducer(strength: float, threat: float) -> Transducer:
+    """Accepts one marked word; a target anywhere in the clause strengthens an insult and is needed by a threat."""
+    marks = (None, INSULT_MARK, THREAT_MARK)
+    states = [(mark, near) for mark in marks for near in (False, True)]
+    arcs = copying(states, set(SYMBOLS) - {INSULT_MARK, THREAT_MARK})
+    arcs |= {(state, TARGET): [((state[0], True), OTHER, 1.0)] for state in states}
+    arcs |= {((None, near), m): [((m, near), m, 1.0)] for near in (False, True) for m in marks[1:]}
+    final = {
+        (INSULT_MARK, False): 1.0,
+        (INSULT_MARK, True): 1 + strength,
+        (THREAT_MARK, True): threat * (1 + strength),
+    }
+    return Transducer((None, False), arcs, final)
+
+
+def negation_transducer(factor: float, reach: int) -> Transducer:
+    """Weighs a mark within ``reach`` words behind a negation; the state counts the words that it still holds for."""
+    arcs = {}
+    for left in range(reach + 1):
+        arcs |= {(left, s): [(max(0, left - 1), s, 1.0)] for s in SYMBOLS}
+        arcs |= {(left, m): [(max(0, left - 1), m, factor if left else 1.0)] for m in (INSULT_MARK, THREAT_MARK)}
+        arcs[left, NEGATION] = [(reach, OTHER, 1.0)]
+    return Transducer(0, arcs, dict.fromkeys(range(reach + 1), 1.0))
+
+
+def report_transducer(factor: float) -> Transducer:
+    """Weighs a clause with a verb of reported speech, before or behind what is reported."""
+    arcs = copying((0, 1), SYMBOLS) | {(k, REPORT): [(1, OTHER, 1.0)] for k in (0, 1)}
+    return Transducer(0, arcs, {0: 1.0, 1: factor})
+
+
+class Automaton:
+    """A composed transducer as matrices over its states, one for each symbol and whether the word was marked."""
+
+    def __init__(self, machine: Transducer):
+        states = {machine.start: 0}
+        for (state, _), found in machine.arcs.items():
+            for s in (state, *(after for after, _, _ in found)):
+                states.setdefault(s, len(states))
+        self.start = np.zeros(len(states))
+        self.start[0] = 1.0
+        self.final = np.zeros(len(states))
+        for state, weight in machine.final.items():
+            self.final[states[state]] = weight
+        self.plain = {s: np.zeros((len(states), len(states))) for s in SYMBOLS}
+        self.marked = {s: np.zeros((len(states), len(states))) for s in SYMBOLS}
+        for (state, symbol), found in machine.arcs.items():
+            for after, out, weight in found:
+                side = self.marked if out in (INSULT_MARK, THREAT_MARK) else self.plain
+                side[symbol][states[state], states[after]] += weight
+
+    def weigh(self, marks: Iterable[tuple[str, float]]) -> float:
+        """The sum over all paths; a word's own weight counts on the paths that mark it."""
+        at = self.start
+        for symbol, weight in marks:
+            step = at @ self.plain[symbol]
+            if symbol in (INSULT, THREAT):
+                step += weight * (at @ self.marked[symbol])
+            at = step
+        return float(at @ self.final)
+
+
 @dataclass
 class Grammar:
-    """The product of the transducers. ``insults`` and ``stems`` map words and their beginnings to weights."""
+    """The composed transducers. ``insults`` and ``stems`` map words and their beginnings to weights."""
 
     insults: dict[str, float]
     stems: dict[str, float] = field(default_factory=dict)
@@ -87,26 +233,25 @@ class Grammar:
 
     def __post_init__(self):
         self.classes = Classes(self.insults, self.stems)
-
-    def step(self, state: tuple[int, int, int], kind: str | None, weight: float) -> tuple[tuple[int, int, int], float]:
-        """One transition: (words the negation still holds, target seen, speech reported) and the output."""
-        negation, target, report = state
-        out = 0.0
-        if kind in ("i", "t"):
-            # A threat needs its target before it; an insult is only strengthened by one.
-            base = weight if kind == "i" else self.threat * target
-            out = base * (1 + self.target * target) * (self.negated if negation else 1) * (self.reported if report else 1)
-        if kind == "n":
-            return (self.reach, target, report), out
-        return (max(0, negation - 1), int(target or kind == "y"), int(report or kind == "r")), out
+        self.automaton = Automaton(reduce(compose, self.transducers()))
+
+    def transducers(self) -> list[Transducer]:
+        return [
+            marker(INSULT, INSULT_MARK),
+            marker(THREAT, THREAT_MARK),
+            target_transducer(self.target, self.threat),
+            negation_transducer(self.negated, self.reach),
+            report_transducer(self.reported),
+        ]
 
     def clause(self, marks: list[tuple[str, float] | None]) -> float:
-        state, total = (0, 0, 0), 0.0
+        kept, run = [], 0
         for mark in marks:
-            if mark or state[0]:
-                state, out = self.step(state, *(mark or (None, 0.0)))
-                total += out
-        return total
+            run = 0 if mark else run + 1
+            # Further words in a row change no state: all that ends in one is a negation's reach.
+            if run <= self.reach:
+                kept.append(mark or (OTHER, 1.0))
+        return self.automaton.weigh(kept)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """What the matched clauses put out together, how many there are, and their density, all on a log scale."""
@@ -115,7 +260,7 @@ class Grammar:
         for part in CLAUSE.split(text.lower()) if text else ():
             marks = list(map(look, WORD(part)))
             n += len(marks)
-            if any(marks):
+            if any(mark and mark[0] in (INSULT, THREAT) for mark in marks):
                 out = self.clause(marks)
                 total += out
                 matched += out > 0
@@ -208,7 +353,7 @@ def fit(
 
     def strongest(found: DataFrame, least: float) -> dict[str, float]:
         found = found.withColumn("odds", odds).filter((F.col("bad_places") >= MIN_PLACES) & (F.col("odds") >= least))
-        return {r["word"]: min(r["odds"], 6.0) for r in found.orderBy(F.desc("odds"), "word").limit(LEXICON).collect()}
+        return {r["word"]: min(r["odds"], 6.0) for r in found.collect()}
 
     stems = (
         counted.select("*", F.explode(F.array(*[F.lit(k) for k in STEMS])).alias("k"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 import zlib
 from collections import Counter
@@ -277,10 +278,39 @@ def test_grammar():
     grammar = toxicity.Grammar({"clown": 2.0}, {"lumph": 1.0})
     score = lambda text: grammar.features(text)[0]
     assert score("nice day") == 0 < score("not a clown") < score("he said clown") < score("a clown") < score("you clown")
-    assert score("lumphish") > 0 and score("I will kill time") == 0 < score("you I will kill")
+    assert score("lumphish") > 0 and score("I will kill time") == 0 < score("I will not kill you") < score("kill you")
+    assert score("I will kill you") == score("kill you") == score("you I will kill")
+    assert score("clown you") == score("you clown") > score("you clown, he said")
     assert score("not here. a clown") == score("a clown")
 
 
+def test_composed_grammar_equals_its_transducers_in_turn():
+    grammar = toxicity.Grammar({}, {})
+    rng = random.Random(11)
+    kinds = [toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, None, None]
+    for _ in range(300):
+        clause = [(kind, rng.choice([0.5, 2.0]) if kind == toxicity.INSULT else 1.0) if kind else None
+                  for kind in rng.choices(kinds, k=rng.randrange(9))]
+        got = grammar.clause(clause)
+        # One transducer after another, path by path.
+        tapes = [([mark[0] if mark else toxicity.OTHER for mark in clause], 1.0)]
+        for machine in grammar.transducers():
+            tapes = [(out, w * more) for tape, w in tapes for out, more in machine.paths(tape)]
+        chosen = [(next(k for k, s in enumerate(tape) if s.endswith("!")), w) for tape, w in tapes]
+        assert got == pytest.approx(sum(w * clause[k][1] for k, w in chosen))
+        # The rule in words: what each insult or threat counts.
+        here = [mark[0] if mark else None for mark in clause]
+        want = 0.0
+        for k, mark in enumerate(clause):
+            if mark and mark[0] in (toxicity.INSULT, toxicity.THREAT):
+                near = toxicity.TARGET in here
+                weight = mark[1] if mark[0] == toxicity.INSULT else grammar.threat * near
+                weight *= 1 + grammar.target * near
+                weight *= grammar.negated if toxicity.NEGATION in here[max(0, k - grammar.reach) : k] else 1
+                want += weight * (grammar.reported if toxicity.REPORT in here else 1)
+        assert got == pytest.approx(want)
+
+
 def test_op7(spark, docs):
     found = run(spark, "op7_language")
     held = pd.Series([zlib.crc32(str(k).encode()) % 4 == 2 for k in found.index], found.index)
