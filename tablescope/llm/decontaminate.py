@@ -9,8 +9,8 @@ Patterns are searched in shards of a bounded number of words: one pass over the
 finds to the row. The passes need no shuffle. Between two shards the rows are written to the shared folder, so a task
 holds the tables of one shard, however large the benchmark is.
 
-Defined results: null or empty texts have no words and are never contaminated; items without words, text or id
-have no window; repeated rows and ids are judged one by one, repeated items count once; an empty benchmark or table gives
+Defined results: null or empty texts have no words and are never contaminated; items without words or text
+have no window, and items without id hit words but are not listed; repeated rows and ids are judged one by one, repeated items count once; an empty benchmark or table gives
 unchanged or no rows; other columns are ignored (``drop_contaminated`` hands them on).
 """
 
@@ -77,7 +77,7 @@ class Searcher:
 class Patterns:
     """One shard of items, ready to search."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.names = [name for name, _ in items]
         self.vocabulary: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
@@ -99,7 +99,8 @@ class Patterns:
             for start, owners in searcher.find(ids):
                 spans.append((start, start + searcher.length))
                 names.update(self.names[k] for k in owners)
-        return joined(spans), names
+        # Items without an id hit words, but have no name to list.
+        return joined(spans), names - {None}
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,9 +113,10 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str, str]]]:
+def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in lists of about ``shard_words`` words; the driver holds one list at a time."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).dropna()
+    items = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text"))
+    items = items.filter(F.col("text").isNotNull())
     size, shard = 0, []
     for row in items.toLocalIterator():
         shard.append((row.name, row.text))
