@@ -2,8 +2,8 @@
 
 Only DataFrame functions are used. Patterns propose candidates: assignments to names like ``password``, access keys, long
 hexadecimal numbers, and (kind ``key``) other long runs of letters and digits. Every candidate's value is hashed, and the
-hashes are aggregated over the whole corpus by distinct repositories and owners. A value that many owners have is a
-copied example; one that few owners have is specific to them, and it looks live unless it is a placeholder or too
+hashes are aggregated over the whole corpus by distinct repositories and owners. A value that many owners or very many
+repositories have is a copied example; one that few have is specific to them, and it looks live unless it is a placeholder or too
 regular. The first three kinds are always reported; a ``key`` is added when it is owner-specific, looks live, and overlaps
 no other span.
 
@@ -33,6 +33,7 @@ PATTERNS = {
 VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234"
 SHARED_OWNERS = 3
+SHARED_REPOS = 20  # so many repositories are copies even of one owner
 MIN_ENTROPY = 3.0
 SALTS = 8
 
@@ -116,6 +117,7 @@ def secrets(
     id_col: str = "doc_id",
     text_col: str = "text",
     shared_owners: int = SHARED_OWNERS,
+    shared_repos: int = SHARED_REPOS,
 ) -> DataFrame:
     """Counts and spans for each row of ``docs``.
 
@@ -136,7 +138,7 @@ def secrets(
     some = apart(some.select("row", "doc_id", "owner", "repo", "s.*"))
     owned = ownership(some).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     judged = some.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(owned, ["hash", "salt"])
-    copied = F.col("n_owners") >= shared_owners
+    copied = (F.col("n_owners") >= shared_owners) | (F.col("n_repos") >= shared_repos)
     judged = judged.filter((F.col("kind") < 3) | (F.col("live") & ~copied))
     span = F.struct("start", "kind", "end", copied.alias("copied"), (F.col("live") & ~copied).alias("live"))
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))

@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_near_copies import all_links, roots
@@ -108,6 +109,12 @@ def test_op2_owners(spark):
     many = found.loc[range(5)]
     assert (many.n_copied == 1).all() and (many.n_live == 0).all()
     assert found.n_copied[9] == 0 and found.n_live[9] == 2 and found.n_key[9] == 1 and found.n_live[10] == 1
+    # A value in very many repositories of one owner is copied as well.
+    rows = [(k, own, "s9", f"r{k}") for k in range(secret_owners.SHARED_REPOS)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    few = secret_owners.secrets(wide.limit(secret_owners.SHARED_REPOS - 1)).toPandas()
+    wide = secret_owners.secrets(wide).toPandas()
+    assert (wide.n_copied == 1).all() and (wide.n_live == 0).all() and (few.n_copied == 0).all()
     assert found.spans[9] == f"assign:0:{len(own)},key:{len(own) + 1}:{len(own) + 1 + len(key)}"
 
 
@@ -259,6 +266,9 @@ def test_op5_shards_and_short_items(spark):
     parts = decontaminate.contamination(docs, items, shard_words=2).orderBy("doc_id").collect()
     assert whole == parts
     assert [(r["n_hit"], r["n_items"]) for r in whole] == [(5, 3), (3, 2), (0, 0)]
+    nameless = items.select(F.lit(None).cast("long").alias("item_id"), "text")
+    found = decontaminate.contamination(docs, nameless).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in found] == [(5, 0, True), (3, 0, True), (0, 0, False)]
 
 
 def test_op6(spark):
