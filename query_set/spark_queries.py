@@ -66,10 +66,10 @@ def normalize_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_and_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole run from CSV files to the clean table."""
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    _write_csv(table(spark, folder, "orders_dirty"), path)
-    return load_analyse_clean(spark, path, run_clustering=False, with_charts=False).clean
+    """The whole run from CSV files to the clean table; the text is parsed once, and the passes read Parquet."""
+    base = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    _write_csv(table(spark, folder, "orders_dirty"), f"{base}/text")
+    return load_analyse_clean(spark, f"{base}/text", run_clustering=False, with_charts=False, stage_to=f"{base}/staged").clean
 
 
 def time_frequency(spark: SparkSession, folder: str) -> DataFrame:
