@@ -1,18 +1,20 @@
-"""Near copies by five-word shingles: SimHash groups and MinHash bands propose, the shared shingles decide.
+"""Near copies by five-word shingles: SimHash groups, MinHash bands and prefixes propose, the shared shingles decide.
 
 Rows whose texts have the same set of shingles form a class, and only classes are compared. Two classes link when their
-sets have a Jaccard similarity of at least 0.8; linked classes form a group, and one document of each group stays.
+sets have a Jaccard similarity of at least 0.8; linked classes form a group, and one document of each group stays. Groups are
+those of all links: none between different texts is lost.
 
-A fingerprint of 64 bits cannot find these pairs alone: at a similarity of 0.8 about ten bits differ, and with a radius of
-ten no triangle bound prunes anything. So classes that a leaf of the SimHash tree links (:mod:`simhash`, three bits) are
-one bucket of candidates, and those that agree in a band of MinHash values are further ones. At a similarity of 0.8 a
-pair shares no band with a probability of 0.006.
+First most links are found cheaply. Classes that a leaf of the SimHash tree links (:mod:`simhash`, three bits) are one bucket of
+candidates, and those that agree in a band of MinHash values are further ones. A bucket is worked off in rounds. Leaders are
+drawn, all its classes are compared with them by their whole sets, and what is like a leader leaves the bucket, as the
+leaders do. Every round draws ``LEADERS`` times as many leaders, so a bucket of ``n`` classes ends after about ``log n`` rounds
+whatever it holds, and a group of like classes ends in the first ones. This can miss a link: a pair at 0.8 shares no band with a
+probability of 0.006, and of a pair one class may leave with a leader that the other is unlike.
 
-A bucket is worked off in rounds. Leaders are drawn, all its classes are compared with them by their whole sets, and what
-is like a leader leaves the bucket, as the leaders do. Every round draws ``LEADERS`` times as many leaders, so a bucket of
-``n`` classes ends after about ``log n`` rounds whatever it holds, a group of like classes ends in the first ones, and no
-candidate is left out. A link between two classes of which one has left with a leader that the other is unlike can only be found in
-another bucket; tests measure how many of all links are kept.
+Then the rest is made up. Two sets that link share at least four fifths of either, so, with all shingles in one fixed order, the
+first fifth (and one more) of both have a shingle in common. Classes that meet in such a shingle, are not in one group so far
+and have fitting sizes are compared by their whole sets. Any order is right; shingles that are frequent in a sample come last, so
+that common passages bring few together.
 
 Defined results: a null text has no words and counts as empty, and all texts without words are copies of each other; a text
 of fewer than five words is one shingle; A-Z count as a-z. Of a group the row with the smallest id stays (rows without id
@@ -29,13 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm import simhash
-from tablescope.llm.common import encoded, map_batches, staged
+from tablescope.llm.common import encoded, map_batches, share, staged
 
 WIDTH = 5  # words of a shingle
 BANDS, VALUES = 13, 5  # MinHash bands, and values of each
 LEADERS = 8  # leaders of a bucket in the first round, and the growth of their number from round to round
 MEMBERS = 4096  # comparisons of one leader in one task; leaders with more are copied to several
 
+SAMPLE = 4096  # documents that tell the frequent shingles, which only decide how many classes meet
+FREQUENT = 100_000  # of them as many are known to each task
+
 _DRAW = np.random.default_rng(simhash.SEED)
 FACTORS = _DRAW.integers(0, 2**63, BANDS * VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _DRAW.integers(0, 2**64, BANDS * VALUES, np.uint64)
@@ -114,6 +119,74 @@ def signatures(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("key", "id", "text"), schema, work)
 
 
+def frequent_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat in a sample of the ``total`` rows, in order, and their numbers there."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(text) for text in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["item"])
+
+    picked = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) * F.lit(total) < F.lit(SAMPLE << 24))
+    counted = map_batches(picked.select("text"), "item long", work).groupBy("item").agg(F.count("*").alias("n"))
+    known = counted.filter("n > 1").orderBy(F.desc("n"), "item").limit(FREQUENT).toArrow()
+    items, n = known.column("item").to_numpy().view(np.uint64), known.column("n").to_numpy()
+    order = np.argsort(items)
+    return items[order], n[order]
+
+
+def prefix(items: np.ndarray, known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: one more than a set that links to this one may lack."""
+    if len(known):
+        at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+        items = items[np.lexsort((items, np.where(known[at] == items, numbers[at], 0)))]
+    return items[: len(items) - -(-4 * len(items) // 5) + 1]
+
+
+def meetings(rows: DataFrame, total: int) -> DataFrame:
+    """``item, class``: the classes that have a shingle in their prefix which another class has in its own."""
+    get = share(rows.sparkSession, frequent_shingles(rows, total))
+
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        classes, found = [], []
+        for text in batch.column("text").to_pylist():
+            items = shingles(text)
+            found.append(prefix(items, *get()))
+            classes.append(xxhash.xxh64_intdigest(items.tobytes()))
+        classes = np.repeat(np.array(classes, np.uint64), [len(x) for x in found])
+        longs = [pa.array(x.view(np.int64)) for x in (np.concatenate(found), classes)]
+        return pa.RecordBatch.from_arrays(longs, ["item", "class"])
+
+    def met(batches):
+        held = [(b.column("item").to_numpy(), b.column("class").to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        item, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.lexsort((kind, item))
+        item, kind = item[order], kind[order]
+        new = np.append(True, (item[1:] != item[:-1]) | (kind[1:] != kind[:-1]))
+        item, kind = item[new], kind[new]
+        same = item[1:] == item[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        yield pa.RecordBatch.from_arrays([pa.array(item[shared]), pa.array(kind[shared])], ["item", "class"])
+
+    # A task holds sixteen bytes for each row of its partition.
+    schema = "item long, class long"
+    return map_batches(rows.select("text"), schema, first).repartition("item").mapInArrow(met, schema)
+
+
+def bridges(meeting: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
+    """``class, head``: all links between different groups (``class, root``) among classes that meet."""
+    placed = meeting.join(member, "class", "left").select("item", "class", F.coalesce("root", "class").alias("root"))
+    mixed = placed.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
+    left = placed.join(mixed, "item", "left_semi").join(sets.select("class", "n"), "class")
+    left = staged(left, "mixed")
+    right = left.select("item", F.col("class").alias("head"), F.col("root").alias("other"), F.col("n").alias("m"))
+    fits = (F.col("class") < F.col("head")) & (F.col("root") != F.col("other"))
+    fits &= 9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m"))
+    return alike(left.join(right, "item").filter(fits).select("class", "head").distinct(), sets)
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
     """``class, n, items`` for each row of ``class, text``."""
 
@@ -162,8 +235,9 @@ def links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     while True:
         order = F.xxhash64(F.lit(leaders), "class")
         stats = buckets.groupBy(bucket).agg(F.count("*").alias("count"), F.min(order).alias("first")).filter("count > 1")
-        # The first class of a bucket leads, and others by a draw, so that as many lead as the round asks for.
-        drawn = F.pmod(F.xxhash64(F.lit(leaders), "band", "class"), F.lit(1 << 24)) * F.col("count") < F.lit(
+        # The first class of a bucket leads, and others by a draw, so that as many lead as the round asks for. The draw is the
+        # same for all buckets: a group that meets in many of them is compared with few leaders.
+        drawn = F.pmod(F.xxhash64(F.lit(-leaders), "class"), F.lit(1 << 24)) * F.col("count") < F.lit(
             (leaders - 1) << 24
         )
         buckets = staged(
@@ -186,6 +260,12 @@ def links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return result
 
 
+def grouped(pairs: DataFrame) -> DataFrame:
+    """``class, root`` for each class of the links ``class, head``."""
+    member = simhash.components(pairs.select(F.col("class").alias("fp"), F.col("head").alias("other")))
+    return staged(member.select(F.col("fp").alias("class"), "root"), "members")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``key, class`` for each row of ``docs``, and ``class, root, first`` for each class.
 
@@ -208,12 +288,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     )
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("count")).filter("count > 1").select("band", "value")
     buckets = staged(banded.join(shared, ["band", "value"], "left_semi").select("class", "band", "value"), "buckets")
-    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "first.key")
-    texts = rows.select("key", "text").join(wanted, "key").dropDuplicates(["class"])
+    meeting = staged(meetings(rows, signed.count()), "meetings")
+    either = buckets.select("class").union(meeting.select("class")).distinct()
+    wanted = classes.join(either, "class", "left_semi").select("class", "first.key")
+    # Only rows of equal id and text can repeat a class here.
+    repeated = signed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1").select("key")
+    texts = rows.select("key", "text").join(wanted, "key")
+    repeated = staged(repeated, "repeated")
+    texts = texts.join(repeated, "key", "left_anti").union(
+        texts.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    ).select("class", "text")
     sets = staged(shingle_sets(texts), "sets")
-    pairs = links(buckets, sets)
-    member = simhash.components(pairs.select(F.col("class").alias("fp"), F.col("head").alias("other")))
-    member = staged(member.select(F.col("fp").alias("class"), "root"), "members")
+    member = grouped(links(buckets, sets))
+    more = staged(bridges(meeting, member, sets), "bridges")
+    if not more.isEmpty():
+        # The groups themselves are linked now; a class without a group is one of its own.
+        known = [member.select(F.col("class").alias(c), F.col("root").alias(f"{c}_root")) for c in ("class", "head")]
+        ends = more.join(known[0], "class", "left").join(known[1], "head", "left")
+        joined = grouped(ends.select(F.coalesce("class_root", "class").alias("class"), F.coalesce("head_root", "head").alias("head")))
+        top = joined.select(F.col("class").alias("root"), F.col("root").alias("top"))
+        both = member.unionByName(joined.select("class", F.col("class").alias("root")).join(member, "class", "left_anti"))
+        member = staged(both.join(top, "root", "left").select("class", F.coalesce("top", "root").alias("root")), "members")
     rooted = classes.join(member, "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first")
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
     found = staged(rooted.select("class", "root").join(best, "root").select("class", "root", "first"), "groups")
