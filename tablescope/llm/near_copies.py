@@ -99,23 +99,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """``key, id, class, fp, bands`` for each row of ``key, id, text``."""
+    """``key, id, class, fp, n, bands`` for each row of ``key, id, text``; ``n`` is the size of the set."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        classes, prints, values = [], [], []
+        classes, prints, sizes, values = [], [], [], []
         for text in batch.column("text").to_pylist():
             items = shingles(text)
             classes.append(xxhash.xxh64_intdigest(items.tobytes()))
             prints.append(fingerprint(items))
+            sizes.append(len(items))
             values.append(bands(items))
-        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (classes, prints)]
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (classes, prints, sizes)]
         return pa.RecordBatch.from_arrays(
             [batch.column("key"), batch.column("id"), *longs, pa.array(values, pa.list_(pa.int64()))],
-            ["key", "id", "class", "fp", "bands"],
+            ["key", "id", "class", "fp", "n", "bands"],
         )
 
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"key binary, id {kind}, class long, fp long, bands array<long>"
+    schema = f"key binary, id {kind}, class long, fp long, n long, bands array<long>"
     return map_batches(rows.select("key", "id", "text"), schema, work)
 
 
@@ -175,16 +176,32 @@ def meetings(rows: DataFrame, total: int) -> DataFrame:
     return map_batches(rows.select("text"), schema, first).repartition("item").mapInArrow(met, schema)
 
 
-def bridges(meeting: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
-    """``class, head``: all links between different groups (``class, root``) among classes that meet."""
+def bridges(meeting: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, head``: the classes of different groups (``class, root``) that may link by what their prefixes share.
+
+    Of two prefixes one ends first in the order. What its set shares with the other one up to there is in both prefixes, so the
+    sets share at most that number and the rest of the set. Two sets of one size must so have a tenth of their shingles in common
+    in their prefixes, and a chance meeting is dropped before any set is looked at.
+    """
     placed = meeting.join(member, "class", "left").select("item", "class", F.coalesce("root", "class").alias("root"))
     mixed = placed.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
-    left = placed.join(mixed, "item", "left_semi").join(sets.select("class", "n"), "class")
-    left = staged(left, "mixed")
+    left = staged(placed.join(mixed, "item", "left_semi").join(classes.select("class", "n"), "class"), "mixed")
     right = left.select("item", F.col("class").alias("head"), F.col("root").alias("other"), F.col("n").alias("m"))
     fits = (F.col("class") < F.col("head")) & (F.col("root") != F.col("other"))
     fits &= 9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m"))
-    return alike(left.join(right, "item").filter(fits).select("class", "head").distinct(), sets)
+    met = left.join(right, "item").filter(fits).groupBy("class", "head", "n", "m").agg(F.count("*").alias("common"))
+    rest = F.expr("(4 * greatest(n, m) + 4) div 5 - 1")  # the most that lies behind either prefix
+    return met.filter(9 * (F.col("common") + rest) >= 4 * (F.col("n") + F.col("m"))).select("class", "head")
+
+
+def sets_of(rows: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class, n, items`` for the classes whose texts have the keys of ``wanted`` (``class, key``)."""
+    # Only rows of equal id and text can repeat a class here.
+    repeated = staged(signed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1").select("key"), "repeated")
+    texts = rows.select("key", "text").join(staged(wanted, "wanted"), "key")
+    once = texts.join(repeated, "key", "left_anti")
+    several = texts.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return staged(shingle_sets(once.union(several).select("class", "text")), "sets")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -275,7 +292,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     signed = staged(signatures(rows), "signatures")
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
     classes = staged(
-        signed.groupBy("class").agg(F.min(row).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")),
+        signed.groupBy("class").agg(F.min(row).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
     # A leaf of the tree ties a fingerprint to the smallest one it reaches there, which is the bucket of both.
@@ -288,19 +305,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     )
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("count")).filter("count > 1").select("band", "value")
     buckets = staged(banded.join(shared, ["band", "value"], "left_semi").select("class", "band", "value"), "buckets")
-    meeting = staged(meetings(rows, signed.count()), "meetings")
-    either = buckets.select("class").union(meeting.select("class")).distinct()
-    wanted = classes.join(either, "class", "left_semi").select("class", "first.key")
-    # Only rows of equal id and text can repeat a class here.
-    repeated = signed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1").select("key")
-    texts = rows.select("key", "text").join(wanted, "key")
-    repeated = staged(repeated, "repeated")
-    texts = texts.join(repeated, "key", "left_anti").union(
-        texts.join(repeated, "key", "left_semi").dropDuplicates(["key"])
-    ).select("class", "text")
-    sets = staged(shingle_sets(texts), "sets")
+    keys = classes.select("class", "first.key")
+    sets = sets_of(rows, signed, keys.join(buckets.select("class").distinct(), "class", "left_semi"))
     member = grouped(links(buckets, sets))
-    more = staged(bridges(meeting, member, sets), "bridges")
+    meeting = staged(meetings(rows, signed.count()), "meetings")
+    open_ = staged(bridges(meeting, member, classes), "open")
+    ends = open_.select("class").union(open_.select(F.col("head").alias("class"))).distinct()
+    more = staged(alike(open_, sets_of(rows, signed, keys.join(ends, "class", "left_semi"))), "bridges")
     if not more.isEmpty():
         # The groups themselves are linked now; a class without a group is one of its own.
         known = [member.select(F.col("class").alias(c), F.col("root").alias(f"{c}_root")) for c in ("class", "head")]
