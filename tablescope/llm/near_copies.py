@@ -12,9 +12,12 @@ whatever it holds, and a group of like classes ends in the first ones. This can
 probability of 0.006, and of a pair one class may leave with a leader that the other is unlike.
 
 Then the rest is made up. Two sets that link share at least four fifths of either, so, with all shingles in one fixed order, the
-first fifth (and one more) of both have a shingle in common. Classes that meet in such a shingle, are not in one group so far
-and have fitting sizes are compared by their whole sets. Any order is right; shingles that are frequent in a sample come last, so
-that common passages bring few together.
+first fifth (and one more) of both have a shingle in common. Classes that meet so, far enough in front for their two sizes, often
+enough, and are not in one group so far, are compared by their whole sets. Any order is right; shingles that are frequent in a
+sample come last, so that common passages bring few together.
+
+No whole set moves for a pair that its sketches rule out. A sketch has one bit for each remainder of the shingles, which is
+their number there modulo two; two sketches differ in no more bits than the sets in shingles.
 
 Defined results: a null text has no words and counts as empty, and all texts without words are copies of each other; a text
 of fewer than five words is one shingle; A-Z count as a-z. Of a group the row with the smallest id stays (rows without id
@@ -38,6 +41,9 @@ BANDS, VALUES = 13, 5  # MinHash bands, and values of each
 LEADERS = 8  # leaders of a bucket in the first round, and the growth of their number from round to round
 MEMBERS = 4096  # comparisons of one leader in one task; leaders with more are copied to several
 
+SKETCH = 4  # words of 64 bits of the smallest sketch, and of those that classes carry into their meetings
+SHARED = 64  # of so many shingles of the smaller set one more is asked for in common among the first ones
+
 SAMPLE = 4096  # documents that tell the frequent shingles, which only decide how many classes meet
 FREQUENT = 100_000  # of them as many are known to each task
 
@@ -82,6 +88,18 @@ def fingerprint(items: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(items), bitorder="little").view("<u8")[0])
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """The numbers of shingles, modulo two, by their remainder: at least one bit for each shingle.
+
+    Sizes are powers of two, so a sketch is folded to a smaller one by combining its parts with exclusive or.
+    """
+    words = SKETCH
+    while 64 * words < len(items):
+        words *= 2
+    odd = np.bincount((items & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def row_key(id_: Column, text: Column) -> Column:
     """Sixteen bytes that stand for an id and a text."""
     name = F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("-"))
@@ -99,24 +117,25 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """``key, id, class, fp, n, bands`` for each row of ``key, id, text``; ``n`` is the size of the set."""
+    """``key, id, class, fp, n, bands, bits`` for each row of ``key, id, text``; ``n`` is the size of the set."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        classes, prints, sizes, values = [], [], [], []
+        classes, prints, sizes, values, bits = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             items = shingles(text)
             classes.append(xxhash.xxh64_intdigest(items.tobytes()))
             prints.append(fingerprint(items))
             sizes.append(len(items))
             values.append(bands(items))
+            bits.append(sketch(items))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (classes, prints, sizes)]
         return pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("id"), *longs, pa.array(values, pa.list_(pa.int64()))],
-            ["key", "id", "class", "fp", "n", "bands"],
+            [batch.column("key"), batch.column("id"), *longs, *(pa.array(x, pa.list_(pa.int64())) for x in (values, bits))],
+            ["key", "id", "class", "fp", "n", "bands", "bits"],
         )
 
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"key binary, id {kind}, class long, fp long, n long, bands array<long>"
+    schema = f"key binary, id {kind}, class long, fp long, n long, bands array<long>, bits array<long>"
     return map_batches(rows.select("key", "id", "text"), schema, work)
 
 
@@ -144,7 +163,7 @@ def prefix(items: np.ndarray, known: np.ndarray, numbers: np.ndarray) -> np.ndar
 
 
 def meetings(rows: DataFrame, total: int) -> DataFrame:
-    """``item, class``: the classes that have a shingle in their prefix which another class has in its own."""
+    """``item, class, at``: the classes that have a shingle in their prefix which another class has in its own, and its place there."""
     get = share(rows.sparkSession, frequent_shingles(rows, total))
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,47 +174,74 @@ def meetings(rows: DataFrame, total: int) -> DataFrame:
             classes.append(xxhash.xxh64_intdigest(items.tobytes()))
         classes = np.repeat(np.array(classes, np.uint64), [len(x) for x in found])
         longs = [pa.array(x.view(np.int64)) for x in (np.concatenate(found), classes)]
-        return pa.RecordBatch.from_arrays(longs, ["item", "class"])
+        places = pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in found]))
+        return pa.RecordBatch.from_arrays([*longs, places], ["item", "class", "at"])
 
     def met(batches):
-        held = [(b.column("item").to_numpy(), b.column("class").to_numpy()) for b in batches if b.num_rows]
+        held = [tuple(b.column(c).to_numpy() for c in ("item", "class", "at")) for b in batches if b.num_rows]
         if not held:
             return
-        item, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+        item, kind, at = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
         order = np.lexsort((kind, item))
-        item, kind = item[order], kind[order]
+        item, kind, at = item[order], kind[order], at[order]
         new = np.append(True, (item[1:] != item[:-1]) | (kind[1:] != kind[:-1]))
-        item, kind = item[new], kind[new]
+        item, kind, at = item[new], kind[new], at[new]
         same = item[1:] == item[:-1]
         shared = np.append(same, False) | np.append(False, same)
-        yield pa.RecordBatch.from_arrays([pa.array(item[shared]), pa.array(kind[shared])], ["item", "class"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (item, kind, at)], ["item", "class", "at"])
 
-    # A task holds sixteen bytes for each row of its partition.
-    schema = "item long, class long"
+    # A task holds twenty bytes for each row of its partition.
+    schema = "item long, class long, at int"
     return map_batches(rows.select("text"), schema, first).repartition("item").mapInArrow(met, schema)
 
 
-def bridges(meeting: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
-    """``class, head``: the classes of different groups (``class, root``) that may link by what their prefixes share.
+def differing(bits: str, others: str) -> Column:
+    """The number of bits in which two sketches of any sizes differ, the larger one folded."""
+    fold = "if(size({0}) > size({1}), {0}[k] ^ {0}[k + size({1})], {0}[k])"  # sizes that fit differ by one fold at most
+    one, two = fold.format(bits, others), fold.format(others, bits)
+    return F.expr(f"aggregate(sequence(0, least(size({bits}), size({others})) - 1), 0, (x, k) -> x + bit_count(({one}) ^ ({two})))")
+
+
+def crossings(meeting: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, head, n, m``: a row for each shingle in which classes of different groups (``class, root``) meet far enough in front.
 
-    Of two prefixes one ends first in the order. What its set shares with the other one up to there is in both prefixes, so the
-    sets share at most that number and the rest of the set. Two sets of one size must so have a tenth of their shingles in common
-    in their prefixes, and a chance meeting is dropped before any set is looked at.
+    Two sets of ``n`` and ``m`` shingles link if they share ``least`` of them. After the ``c``-th shared one in the order there are
+    ``least - c`` more in either set, so the first ``c`` all lie before the places ``n - least + c`` and ``m - least + c``.
     """
-    placed = meeting.join(member, "class", "left").select("item", "class", F.coalesce("root", "class").alias("root"))
+    words = [f"b{i}" for i in range(SKETCH)]
+    folded = [F.expr(f"aggregate(sequence({i}, size(bits) - 1, {SKETCH}), 0L, (x, k) -> x ^ bits[k])").alias(w) for i, w in enumerate(words)]
+    placed = meeting.join(member, "class", "left").select("item", "class", "at", F.coalesce("root", "class").alias("root"))
     mixed = placed.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
-    left = staged(placed.join(mixed, "item", "left_semi").join(classes.select("class", "n"), "class"), "mixed")
-    right = left.select("item", F.col("class").alias("head"), F.col("root").alias("other"), F.col("n").alias("m"))
+    left = placed.join(mixed, "item", "left_semi").join(classes.select("class", "n", *folded), "class")
+    left = staged(left, "mixed")
+    names = {"class": "head", "at": "there", "root": "other", "n": "m"} | {w: f"o{w}" for w in words}
+    right = left.select("item", *[F.col(c).alias(to) for c, to in names.items()])
     fits = (F.col("class") < F.col("head")) & (F.col("root") != F.col("other"))
-    fits &= 9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m"))
-    met = left.join(right, "item").filter(fits).groupBy("class", "head", "n", "m").agg(F.count("*").alias("common"))
-    rest = F.expr("(4 * greatest(n, m) + 4) div 5 - 1")  # the most that lies behind either prefix
-    return met.filter(9 * (F.col("common") + rest) >= 4 * (F.col("n") + F.col("m"))).select("class", "head")
+    fits &= F.col("at") + least_shared() < F.col("n") + wanted_shared()
+    fits &= F.col("there") + least_shared() < F.col("m") + wanted_shared()
+    fits &= 9 * sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words) <= F.col("n") + F.col("m")
+    return left.join(right, "item").filter(fits).select("class", "head", "n", "m")
+
+
+def least_shared() -> Column:
+    """The fewest shingles that sets of ``n`` and ``m`` share if they link."""
+    return F.expr("(4 * (n + m) + 8) div 9")
+
+
+def wanted_shared() -> Column:
+    """So many of them must be among the first ones: more for larger sets, as far as the prefixes reach."""
+    return F.least(least_shared() - F.expr("(4 * greatest(n, m) + 4) div 5 - 1"), F.expr(f"1 + least(n, m) div {SHARED}"))
+
+
+def bridges(meeting: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, head``: the classes of different groups that may link by what their first shingles share."""
+    met = crossings(meeting, member, classes).groupBy("class", "head", "n", "m").agg(F.count("*").alias("common"))
+    return met.filter(F.col("common") >= wanted_shared()).select("class", "head")
 
 
 def sets_of(rows: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, n, items`` for the classes whose texts have the keys of ``wanted`` (``class, key``)."""
+    """``class, n, items, bits`` for the classes whose texts have the keys of ``wanted`` (``class, key``)."""
     # Only rows of equal id and text can repeat a class here.
     repeated = staged(signed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1").select("key"), "repeated")
     texts = rows.select("key", "text").join(staged(wanted, "wanted"), "key")
@@ -205,30 +251,36 @@ def sets_of(rows: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """``class, n, items`` for each row of ``class, text``."""
+    """``class, n, items, bits`` for each row of ``class, text``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items = [shingles(text).view(np.int64) for text in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("class"), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64()))],
-            ["class", "n", "items"],
-        )
+        items = [shingles(text) for text in batch.column("text").to_pylist()]
+        sizes = pa.array([len(x) for x in items], pa.int64())
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in ([x.view(np.int64) for x in items], [sketch(x) for x in items])]
+        return pa.RecordBatch.from_arrays([batch.column("class"), sizes, *lists], ["class", "n", "items", "bits"])
 
-    return map_batches(rows.select("class", "text"), "class long, n long, items array<long>", work)
+    return map_batches(rows.select("class", "text"), "class long, n long, items array<long>, bits array<long>", work)
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows ``class, head`` of ``pairs`` whose sets have a similarity of at least 0.8.
+def fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, head, n, m`` for the rows of ``pairs`` that sizes and sketches do not rule out.
 
-    ``shared / (n + m - shared) >= 4 / 5`` in whole numbers is ``9 * shared >= 4 * (n + m)``. Sizes that rule it out are
-    dropped before sets move.
+    ``shared / (n + m - shared) >= 4 / 5`` in whole numbers is ``9 * shared >= 4 * (n + m)``, or nine times the shingles that
+    only one set has are at most ``n + m``.
     """
-    sizes = sets.select("class", "n")
-    pairs = (
+    sizes = classes.select("class", "n", "bits")
+    near = F.when(9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m")), 9 * differing("bits", "others") <= F.col("n") + F.col("m"))
+    return (
         pairs.join(sizes, "class")
-        .join(sizes.select(F.col("class").alias("head"), F.col("n").alias("m")), "head")
-        .filter(9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m")))
+        .join(sizes.select(F.col("class").alias("head"), F.col("n").alias("m"), F.col("bits").alias("others")), "head")
+        .filter(near)
+        .select("class", "head", "n", "m")
     )
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows ``class, head`` of ``pairs`` whose sets have a similarity of at least 0.8; sets move for those that may."""
+    pairs = fitting(pairs, sets)
     pairs = staged(pairs.select("class", "head", "n", "m"), "pairs")
     parts = pairs.groupBy("head").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     members = (
@@ -292,7 +344,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     signed = staged(signatures(rows), "signatures")
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
     classes = staged(
-        signed.groupBy("class").agg(F.min(row).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")),
+        signed.groupBy("class").agg(
+            F.min(row).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"),
+            F.first("bands").alias("bands"), F.first("bits").alias("bits"),
+        ),
         "classes",
     )
     # A leaf of the tree ties a fingerprint to the smallest one it reaches there, which is the bucket of both.
@@ -309,7 +364,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     sets = sets_of(rows, signed, keys.join(buckets.select("class").distinct(), "class", "left_semi"))
     member = grouped(links(buckets, sets))
     meeting = staged(meetings(rows, signed.count()), "meetings")
-    open_ = staged(bridges(meeting, member, classes), "open")
+    open_ = staged(fitting(bridges(meeting, member, classes), classes).select("class", "head"), "open")
     ends = open_.select("class").union(open_.select(F.col("head").alias("class"))).distinct()
     more = staged(alike(open_, sets_of(rows, signed, keys.join(ends, "class", "left_semi"))), "bridges")
     if not more.isEmpty():

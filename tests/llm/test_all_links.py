@@ -38,3 +38,51 @@ def test_links_that_bands_and_leaders_leave_out(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     stay = {r["doc_id"] for r in near_copies.keep_first(docs).collect()}
     assert stay == set(roots(texts, all_links(texts)).values()) and len(stay) == 150
+
+
+def sharing(rng, number):
+    """Texts that share 82 shingles of 100 with each other: a similarity of 0.69."""
+    common = [f"c{rng.randrange(10**9)}" for _ in range(86)]
+    return [" ".join(common + [f"{k}.{rng.randrange(10**9)}" for _ in range(18)]) for k in range(number)]
+
+
+def test_texts_below_the_threshold_do_not_meet(spark):
+    """A passage in many texts makes neither rows of a join nor pairs of sets with the square of their number."""
+    rows = [near_copies.shingles(x) for x in sharing(random.Random(13), 120)]
+    sets = [(k, len(x), near_copies.sketch(x).tolist()) for k, x in enumerate(rows)]
+    classes = spark.createDataFrame(sets, "class long, n long, bits array<long>")
+    # The passage is known from no sample and stands in front of each prefix.
+    common = set(rows[0].tolist()).intersection(*(x.tolist() for x in rows))
+    order = [sorted(x.view("int64").tolist(), key=lambda y: (y % 2**64 not in common, y)) for x in rows]
+    meeting = spark.createDataFrame([(y, k, at) for k, x in enumerate(order) for at, y in enumerate(x[:21])], "item long, class long, at int")
+    member = classes.select("class", F.col("class").alias("root")).limit(0)
+    assert near_copies.crossings(meeting, member, classes).count() < 0.15 * 12 * 120 * 119 / 2
+    assert near_copies.bridges(meeting, member, classes).count() < 0.2 * 120 * 119 / 2
+
+
+def test_sketches_rule_out_no_link():
+    rng = near_copies.np.random.default_rng(14)
+    for n in (0, 1, 90, 255, 257, 400, 520, 3000):
+        a = rng.integers(0, 2**64, n, "uint64")
+        for gone, new in ((0, 0), (n // 10, n // 10), (n // 5, 0), (0, n // 4)):
+            b = near_copies.np.append(a[gone:], rng.integers(0, 2**64, new, "uint64"))
+            x, y = near_copies.sketch(a), near_copies.sketch(b)
+            if len(x) < len(y):
+                x, y = y, x
+            assert len(x) <= 2 * len(y)
+            for words in (len(y), near_copies.SKETCH):
+                both = [near_copies.np.bitwise_xor.reduce(z.reshape(-1, words), axis=0) for z in (x, y)]
+                assert near_copies.np.bitwise_count((both[0] ^ both[1]).view("uint64")).sum() <= gone + new
+
+
+def test_sketches_of_two_sizes_are_folded(spark):
+    rng = near_copies.np.random.default_rng(15)
+    a = rng.integers(0, 2**64, 300, "uint64")
+    b = a[:250]
+    pair = [(near_copies.sketch(a).tolist(), near_copies.sketch(b).tolist())]
+    assert [len(x) for x in pair[0]] == [8, 4]
+    df = spark.createDataFrame(pair, "bits array<long>, others array<long>")
+    x = near_copies.np.bitwise_xor.reduce(near_copies.sketch(a).reshape(-1, 4), axis=0) ^ near_copies.sketch(b)
+    want = int(near_copies.np.bitwise_count(x.view("uint64")).sum())
+    for one, two in (("bits", "others"), ("others", "bits")):
+        assert df.select(near_copies.differing(one, two)).first()[0] == want <= 50
