@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescope.plans.columns import (
     col,
@@ -83,11 +84,10 @@ def target_information(
     positions = schema_rows(df).select(F.col("column").alias("feature"), "position")
     df = nan_to_null(df).select(*[col(c) for c in [*features, target]]).dropna(how="any")
     kinds = {f.name: kind_of(f.dataType) for f in df.schema}
-    facts = class_summary(df, [target]).first()
-    rows = facts["n_nonnull"] if facts else 0
+    rows, n_unique = _target_facts(df, target)
     if rows < MIN_ROWS:
         return None
-    classification = is_classification(df, target, facts["n_unique"])
+    classification = is_classification(df, target, n_unique)
     cut = [c for c in features if kinds[c] in ("numeric", "datetime")]
     if not classification:
         cut.append(target)
@@ -154,11 +154,10 @@ def neighbour_information(
     numbers = {c: _as_number(df, c) for c in continuous}
     for number in numbers.values():
         df = df.filter(F.abs(number) < float("inf"))
-    facts = class_summary(df, [target]).first()
-    rows = facts["n_nonnull"] if facts else 0
+    rows, n_unique = _target_facts(df, target)
     if rows < MIN_ROWS:
         return None
-    classification = is_classification(df, target, facts["n_unique"])
+    classification = is_classification(df, target, n_unique)
     spread = df.agg(F.count("*").alias("n"), *[F.stddev_pop(numbers[c]).alias(c) for c in continuous]).first()
     unit = {c: float(f"{spread[c]:.12g}") or 1.0 for c in continuous}
 
@@ -254,6 +253,33 @@ def _cells(keyed: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def _target_facts(df: DataFrame, target: str) -> tuple[int, int]:
+    """The rows with a target, and its different values; a number of more than ``MAX_TARGET_CLASSES`` only says that there are more.
+
+    Tasks send a few values each, so a target of very many values is not counted by value.
+    """
+    kind = df.schema[target].dataType
+    if kind_of(kind) != "numeric":  # a classification whatever the number
+        return df.filter(col(target).isNotNull()).count(), 0
+    values_type = to_arrow_type(kind)
+    most = MAX_TARGET_CLASSES + 2  # zero may come with two signs
+
+    def work(batches):
+        rows, seen = 0, set()
+        for batch in batches:
+            values = batch.column(0).drop_null()
+            rows += len(values)
+            if len(seen) < most:
+                seen.update(values.unique()[:most].to_pylist())
+        found = list(seen)[:most]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows] + [0] * len(found)), pa.array([None, *found], values_type)], ["n", "value"]
+        )
+
+    parts = df.select(col(target).alias("value")).mapInArrow(work, f"n long, value {kind.simpleString()}").collect()
+    return sum(r["n"] for r in parts), len({r["value"] for r in parts} - {None})
+
+
 def is_classification(df: DataFrame, target: str, n_unique: int) -> bool:
     return kind_of(df.schema[target].dataType) != "numeric" or n_unique <= MAX_TARGET_CLASSES
 

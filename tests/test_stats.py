@@ -218,3 +218,16 @@ def test_mode_ties_of_long_texts(make):
     assert fill_modes(make([(v,) for v in long], "s string")).filter("s = 'short'").count() == 2
     twice = make([(v,) for v in long[:2] * 2 + ["short", None]], "s string")
     assert fill_modes(twice).filter(F.col("s") == long[1]).count() == 3
+
+
+def test_numbers_of_a_target_are_not_counted_by_value(make, monkeypatch):
+    """Twenty values make classes, one more does not; tasks send a few values each, and zero is one value with either sign."""
+    rows = [(float(i % 20) * (-1.0 if i % 40 == 0 else 1.0), i % 3) for i in range(400)]
+    few = make(rows, "y double, x int")
+    many = make([*rows, (99.5, 1)], "y double, x int").repartition(5)
+    assert importance._target_facts(few, "y") == (400, 20)
+    assert importance._target_facts(many, "y")[0] == 401 and importance._target_facts(many, "y")[1] > 20
+    monkeypatch.setattr(importance, "class_summary", None)
+    assert importance.target_information(few, "y")[0] == "mutual_info_classif"
+    assert importance.target_information(many, "y")[0] == "mutual_info_regression"
+    assert importance.neighbour_information(many, "y")[0] == "mutual_info_regression"
