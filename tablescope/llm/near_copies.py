@@ -7,16 +7,18 @@ those of all links: none between different texts is lost.
 First most links are found cheaply. Classes that a leaf of the SimHash tree links (:mod:`simhash`, three bits) are one bucket of
 candidates, and those that agree in a band of MinHash values are further ones. A bucket is worked off in rounds. Leaders are
 drawn, all its classes are compared with them by their whole sets, and what is like a leader leaves the bucket, as the
-leaders do. Every round draws ``LEADERS`` times as many leaders, so a bucket of ``n`` classes ends after about ``log n`` rounds
-whatever it holds, and a group of like classes ends in the first ones. This can miss a link: a pair at 0.8 shares no band with a
-probability of 0.006, and of a pair one class may leave with a leader that the other is unlike.
+leaders do. Every round draws ``LEADERS`` times as many leaders, and a bucket goes on only if all but one in ``LEADERS`` of its
+classes left it, so that no round makes more pairs of it than the first; a bucket of unlike classes ends there. This can miss a
+link: a pair at 0.8 shares no band with a probability of 0.006, of a pair one class may leave with a leader that the other is
+unlike, and buckets end early.
 
 Then the rest is made up. Two sets that link share at least four fifths of either, so, with all shingles in one fixed order, the
 first fifth (and one more) of both have a shingle in common. Classes that meet so, far enough in front for their two sizes, often
 enough, and are not in one group so far, are compared by their whole sets. Any order is right; shingles that are frequent in a
 sample come last, so that common passages bring few together.
 
-No whole set moves for a pair that its sketches rule out. A sketch has one bit for each remainder of the shingles, which is
+Neither rows nor texts move that are not asked for: a Bloom filter of bounded size, which knows the keys asked for, stands before
+the joins that tell them exactly. No whole set moves for a pair that its sketches rule out. A sketch has one bit for each remainder of the shingles, which is
 their number there modulo two; two sketches differ in no more bits than the sets in shingles.
 
 Defined results: a null text has no words and counts as empty, and all texts without words are copies of each other; a text
@@ -27,7 +29,10 @@ an empty result. Columns other than the id and the text are carried along under
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,9 +49,12 @@ MEMBERS = 4096  # comparisons of one leader in one task; leaders with more are c
 SKETCH = 4  # words of 64 bits of the smallest sketch, and of those that classes carry into their meetings
 SHARED = 64  # of so many shingles of the smaller set one more is asked for in common among the first ones
 
-SAMPLE = 4096  # documents that tell the frequent shingles, which only decide how many classes meet
+SAMPLE, PART = 4096, 8  # documents, or one in so many if that is more, that tell the frequent shingles, which only decide how many classes meet
 FREQUENT = 100_000  # of them as many are known to each task
 
+MOST_BITS = 1 << 27  # of a Bloom filter: 16 MB in each task
+PLACES = 4  # bits that it sets for a key
+
 _DRAW = np.random.default_rng(simhash.SEED)
 FACTORS = _DRAW.integers(0, 2**63, BANDS * VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _DRAW.integers(0, 2**64, BANDS * VALUES, np.uint64)
@@ -139,6 +147,38 @@ def signatures(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("key", "id", "text"), schema, work)
 
 
+def places(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The bits of a Bloom filter of ``size`` bits, a power of two, that stand for each hash."""
+    h = hashes.view(np.uint64)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return (h[:, None] + np.arange(PLACES, dtype=np.uint64) * step[:, None]) & np.uint64(size - 1)
+
+
+def may_hold(keys: DataFrame) -> Callable[[str], Column]:
+    """A test of columns that is true for every key of ``keys`` and false for nearly all others."""
+    size = min(MOST_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+
+    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.unique(places(batch.column("h").to_numpy(), size))
+        word, first = np.unique(at >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (word, bits)], ["word", "bits"])
+
+    found = map_batches(keys.select(F.xxhash64("key").alias("h")), "word long, bits long", words)
+    found = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(size // 64, np.uint64)
+    held[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    get = share(keys.sparkSession, held)
+
+    def test(hashes: pd.Series) -> pd.Series:
+        at = places(hashes.to_numpy(), size)
+        bits = get()[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
+        return pd.Series((bits & np.uint64(1)).all(axis=1))
+
+    udf = F.pandas_udf(test, "boolean")
+    return lambda column: udf(F.xxhash64(column))
+
+
 def frequent_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat in a sample of the ``total`` rows, in order, and their numbers there."""
 
@@ -146,7 +186,9 @@ def frequent_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
         found = [shingles(text) for text in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["item"])
 
-    picked = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) * F.lit(total) < F.lit(SAMPLE << 24))
+    # A shingle that is not seen twice stands in a number of texts that grows with the table, unless the sample does too.
+    sample = max(SAMPLE, total // PART)
+    picked = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) * F.lit(total) < F.lit(sample << 24))
     counted = map_batches(picked.select("text"), "item long", work).groupBy("item").agg(F.count("*").alias("n"))
     known = counted.filter("n > 1").orderBy(F.desc("n"), "item").limit(FREQUENT).toArrow()
     items, n = known.column("item").to_numpy().view(np.uint64), known.column("n").to_numpy()
@@ -244,7 +286,8 @@ def sets_of(rows: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
     """``class, n, items, bits`` for the classes whose texts have the keys of ``wanted`` (``class, key``)."""
     # Only rows of equal id and text can repeat a class here.
     repeated = staged(signed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1").select("key"), "repeated")
-    texts = rows.select("key", "text").join(staged(wanted, "wanted"), "key")
+    wanted = staged(wanted, "wanted")
+    texts = rows.select("key", "text").filter(may_hold(wanted)("key")).join(wanted, "key")
     once = texts.join(repeated, "key", "left_anti")
     several = texts.join(repeated, "key", "left_semi").dropDuplicates(["key"])
     return staged(shingle_sets(once.union(several).select("class", "text")), "sets")
@@ -301,27 +344,32 @@ def links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """``class, head``: like classes among those that share a bucket (``class, band, value``)."""
     bucket = ["band", "value"]
     found, leaders = [], LEADERS
+    # A bucket goes on with at most so many classes.
+    buckets = buckets.withColumn("most", F.lit(2**63 - 1))
     while True:
         order = F.xxhash64(F.lit(leaders), "class")
-        stats = buckets.groupBy(bucket).agg(F.count("*").alias("count"), F.min(order).alias("first")).filter("count > 1")
+        stats = buckets.groupBy(bucket).agg(
+            F.count("*").alias("count"), F.min(order).alias("first"), F.max("most").alias("most")
+        ).filter("count > 1 and count <= most").drop("most")
         # The first class of a bucket leads, and others by a draw, so that as many lead as the round asks for. The draw is the
         # same for all buckets: a group that meets in many of them is compared with few leaders.
         drawn = F.pmod(F.xxhash64(F.lit(-leaders), "class"), F.lit(1 << 24)) * F.col("count") < F.lit(
             (leaders - 1) << 24
         )
         buckets = staged(
-            buckets.join(stats, bucket).select("class", *bucket, ((order == F.col("first")) | drawn).alias("leads")), "buckets"
+            buckets.join(stats, bucket).select("class", *bucket, "count", ((order == F.col("first")) | drawn).alias("leads")), "buckets"
         )
         if buckets.isEmpty():
             break
         heads = buckets.filter("leads").select(*bucket, F.col("class").alias("head"))
-        met = buckets.join(heads, bucket).filter(F.col("class") != F.col("head"))
+        met = buckets.drop("count").join(heads, bucket).filter(F.col("class") != F.col("head"))
         # Two leaders meet once.
         met = met.filter(~F.col("leads") | (F.col("class") < F.col("head")))
         like = staged(alike(met.select("class", "head").distinct(), sets), "like")
         found.append(like)
-        gone = met.join(like, ["class", "head"], "left_semi").select("class", *bucket).distinct()
-        buckets = buckets.filter(~F.col("leads")).drop("leads").join(gone, ["class", *bucket], "left_anti")
+        gone = like.join(heads, "head").select("class", *bucket).distinct()
+        buckets = buckets.filter(~F.col("leads")).join(gone, ["class", *bucket], "left_anti")
+        buckets = buckets.select("class", *bucket, F.expr(f"count div {LEADERS}").alias("most"))
         leaders *= LEADERS
     result = sets.select("class", F.col("class").alias("head")).limit(0)
     for like in found:
@@ -388,8 +436,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = signed.groupBy("key").agg(F.count("*").alias("count"))
     dropped = counted.join(stays, "key", "left_anti").select("key")
     repeated = staged(counted.filter("count > 1").join(stays, "key", "left_semi").select("key"), "repeated")
+    dropped = staged(dropped.union(repeated), "dropped")
     rows = keyed(docs, id_col, text_col).select("key", "row")
-    once = rows.join(staged(dropped.union(repeated), "dropped"), "key", "left_anti")
-    # Whole rows only meet for the few keys that repeat.
-    several = rows.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    # Whole rows only move if they may be dropped, and meet for the few keys that repeat.
+    may = may_hold(dropped)("key")
+    once = rows.filter(~may).union(rows.filter(may).join(dropped, "key", "left_anti"))
+    several = rows.filter(may).join(repeated, "key", "left_semi").dropDuplicates(["key"])
     return once.union(several).select("row.*")

@@ -86,3 +86,47 @@ def test_sketches_of_two_sizes_are_folded(spark):
     want = int(near_copies.np.bitwise_count(x.view("uint64")).sum())
     for one, two in (("bits", "others"), ("others", "bits")):
         assert df.select(near_copies.differing(one, two)).first()[0] == want <= 50
+
+
+def test_buckets_of_unlike_classes_end(spark, monkeypatch):
+    """A bucket of unlike classes makes no more pairs than its first leaders; what it leaves out is found by the prefixes."""
+    rows = [near_copies.shingles(x) for x in sharing(random.Random(16), 300)]
+    sets = [(k, len(x), x.view("int64").tolist(), near_copies.sketch(x).tolist()) for k, x in enumerate(rows)]
+    sets = spark.createDataFrame(sets, "class long, n long, items array<long>, bits array<long>")
+    buckets = sets.select("class", F.lit(0).alias("band"), F.lit(7).cast("long").alias("value"))
+    met, alike = [], near_copies.alike
+
+    def counted(pairs, sets):
+        met.append(pairs.count())
+        return alike(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "alike", counted)
+    assert near_copies.links(buckets, sets).count() == 0
+    assert len(met) == 1 and met[0] < 3 * near_copies.LEADERS * 300
+
+
+def test_bloom_filter_holds_every_key_and_few_others(spark):
+    keys = spark.range(20_000).select(F.md5(F.col("id").cast("string")).cast("binary").alias("key"))
+    others = spark.range(20_000, 40_000).select(F.md5(F.col("id").cast("string")).cast("binary").alias("key"))
+    may = near_copies.may_hold(keys)("key")
+    assert keys.filter(may).count() == 20_000 and others.filter(may).count() < 400
+    nothing = near_copies.may_hold(keys.limit(0))("key")
+    assert others.filter(nothing).count() == 0 and others.filter(~nothing).count() == 20_000
+
+
+def test_crowded_bloom_filter_drops_no_row(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MOST_BITS", 1 << 6)
+    texts = edges(random.Random(17))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    stay = [r["doc_id"] for r in near_copies.keep_first(docs).collect()]
+    assert sorted(stay) == sorted(set(roots(texts, all_links(texts)).values()))
+
+
+def test_sample_of_shingles_grows_with_the_table(spark, monkeypatch):
+    """A passage in one text of eighty is known to be frequent, however small the least sample is."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 8)
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(k, f"{passage} own{k}" if k % 80 == 0 else f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(8000)]
+    docs = near_copies.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    known = set(near_copies.frequent_shingles(docs, 8000)[0].tolist())
+    assert set(near_copies.shingles(passage).tolist()) <= known
