@@ -17,7 +17,7 @@ cost is linear in the rows and the error is known.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,8 @@ DIGITS = 9
 STARTS = 10
 SEED_ROUNDS = 5
 PACK = 4096  # rows of a block
+PARTS = 1 << 17, 1 << 22  # rows of a partition at least and at most; between them, a partition for each core
+CACHED = 1 << 17  # numbers of a step of the work on a block, so that they stay in a core's cache
 RACES = {2: 3, 5: 1}  # after so many rounds, so many seeded starts of each k go on
 # A seeded start also ends when a round lowers its error by less than this share.
 REST = 1e-4
@@ -98,41 +100,76 @@ def _packed(points: DataFrame) -> DataFrame:
     return points.mapInArrow(pack, "n long, x binary")
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _spread(points: DataFrame, rows: int) -> DataFrame:
+    """The blocks dealt evenly over the cluster: a table in few files or row groups would keep most cores idle in every pass."""
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    least, most = PARTS
+    return points.repartition(max(1, min(-(-rows // least), cores), rows // most))
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], width: int = 1) -> Iterator[np.ndarray]:
+    """The rows in steps, of which each needs ``width`` numbers a row."""
+    step = max(64, min(PACK, CACHED // max(width, 1)))
     for batch in batches:
         for n, x in zip(batch.column("n").to_pylist(), batch.column("x"), strict=True):
-            yield np.frombuffer(x.as_buffer()).reshape(n, -1)
+            block = np.frombuffer(x.as_buffer()).reshape(n, -1)
+            for at in range(0, n, step):
+                yield block[at : at + step]
+
+
+class Nearest:
+    """The squared distances of rows to the centres of several tables, less the rows' own squares, and the least of each table.
+
+    Larger tables come first, and the first centres of all tables are one layer, the second ones the next, so that a step of the
+    work is one operation on all tables.
+    """
+
+    def __init__(self, tables: list[np.ndarray]):
+        order = sorted(range(len(tables)), key=lambda i: -len(tables[i]))
+        layers = [[tables[i][j] for i in order if len(tables[i]) > j] for j in range(len(tables[order[0]]))]
+        stacked = np.array([center for layer in layers for center in layer])
+        self.lifted = np.column_stack([-2 * stacked, (stacked * stacked).sum(axis=1)])
+        self.starts = np.cumsum([0, *map(len, layers)])
+        self.rank = np.argsort(order)  # of each table
+        self.places = [self.starts[: len(t)] + rank for t, rank in zip(tables, self.rank, strict=True)]
+
+    def __len__(self) -> int:
+        return len(self.lifted)
 
+    def __call__(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        layers = np.split(self.lifted @ np.vstack([x.T, np.ones(len(x))]), self.starts[1:-1])
+        least = layers[0].copy()
+        for layer in layers[1:]:
+            np.minimum(least[: len(layer)], layer, out=least[: len(layer)])
+        return layers, least
 
-def _sums(points: DataFrame, tables: dict) -> dict:
-    """For each table of centres, by cluster: its rows, the sums of their columns, and their squared distances to the centre."""
-    keys = list(tables)
-    stacked, ends = np.vstack([tables[key] for key in keys]), np.cumsum([len(tables[key]) for key in keys])
+
+def _sums(points: DataFrame, tables: dict) -> dict[object, tuple[np.ndarray, float]]:
+    """For each table of centres: the rows of each cluster and the sums of their columns, and the squared distances of all rows."""
+    nearest = Nearest(list(tables.values()))
+    width = nearest.lifted.shape[1]
 
     def work(batches):
-        total = 0.0
-        for x in _blocks(batches):
-            every = np.maximum(_distances(stacked, x), 0.0)
-            found = []
-            for key, end in zip(keys, ends, strict=True):
-                d = every[end - len(tables[key]) : end]
-                least = d.min(axis=0)
-                member = d == least
-                if np.count_nonzero(member) != len(x):  # a row between two centres goes to the first
-                    member = d.argmin(axis=0) == np.arange(len(d))[:, None]
-                found.append(member.astype(float) @ np.column_stack([np.ones(len(x)), x, least]))
-            total = total + np.vstack(found)
-        if not np.isscalar(total):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["c", "v"]
-            )
+        total, errors = np.zeros((len(nearest), width)), np.zeros((len(nearest.rank), width))
+        for x in _blocks(batches, len(nearest)):
+            layers, least = nearest(x)
+            member = [layer == least[: len(layer)] for layer in layers]
+            if sum(map(np.count_nonzero, member)) != least.size:  # a row between two centres goes to the first
+                taken = np.zeros(least.shape, bool)
+                for own in member:
+                    own &= ~taken[: len(own)]
+                    taken[: len(own)] |= own
+            total += np.concatenate(member).astype(float) @ np.column_stack([np.ones(len(x)), x])
+            errors[:, 0] += np.maximum(least + (x * x).sum(axis=1), 0.0).sum(axis=1)
+        rows = np.vstack([total, errors])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.float64()))], ["c", "v"])
 
-    width = stacked.shape[1] + 2
     parts = points.mapInArrow(work, "c long, v array<double>")
-    out = np.zeros((len(stacked), width))
+    out = np.zeros((len(nearest) + len(tables), width))
     for row in parts.groupBy("c").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(width)]).alias("v")).collect():
         out[row["c"]] = row["v"]
-    return {key: out[end - len(tables[key]) : end] for key, end in zip(keys, ends, strict=True)}
+    errors = out[len(nearest) :, 0][nearest.rank].tolist()
+    return {key: (out[place], error) for key, place, error in zip(tables, nearest.places, errors, strict=True)}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -155,19 +192,27 @@ def _draw(points: DataFrame, seeds: list[np.ndarray], round_: int, number: int)
     seeds (all alike if it has none): those of the smallest exponential draws."""
     starts, width = len(seeds), seeds[0].shape[1]
 
+    salts = _mixed(np.array([s * 1009 + round_ + 1 for s in range(starts)], np.uint64))
+    seeded = [s for s in range(starts) if len(seeds[s])]
+    nearest = Nearest([seeds[s] for s in seeded]) if seeded else None
+    far = np.array([(seeds[s] ** 2).sum(axis=1).max() for s in seeded])
+
     def work(batches):
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros((0, width)))] * starts
-        for x in _blocks(batches):
-            h = _hashes(x)
-            for s in range(starts):
-                u = (_mixed(h + _mixed(np.array([s * 1009 + round_ + 1], np.uint64))) >> np.uint64(11)).astype(float) + 0.5
-                weight = np.ones(len(x))
-                if len(seeds[s]):
-                    d = _distances(x, seeds[s])
-                    size = (x * x).sum(axis=1) + (seeds[s] ** 2).sum(axis=1).max() + 1.0
-                    weight = np.where(d.min(axis=1) > 1e-9 * size, d.min(axis=1), 0.0)
-                at = np.flatnonzero(weight > 0)
-                key = -np.log(u[at] / 2.0**53) / weight[at]
+        bound = np.full(starts, np.inf)
+        for x in _blocks(batches, starts + sum(map(len, seeds))):
+            u = (_mixed(_hashes(x) + salts[:, None]) >> np.uint64(11)).astype(float) + 0.5
+            weights = np.ones((starts, len(x)))
+            if seeded:
+                own = (x * x).sum(axis=1)
+                d = nearest(x)[1][nearest.rank] + own
+                weights[seeded] = np.where(d > 1e-9 * (own + far[:, None] + 1.0), d, 0.0)
+            keys = np.full(u.shape, np.inf)
+            np.divide(-np.log(u / 2.0**53), weights, out=keys, where=weights > 0)
+            drawn = (keys <= bound[:, None]) & (weights > 0)
+            for s in np.flatnonzero(drawn.any(axis=1)):
+                at = np.flatnonzero(drawn[s])
+                key = keys[s, at]
                 if len(key) > 4 * number:  # equal rows have equal draws, so look a little further
                     near = np.argpartition(key, 4 * number)[: 4 * number]
                     at, key = at[near], key[near]
@@ -175,6 +220,8 @@ def _draw(points: DataFrame, seeds: list[np.ndarray], round_: int, number: int)
                 _, first = np.unique(row, axis=0, return_index=True)
                 order = first[np.argsort(key[first], kind="stable")][:number]
                 best[s] = key[order], row[order]
+                if len(order) == number:
+                    bound[s] = best[s][0][-1]
         rows = [(s, k, r.tolist()) for s, (keys, found) in enumerate(best) for k, r in zip(keys.tolist(), found, strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["s", "key", "v"])
@@ -195,7 +242,7 @@ def _seeds(points: DataFrame, width: int, most: int, starts: int) -> dict[tuple[
         seeds = [np.vstack([a, b]) for a, b in zip(seeds, more, strict=True)]
     weights = _sums(points, dict(enumerate(seeds)))
     return {
-        (k, s): _reduced(found, weights[s][:, 0], k, np.random.default_rng([s, k]))
+        (k, s): _reduced(found, weights[s][0][:, 0], k, np.random.default_rng([s, k]))
         for s, found in enumerate(seeds)
         for k in range(2, min(most, len(found)) + 1)
     }
@@ -242,16 +289,25 @@ def _first_centers(points: DataFrame, width: int, most: int) -> dict[int, np.nda
 def _box_sums(points: DataFrame, boxes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Rows, sums and sums of squares of each box."""
 
+    width = 2 * len(boxes[0][0]) + 1
+
     def work(batches):
-        for x in _blocks(batches):
-            rows = []
-            for number, (low, high) in enumerate(boxes):
-                part = x[((x > low) & (x <= high)).all(axis=1)]
-                rows.append((number, [float(len(part)), *part.sum(axis=0).tolist(), *(part * part).sum(axis=0).tolist()]))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows, strict=True)], ["c", "v"])
+        total = np.zeros((len(boxes), width))
+        for x in _blocks(batches, len(boxes) + width):
+            member = np.ones((len(boxes), len(x)), bool)
+            for own, (low, high) in zip(member, boxes, strict=True):
+                for axis, column in enumerate(x.T):
+                    if low[axis] > -np.inf:
+                        own &= column > low[axis]
+                    if high[axis] < np.inf:
+                        own &= column <= high[axis]
+            total += member.astype(float) @ np.column_stack([np.ones(len(x)), x, x * x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(boxes))), pa.array(list(total), pa.list_(pa.float64()))], ["c", "v"]
+        )
 
     parts = points.mapInArrow(work, "c long, v array<double>").groupBy("c")
-    sums = F.array(*[F.sum(F.col("v")[i]) for i in range(2 * len(boxes[0][0]) + 1)])
+    sums = F.array(*[F.sum(F.col("v")[i]) for i in range(width)])
     return np.array([r["v"] for r in sorted(parts.agg(sums.alias("v")).collect(), key=lambda r: r["c"])])
 
 
@@ -287,13 +343,13 @@ def kmeans_search(df: DataFrame, max_k: int = MAX_K, starts: int = STARTS, cells
         return (col(columns[i]).cast("double") - F.lit(mean[i])) / F.lit(std[i])
 
     points = complete.select(*[standard(i).alias(f"x{i}") for i in range(len(columns))])
-    points = _packed(points).persist(StorageLevel.MEMORY_AND_DISK)
+    points = _spread(_packed(points), rows).persist(StorageLevel.MEMORY_AND_DISK)
     width = len(columns)
     try:
         most = min(max_k, rows - 1)
         split = {(k, -1): table for k, table in _first_centers(points, width, most).items()}
         tried = _lloyd(points, split | (_seeds(points, width, most, starts) if split else {}))
-        errors = {key: table[:, -1].sum() for key, table in _sums(points, tried).items()} if tried else {}
+        errors = {key: error for key, (_, error) in _sums(points, tried).items()} if tried else {}
         chosen = {key[0]: key for key in reversed(_ranked(errors))}
         centers = {k: tried[key] for k, key in sorted(chosen.items())}
         scores = _silhouettes(points, centers, cells, rows)
@@ -346,11 +402,11 @@ def _lloyd(points: DataFrame, centers: dict[tuple[int, int], np.ndarray]) -> dic
                     moving.pop(key, None), rested.pop(key, None), errors.pop(key)
         if not moving:
             break
-        for key, table in _sums(points, moving).items():
+        for key, (table, error) in _sums(points, moving).items():
             filled = table[:, 0] > 0
             new = moving[key].copy()
-            new[filled] = np.round(table[filled, 1:-1] / table[filled, :1], DIGITS)
-            before, errors[key] = errors.get(key, np.inf), table[:, -1].sum()
+            new[filled] = np.round(table[filled, 1:] / table[filled, :1], DIGITS)
+            before, errors[key] = errors.get(key, np.inf), error
             slow = key[1] >= 0 and before - errors[key] < REST * errors[key]
             if slow or ((new - moving[key]) ** 2).sum() <= TOLERANCE:
                 del moving[key]
@@ -444,7 +500,7 @@ def _silhouettes(points: DataFrame, centers: dict[int, np.ndarray], cells: int,
 
     def scored(batches):
         total = np.zeros((len(keys), 3))
-        for x in _blocks(batches):
+        for x in _blocks(batches, max(map(len, means.values()), default=1)):
             for i, k in enumerate(keys):
                 if k not in means:
                     continue

@@ -87,3 +87,32 @@ def test_supplied_table(spark):
     df = clean.clean_table(table(spark, SF, "orders_dirty"))
     split, seeded = (cluster.kmeans_search(df, starts=n) for n in (0, 10))
     assert all(seeded.inertia[k] <= split.inertia[k] * (1 + 1e-9) for k in split.inertia)
+
+
+def test_table_in_one_partition_is_dealt_over_the_cores(spark, values, monkeypatch):
+    monkeypatch.setattr(cluster, "PACK", 64)
+    monkeypatch.setattr(cluster, "PARTS", (64, 1 << 22), raising=False)
+    seen, silhouettes = [], cluster._silhouettes
+
+    def watched(points, *rest):
+        seen.extend(points.mapInArrow(lambda batches: (b.select(["n"]) for b in batches), "n long").rdd.glom().map(len).collect())
+        return silhouettes(points, *rest)
+
+    df = frame(spark, values).coalesce(1)
+    one = cluster.kmeans_search(df, max_k=4, starts=2).k_scores().collect()
+    monkeypatch.setattr(cluster, "_silhouettes", watched)
+    assert cluster.kmeans_search(df, max_k=4, starts=2).k_scores().collect() == one
+    assert sum(n > 0 for n in seen) > 1
+
+
+def test_sums_of_tables_of_many_sizes(spark):
+    rng = np.random.default_rng(5)
+    # Whole numbers have exact distances, and many rows lie between two centres.
+    x = rng.integers(-4, 5, (700, 3)).astype(float)
+    tables = {k: rng.integers(-4, 5, (n, 3)).astype(float) for k, n in (("a", 2), ("b", 7), ("c", 1), ("d", 4))}
+    tables["d"][3] = tables["d"][0]
+    for key, (table, error) in cluster._sums(cluster._packed(frame(spark, x).repartition(3)), tables).items():
+        d = ((x[:, None] - tables[key]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        assert table.tolist() == [[(near == i).sum(), *x[near == i].sum(axis=0)] for i in range(len(tables[key]))]
+        assert error == d.min(axis=1).sum()
